@@ -12,10 +12,10 @@ MAX_HTML_LENGTH = 20000
 
 
 def duration_ms(started, ended) -> Column:
-    """max(0, whole milliseconds between two timestamps), truncating like int()."""
+    """max(0, whole milliseconds between two timestamps), truncating like int(); bigint."""
     micros = F.unix_micros(_col(ended)) - F.unix_micros(_col(started))
     ms = F.when(micros >= 0, F.floor(micros / 1000)).otherwise(F.ceil(micros / 1000))
-    return F.greatest(F.lit(0), ms.cast("int"))
+    return F.greatest(F.lit(0).cast("long"), ms.cast("long"))
 
 
 def truncate_html(c, n: int = MAX_HTML_LENGTH) -> Column:
