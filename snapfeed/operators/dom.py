@@ -88,13 +88,17 @@ class _Builder(HTMLParser):
         self.stack = [self.root]
 
     def _pop_to(self, names, stops):
+        """Close the outermost open element in ``names`` below the nearest scope
+        boundary in ``stops`` (so a new <tr> closes the open <td> and its <tr>)."""
+        hit = None
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[i].tag
-            if tag in names:
-                del self.stack[i:]
-                return
             if tag in stops:
-                return
+                break
+            if tag in names:
+                hit = i
+        if hit is not None:
+            del self.stack[hit:]
 
     def _open(self, tag, attrs, empty):
         if tag in CLOSES_P:

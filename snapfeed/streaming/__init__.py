@@ -1,7 +1,7 @@
 """Structured Streaming forms: incremental change feed, run timeouts, first-wins."""
 
 from .change_feed import change_feed, ITEM_STREAM_SCHEMA
-from .run_timeouts import run_timeouts, RUN_EVENT_SCHEMA
+from .run_timeouts import run_timeouts, run_timeouts_stateful, RUN_EVENT_SCHEMA
 from .first_wins import first_wins_stream
 
-__all__ = ["change_feed", "ITEM_STREAM_SCHEMA", "run_timeouts", "RUN_EVENT_SCHEMA", "first_wins_stream"]
+__all__ = ["change_feed", "ITEM_STREAM_SCHEMA", "run_timeouts", "run_timeouts_stateful", "RUN_EVENT_SCHEMA", "first_wins_stream"]

@@ -2,14 +2,23 @@
 
 Per run: queued -> running -> ok / error. A run still ``running`` when the
 event-time watermark passes its start + ``seconds`` is emitted as a timed-out
-error (the reaper); an end event that arrives later (and is not behind the
-watermark) is emitted too and supersedes it, as the batch lifecycle does.
+error (the reaper); an end event that arrives later is emitted too and
+supersedes it, as the batch lifecycle does.
+
+``run_timeouts`` expresses the timeout as a time-bounded stream-stream left
+outer join (a ``running`` event that no later running/ok/error event of the
+same run follows within ``seconds`` comes out unmatched once the watermark
+passes), so state lives in the JVM state store and no Python runs per run.
+``run_timeouts_stateful`` is the same contract as a custom
+``applyInPandasWithState`` fold with event-time timeouts, for lifecycles that
+need more than start/stop.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -25,10 +34,6 @@ OUT_SCHEMA = "run_id long, status string, timed_out boolean, event_ms long"
 STATE_SCHEMA = "status string, started_ms long"
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
-
-
 def _make_fn(seconds: int):
     limit_ms = seconds * 1000
 
@@ -41,14 +46,17 @@ def _make_fn(seconds: int):
                                 "event_ms": [started + limit_ms]})
             return
         status, started = state.get if state.exists else (None, None)
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
+        events = []
+        for pdf in pdfs:
+            events.extend(zip(pdf["ts"].astype("int64").tolist(), pdf["seq"].tolist(), pdf["kind"].tolist()))
+        events.sort()
         out = []
-        for kind, ts in zip(rows["kind"], rows["ts"]):
+        for ts_ns, _, kind in events:
             if kind in ("queued", "running"):
-                status, started = kind, _ms(ts)
+                status, started = kind, ts_ns // 1_000_000
             elif kind in ("ok", "error"):
                 status = kind
-                out.append((run_id, kind, False, _ms(ts)))
+                out.append((run_id, kind, False, ts_ns // 1_000_000))
         if status in ("ok", "error"):
             state.remove()
         else:
@@ -67,7 +75,25 @@ def _make_fn(seconds: int):
 
 
 def run_timeouts(events: DataFrame, seconds: int = 1800, delay: str = "0 seconds") -> DataFrame:
-    """Streaming DataFrame of terminal run rows (append mode)."""
+    """Streaming DataFrame of terminal run rows (append mode):
+    run_id, status, timed_out, event_ms."""
+    ev = events.withWatermark("ts", delay)
+    ended = ev.where(F.col("kind").isin("ok", "error")).select(
+        "run_id", F.col("kind").alias("status"), F.lit(False).alias("timed_out"),
+        F.unix_millis(F.col("ts")).alias("event_ms"))
+    starts = ev.where(F.col("kind") == "running").select(F.col("run_id").alias("l_run"), F.col("ts").alias("l_ts"))
+    later = ev.where(F.col("kind").isin("running", "ok", "error")).select(
+        F.col("run_id").alias("r_run"), F.col("ts").alias("r_ts"))
+    cond = (F.col("l_run") == F.col("r_run")) & (F.col("r_ts") > F.col("l_ts")) & \
+        (F.col("r_ts") <= F.col("l_ts") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
+    timed = starts.join(later, cond, "leftOuter").where(F.col("r_run").isNull()).select(
+        F.col("l_run").alias("run_id"), F.lit("error").alias("status"), F.lit(True).alias("timed_out"),
+        (F.unix_millis(F.col("l_ts")) + F.lit(seconds * 1000)).alias("event_ms"))
+    return ended.unionByName(timed)
+
+
+def run_timeouts_stateful(events: DataFrame, seconds: int = 1800, delay: str = "0 seconds") -> DataFrame:
+    """Streaming DataFrame of terminal run rows (append mode), Pandas state fold."""
     return (events.withWatermark("ts", delay)
             .groupBy("run_id")
             .applyInPandasWithState(_make_fn(seconds), OUT_SCHEMA, STATE_SCHEMA, "append",
