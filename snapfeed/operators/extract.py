@@ -57,10 +57,12 @@ def _spread(pages: DataFrame) -> DataFrame:
 
 
 def _with_config(pages: DataFrame, configs: DataFrame) -> DataFrame:
+    cfg_fields = configs.schema["config"].dataType.fieldNames()
+    pagination = F.to_json(F.col("config.pagination")) if "pagination" in cfg_fields else F.lit(None).cast("string")
     cfg = configs.select(
         F.col("source_id").alias("cfg_source"),
         F.to_json(F.col("config.item")).alias("cfg_item_json"),
-        F.to_json(F.col("config.pagination")).alias("cfg_pagination_json"),
+        pagination.alias("cfg_pagination_json"),
     )
     return pages.join(checked_broadcast(cfg), pages["source_id"] == F.col("cfg_source")).drop("cfg_source")
 
@@ -101,7 +103,8 @@ def _extract_batches(batches):
                 out["item_idx"].append(idx)
                 out["data"].append(rec)
                 out["error"].append(e)
-        yield pd.DataFrame(out)
+        if out["source_id"]:
+            yield pd.DataFrame(out)
 
 
 def extract_items(pages: DataFrame, configs: DataFrame) -> DataFrame:
@@ -135,7 +138,8 @@ def _link_batches(batches):
             out["page_id"].append(row.page_id)
             out["url"].append(row.url)
             out["next_href"].append(href)
-        yield pd.DataFrame(out)
+        if out["url"]:
+            yield pd.DataFrame(out)
 
 
 def page_links(pages: DataFrame, configs: DataFrame) -> DataFrame:
@@ -204,7 +208,8 @@ def _match_batches(batches):
                 rows_out.append((row.row_id, vals, None))
             except Exception as exc:
                 rows_out.append((row.row_id, None, str(exc)))
-        yield pd.DataFrame(rows_out, columns=MATCH_SCHEMA.fieldNames())
+        if rows_out:
+            yield pd.DataFrame(rows_out, columns=MATCH_SCHEMA.fieldNames())
 
 
 def test_selectors(proposals: DataFrame, pages: DataFrame, on: str = "source_id") -> DataFrame:

@@ -165,10 +165,10 @@ def mine_candidates(pages: DataFrame, sources: DataFrame, min_pages: int = 1) ->
     (tag.class) signatures of repeated elements ranked by how often they occur
     per page. Output: source_id, target='container', selector, per_page."""
     sig = pages.select("source_id", "page_id", F.explode(F.regexp_extract_all(
-        F.col("html"), F.lit("<([a-zA-Z][a-zA-Z0-9]*)\\s[^>]*class=\"([^\" ]+)"), F.lit(0))).alias("m"))
+        F.col("html"), F.lit("<([a-zA-Z][a-zA-Z0-9]*)\\s[^>]*?class=[\"']([^\"' >]+)"), F.lit(0))).alias("m"))
     sig = sig.select("source_id", "page_id",
                      F.regexp_extract("m", "<([a-zA-Z][a-zA-Z0-9]*)", 1).alias("tag"),
-                     F.regexp_extract("m", "class=\"([^\" ]+)", 1).alias("cls"))
+                     F.regexp_extract("m", "class=[\"']([^\"' >]+)", 1).alias("cls"))
     per_page = sig.groupBy("source_id", "tag", "cls", "page_id").count()
     return per_page.groupBy("source_id", "tag", "cls").agg(
         F.count(F.lit(1)).alias("pages"), F.avg("count").alias("per_page")) \

@@ -58,7 +58,7 @@ def parse_texts(texts: DataFrame, text_col: str = "config_yaml", file_col: str |
 def load_configs(spark: SparkSession, path: str) -> DataFrame:
     """Configs from a folder of ``*.yaml`` files, sorted by file name, with
     ``config`` (defaults applied), ``name`` and ``violations``."""
-    files = spark.read.option("wholetext", "true").text(f"{path.rstrip('/')}/*.yaml") \
+    files = spark.read.text(f"{path.rstrip('/')}/*.yaml", wholetext=True) \
         .withColumn("file", F.input_file_name())
     parsed = parse_texts(files, "value", "file")
     checked = violations(parsed, "raw_json")
