@@ -24,7 +24,7 @@ from ..sources import tables as T
 
 
 def nav_raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_items(T.nav_pages(spark, sf_dir), T.nav_config(spark)).where(F.col("error").isNull())
+    return extract.extract_items(T.nav_pages(spark, sf_dir), T.nav_config(spark, sf_dir)).where(F.col("error").isNull())
 
 
 def extract_nav_items(spark, sf_dir):
@@ -35,8 +35,8 @@ def extract_nav_items(spark, sf_dir):
 
 def page_title_fields(spark, sf_dir):
     """EXT3: one item per page from `html`, fields `title::text` and `h1::text`."""
-    cfg = T.nav_config(spark, container="html", fields=[("title", "title::text", "css"), ("h1", "h1::text", "css")],
-                       dedupe_key="title")
+    cfg = T.nav_config(spark, sf_dir, container="html",
+                       fields=[("title", "title::text", "css"), ("h1", "h1::text", "css")], dedupe_key="title")
     raw = extract.extract_items(T.nav_pages(spark, sf_dir), cfg)
     return raw.select("run_id", F.col("data")["title"].alias("title"), F.col("data")["h1"].alias("h1"))
 
@@ -65,12 +65,11 @@ def missing_keys(spark, sf_dir):
 
 
 def nav_items_per_host(spark, sf_dir):
-    """Flagship: extract nav links, first-wins per page, hash, count per host."""
-    pages = T.nav_pages(spark, sf_dir)
-    raw = extract.extract_items(pages, T.nav_config(spark)).where(F.col("error").isNull())
+    """Flagship: extract nav links of every site, first-wins per page, hash,
+    count per site (the source is the page's host)."""
+    raw = nav_raw_items(spark, sf_dir)
     kept = dedupe.first_wins(raw, "href")
-    hosts = pages.select("run_id", url_host(F.col("url")).alias("host"))
-    return kept.join(hosts, "run_id").groupBy("host").agg(
+    return kept.groupBy(F.col("source_id").alias("host")).agg(
         F.count(F.lit(1)).alias("n_items"),
         F.count_distinct(item_hash(F.col("data"))).alias("n_distinct_items"))
 

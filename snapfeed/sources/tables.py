@@ -256,27 +256,30 @@ def heals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pages
 
 
-NAV_SOURCE = "nav"
-
-
 def nav_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page snapshot is one run of the ``nav`` source."""
+    """Every page snapshot is one run of the source named after its site host."""
+    from ..functions.urls import url_host
     p = read(spark, sf_dir, "pages")
-    return p.select(F.lit(NAV_SOURCE).alias("source_id"), F.col("page_id").cast("string").alias("run_id"),
+    return p.select(url_host(F.col("url")).alias("source_id"), F.col("page_id").cast("string").alias("run_id"),
                     F.lit(1).alias("page_no"), "page_id", "url", "html")
 
 
-def nav_config(spark: SparkSession, container: str = "nav li", fields=None, dedupe_key: str = "href") -> DataFrame:
-    """A one-row configs table for the nav source (the driver's pages are all
-    one layout, so one config covers them)."""
-    fields = fields or [("href", "a::attr(href)", "css"), ("text", "a::text", "css")]
-    rows = [(NAV_SOURCE, {"name": NAV_SOURCE, "url": "https://example.com/",
-                          "item": {"container": container, "container_type": "css",
-                                   "fields": [{"name": n, "selector": s, "selector_type": t, "attr": None}
-                                              for n, s, t in fields],
-                                   "dedupe_key": dedupe_key},
-                          "pagination": {"next": None, "next_type": "css", "max_pages": 1}})]
-    schema = ("source_id string, config struct<name:string,url:string,item:struct<container:string,"
-              "container_type:string,fields:array<struct<name:string,selector:string,selector_type:string,"
-              "attr:string>>,dedupe_key:string>,pagination:struct<next:string,next_type:string,max_pages:int>>")
-    return spark.createDataFrame(rows, schema)
+NAV_FIELDS = (("href", "a::attr(href)", "css"), ("text", "a::text", "css"))
+
+
+def nav_config(spark: SparkSession, sf_dir: str, container: str = "nav li", fields=NAV_FIELDS,
+               dedupe_key: str = "href") -> DataFrame:
+    """One config per site (host) seen in ``pages``; all sites share a layout,
+    so they share selectors. Reads only the url column."""
+    from ..functions.urls import url_host
+    hosts = read(spark, sf_dir, "pages").select(url_host(F.col("url")).alias("source_id")).distinct()
+    field_structs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("selector"),
+                                       F.lit(t).alias("selector_type"), F.lit(None).cast("string").alias("attr"))
+                              for n, s, t in fields])
+    cfg = F.struct(
+        F.col("source_id").alias("name"), F.concat(F.lit("https://"), F.col("source_id"), F.lit("/")).alias("url"),
+        F.struct(F.lit(container).alias("container"), F.lit("css").alias("container_type"),
+                 field_structs.alias("fields"), F.lit(dedupe_key).alias("dedupe_key")).alias("item"),
+        F.struct(F.lit(None).cast("string").alias("next"), F.lit("css").alias("next_type"),
+                 F.lit(1).alias("max_pages")).alias("pagination"))
+    return hosts.select("source_id", cfg.alias("config"))
