@@ -38,26 +38,30 @@ def _selector_errors(specs: pd.Series) -> pd.Series:
     return specs.map(check)
 
 
-def with_defaults(config: Column) -> Column:
-    """Fill the defaults a parsed config gets when keys are absent."""
-    c = config
-    fields = F.transform(c["item"]["fields"], lambda f: f.withField(
-        "selector_type", F.coalesce(f["selector_type"], F.lit("css"))))
-    return (c.withField("description", F.coalesce(c["description"], F.lit("")))
-            .withField("render", F.coalesce(c["render"], F.lit(False)))
-            .withField("rate_limit", F.coalesce(c["rate_limit"], F.struct(F.lit(1).alias("rps"))))
-            .withField("item.container_type", F.coalesce(c["item"]["container_type"], F.lit("css")))
-            .withField("item.fields", fields)
-            .withField("pagination", F.coalesce(c["pagination"], F.struct(
-                F.lit(None).cast("string").alias("next"), F.lit("css").alias("next_type"),
-                F.lit(1).alias("max_pages"))))
-            .withField("pagination.next_type", F.coalesce(c["pagination"]["next_type"], F.lit("css")))
-            .withField("pagination.max_pages", F.coalesce(c["pagination"]["max_pages"], F.lit(1)))
-            .withField("actions", F.coalesce(c["actions"], F.array().cast(CONFIG["actions"].dataType)))
-            .withField("health", F.coalesce(c["health"], F.struct(F.lit(1).alias("min_items"),
-                                                                    F.lit("24h").alias("max_staleness"))))
-            .withField("health.min_items", F.coalesce(c["health"]["min_items"], F.lit(1)))
-            .withField("health.max_staleness", F.coalesce(c["health"]["max_staleness"], F.lit("24h"))))
+def with_defaults(p: Column) -> Column:
+    """A parsed config with defaults filled in, built as one struct over the
+    parsed column (each field of ``p`` is read once; no chained rewrites)."""
+    item, pag, health = p["item"], p["pagination"], p["health"]
+    fields = F.transform(item["fields"], lambda f: F.struct(
+        f["name"].alias("name"), f["selector"].alias("selector"),
+        F.coalesce(f["selector_type"], F.lit("css")).alias("selector_type"), f["attr"].alias("attr")))
+    return F.struct(
+        p["name"].alias("name"),
+        F.coalesce(p["description"], F.lit("")).alias("description"),
+        p["url"].alias("url"),
+        F.coalesce(p["render"], F.lit(False)).alias("render"),
+        p["schedule"].alias("schedule"),
+        F.struct(F.coalesce(p["rate_limit"]["rps"], F.lit(1)).alias("rps")).alias("rate_limit"),
+        F.when(item.isNotNull(), F.struct(
+            item["container"].alias("container"),
+            F.coalesce(item["container_type"], F.lit("css")).alias("container_type"),
+            fields.alias("fields"), item["dedupe_key"].alias("dedupe_key"))).alias("item"),
+        F.struct(pag["next"].alias("next"), F.coalesce(pag["next_type"], F.lit("css")).alias("next_type"),
+                 F.coalesce(pag["max_pages"], F.lit(1)).alias("max_pages")).alias("pagination"),
+        p["wait_for"].alias("wait_for"),
+        F.coalesce(p["actions"], F.array().cast(CONFIG["actions"].dataType)).alias("actions"),
+        F.struct(F.coalesce(health["min_items"], F.lit(1)).alias("min_items"),
+                 F.coalesce(health["max_staleness"], F.lit("24h")).alias("max_staleness")).alias("health"))
 
 
 def parse_config_json(raw_json) -> Column:
@@ -74,22 +78,25 @@ def _unknown(level: str, raw_obj: Column) -> Column:
 def violations(df: DataFrame, raw_col: str = "raw_json", check_hosts: bool = False) -> DataFrame:
     """CFG1: adds ``config`` (parsed, defaults applied) and ``violations``
     array<string>. ``raw_col`` holds the config document as JSON text; a
-    ``parse_error`` column, when present, is reported as a violation."""
+    ``parse_error`` column, when present, is reported as a violation.
+
+    Each JSON level is parsed once into its own column before the rules read
+    it, so the parse is not repeated per rule."""
     raw = F.col(raw_col)
-    cfg = parse_config_json(raw)
-    d = df.withColumn("config", cfg)
+    d = df.withColumn("_p", F.from_json(raw, CONFIG)).withColumn("_top", F.from_json(raw, "map<string,string>"))
+    d = d.withColumn("config", with_defaults(F.col("_p"))) \
+        .withColumn("_item_raw", F.from_json(F.col("_top")["item"], "map<string,string>")) \
+        .withColumn("_actions_raw", F.from_json(F.col("_top")["actions"], "array<string>"))
+    d = d.withColumn("_fields_raw", F.from_json(F.col("_item_raw")["fields"], "array<string>"))
     c = F.col("config")
+    top_raw = F.col("_top")
     names = F.transform(c["item"]["fields"], lambda f: f["name"])
-    top_raw = F.from_json(raw, "map<string,string>")
-    item_raw = top_raw["item"]
-    fields_raw = F.from_json(F.from_json(item_raw, "map<string,string>")["fields"], "array<string>")
-    actions_raw = F.from_json(top_raw["actions"], "array<string>")
     empty = F.array().cast("array<string>")
-    field_unknown = F.coalesce(F.filter(F.transform(fields_raw, lambda f: _unknown("field", f)),
+    field_unknown = F.coalesce(F.filter(F.transform(F.col("_fields_raw"), lambda f: _unknown("field", f)),
                                         lambda x: x.isNotNull()), empty)
-    action_unknown = F.coalesce(F.filter(F.transform(actions_raw, lambda a: _unknown("action", a)),
+    action_unknown = F.coalesce(F.filter(F.transform(F.col("_actions_raw"), lambda a: _unknown("action", a)),
                                          lambda x: x.isNotNull()), empty)
-    bad_actions = F.filter(F.coalesce(c["actions"], F.array().cast(CONFIG["actions"].dataType)), lambda a: (
+    bad_actions = F.filter(c["actions"], lambda a: (
         ~a["type"].isin(*ACTION_TYPES)
         | (a["type"].isin("click", "type") & a["selector"].isNull())
         | ((a["type"] == "wait") & a["ms"].isNull())))
@@ -98,7 +105,7 @@ def violations(df: DataFrame, raw_col: str = "raw_json", check_hosts: bool = Fal
         F.transform(c["item"]["fields"], lambda f: F.struct(f["selector"].alias("s"), f["selector_type"].alias("t"))),
         F.array(F.struct(c["pagination"]["next"].alias("s"), c["pagination"]["next_type"].alias("t")))))
     bad_types = F.filter(F.concat(F.array(c["item"]["container_type"], c["pagination"]["next_type"]),
-                                  F.transform(c["item"]["fields"], lambda f: f["selector_type"])),
+                                  F.coalesce(F.transform(c["item"]["fields"], lambda f: f["selector_type"]), empty)),
                          lambda t: ~t.isin(*SELECTOR_TYPES))
     rules = [
         F.when(top_raw.isNull(), F.lit("config: not a JSON/YAML mapping")),
@@ -126,7 +133,7 @@ def violations(df: DataFrame, raw_col: str = "raw_json", check_hosts: bool = Fal
                F.lit("Static config (render=false) must not have 'wait_for'")),
         F.when(F.size(bad_actions) > 0, F.lit("actions: click/type need selector, wait needs ms, type in click/wait/scroll/type")),
         _unknown("top", raw),
-        _unknown("item", item_raw),
+        _unknown("item", top_raw["item"]),
         _unknown("pagination", top_raw["pagination"]),
         _unknown("health", top_raw["health"]),
         _unknown("rate_limit", top_raw["rate_limit"]),
@@ -136,9 +143,8 @@ def violations(df: DataFrame, raw_col: str = "raw_json", check_hosts: bool = Fal
     if check_hosts:
         rules.append(F.when(~host_is_public(url_host(c["url"])), F.lit("url: host is not public")))
     msgs = F.concat(F.filter(F.array(*rules), lambda x: x.isNotNull()), field_unknown, action_unknown,
-                    F.coalesce(_selector_errors(F.when(c["item"].isNotNull(), sel_specs)),
-                               F.array().cast("array<string>")))
-    return d.withColumn("violations", msgs)
+                    F.coalesce(_selector_errors(F.when(c["item"].isNotNull(), sel_specs)), empty))
+    return d.withColumn("violations", msgs).drop("_p", "_top", "_item_raw", "_actions_raw", "_fields_raw")
 
 
 def public_hosts(urls: DataFrame, url_col: str = "url") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import config_sha
 from ..functions.hosts import host_is_public
 from ..functions.urls import url_host
+from ..session import shared_dir
 from .common import checked_broadcast
 
 SOURCE_COLS = ("id", "name", "description", "origin", "config_yaml", "config_sha", "created_at", "updated_at",
@@ -155,10 +156,14 @@ def submit(checked: DataFrame, sources: DataFrame, as_of) -> tuple[DataFrame, Da
     the public-host guard plus the duplicate-name check -> accepted / rejected
     with reasons; accepted ones are inserted with origin api."""
     host_ok = host_is_public(url_host(F.col("config.url")))
-    c = checked.withColumn("name", F.col("config.name")).withColumn(
-        "reasons", F.concat(F.col("violations"),
-                            F.when(F.col("config.url").isNotNull() & ~host_ok,
-                                   F.array(F.lit("url: host is not public"))).otherwise(F.array())))
+    c = checked.select(F.col("config.name").alias("name"), "config", "config_yaml", F.concat(
+        F.col("violations"), F.when(F.col("config.url").isNotNull() & ~host_ok,
+                                    F.array(F.lit("url: host is not public"))).otherwise(F.array())).alias("reasons"))
+    # The rule expressions are large; filters and joins below would otherwise
+    # copy them into every pushed predicate. A request table is small, so it is
+    # materialised once (reliable checkpoint in the shared folder).
+    shared_dir(checked.sparkSession)
+    c = c.checkpoint(eager=True)
     valid = c.where(F.size("reasons") == 0)
     nxt, created = create(sources, valid, as_of, "api")
     rejected = c.where(F.size("reasons") > 0).select("name", F.lit("rejected").alias("outcome"), "reasons")

@@ -457,4 +457,65 @@ SELECT run_id, status, false AS timed_out FROM runs WHERE status IN ('ok', 'erro
 UNION ALL
 SELECT run_id, 'error', true FROM runs, mxt
 WHERE status = 'running' AND started_at + INTERVAL 1 SECOND + INTERVAL 1800 SECOND < wm"""
+
+    q["scrape_items"] = _with(VIEW_ITEMS, f"ct AS (SELECT *, {_content_text(False)} AS content_text FROM vi)") + """
+SELECT source_id, dedupe_key AS stable_id, coalesce(nullif(url, ''), '') AS url, coalesce(nullif(title, ''), '') AS title,
+       content_text, sha256(nfc_normalize(content_text)) AS content_hash
+FROM ct"""
+
+    q["stale_sources"] = _with(SOURCES, RUNS, """lo AS (SELECT source_id, max(started_at) AS last_ok_at FROM runs
+                                                  WHERE status = 'ok' GROUP BY source_id)""") + f"""
+SELECT s.id AS source_id, s.name, lo.last_ok_at
+FROM sources s LEFT JOIN lo ON lo.source_id = s.id
+WHERE lo.last_ok_at IS NULL OR lo.last_ok_at < {AS_OF} - CASE WHEN s.n % 3 = 0 THEN INTERVAL 24 HOUR
+                                                         WHEN s.n % 3 = 1 THEN INTERVAL 1 HOUR
+                                                         ELSE INTERVAL 7 DAY END"""
+
+    q["create_sources"] = _with(SOURCES, """req AS (SELECT 'src' || CAST(user_id % 30 AS VARCHAR) AS name, event_id AS req_ix
+                                  FROM events WHERE event_id % 97 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY req_ix) AS rk FROM req)""") + """
+SELECT name, req_ix, CASE WHEN name IN (SELECT name FROM sources) OR rk > 1 THEN 'rejected' ELSE 'inserted' END AS outcome
+FROM r"""
+
+    q["removed_keys"] = _with(STATE, BATCH) + "SELECT source_id, dedupe_key FROM j WHERE change = 'removed'"
+
+    q["reap_counts"] = _with(RUNS) + f"""
+SELECT source_id, count(*) AS n_reaped FROM runs
+WHERE status = 'running' AND started_at < {AS_OF} - INTERVAL 1800 SECOND GROUP BY source_id"""
+
+    q["selector_checks"] = """
+SELECT page_id,
+  CASE WHEN page_id % 7 = 0 THEN 'li:nth-child(' || CAST(page_id % 5 + 1 AS VARCHAR) || ' > a'
+       WHEN page_id % 3 = 0 THEN '//li[' || CAST(page_id % 5 + 1 AS VARCHAR) || ']/a/@href'
+       ELSE 'nav li:nth-child(' || CAST(page_id % 5 + 1 AS VARCHAR) || ') > a::attr(href)' END AS selector,
+  page_id % 7 <> 0 AS valid
+FROM pages"""
+
+    q["parse_configs"] = _with(SOURCES) + """
+SELECT id, n % 7 <> 0 AS parse_ok, n % 7 <> 0 AND n % 2 = 0 AS valid,
+       CASE WHEN n % 7 <> 0 AND n % 2 = 0 THEN 'article' END AS container
+FROM sources"""
+
+    q["live_count"] = _with(STATE) + \
+        "SELECT count(*) AS item_count FROM state WHERE source_id = 'src3' AND NOT removed"
+
+    q["unknown_run_events"] = _with(RUNS) + \
+        "SELECT run_id + 10000000 AS run_id, 'running' AS kind FROM runs WHERE status <> 'queued' AND run_id % 50 = 0"
+
+    q["mined_candidates"] = """
+WITH p AS (SELECT 'src' || CAST(page_id AS VARCHAR) AS source_id, page_id, html FROM pages WHERE page_id < 20),
+m AS (SELECT source_id, page_id,
+             unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)\\s[^>]*?class=["'']([^"'' >]+)', 0)) AS m
+      FROM p),
+s AS (SELECT source_id, page_id,
+             lower(regexp_extract(m, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) || '.' || regexp_extract(m, 'class=["'']([^"'' >]+)', 1)
+             AS selector FROM m),
+pp AS (SELECT source_id, selector, page_id, count(*) AS c FROM s GROUP BY source_id, selector, page_id)
+SELECT source_id, selector, avg(c) AS per_page FROM pp GROUP BY source_id, selector"""
+
+    q["submit_sources"] = """
+SELECT 'page-' || CAST(page_id AS VARCHAR) AS name,
+       CASE WHEN page_id % 7 = 0 OR page_id % 9 IN (0, 3) THEN 'rejected' ELSE 'inserted' END AS outcome,
+       CAST(page_id % 7 = 0 AS BIGINT) + CAST(page_id % 9 IN (0, 3) AS BIGINT) AS n_reasons
+FROM pages"""
     return q

@@ -395,3 +395,116 @@ def percent_labels(spark, sf_dir):
     """FN14 over every heal confidence."""
     h = T.heals(spark, sf_dir)
     return h.select("id", percent_text(F.col("confidence")).alias("confidence_text"))
+
+
+# ---------------------------------------------------------------------------
+# more operators over the same derived tables
+
+
+def scrape_items(spark, sf_dir):
+    """PRJ1: flat scrape-result rows (stable id, url, title, content text and hash)."""
+    from ..functions.items import scrape_item_columns
+    it = T.view_items(spark, sf_dir)
+    cols = scrape_item_columns(F.col("data"), F.col("dedupe_key"))
+    return it.select("source_id", *cols[:5])
+
+
+def stale_sources(spark, sf_dir):
+    """HLT3: sources whose newest ok run is older than health.max_staleness."""
+    s = repair.stale_sources(T.sources(spark, sf_dir), T.runs(spark, sf_dir), T.AS_OF)
+    return s.select("source_id", "name", as_ntz("last_ok_at").alias("last_ok_at"))
+
+
+def create_sources(spark, sf_dir):
+    """UPS1 AGG11: registration requests (every 97th event) against existing
+    sources and earlier requests for the same name."""
+    ev = T.read(spark, sf_dir, "events").where(F.col("event_id") % 97 == 0)
+    name = F.concat(F.lit("src"), (F.col("user_id") % 30).cast("string"))
+    req = ev.select(name.alias("name"), F.col("event_id").alias("req_ix"),
+                    F.concat(F.lit("name: "), name, F.lit("\n")).alias("config_yaml"),
+                    T.config_for(name).alias("config"))
+    _, outcomes = src_op.create(T.sources(spark, sf_dir), req, T.AS_OF)
+    return outcomes.select("name", "req_ix", "outcome")
+
+
+def removed_keys(spark, sf_dir):
+    """JOIN8 SET2: live stored keys missing from their source's batch."""
+    r = diff.removed_keys(T.state_items(spark, sf_dir), T.batch_items(spark, sf_dir), _ok_batch_runs(spark, sf_dir))
+    return r.select("source_id", "dedupe_key")
+
+
+def reap_counts(spark, sf_dir):
+    """AGG9: runs reaped per source."""
+    r = runs_op.reap(T.runs(spark, sf_dir), T.AS_OF, 1800)
+    return r.where("reaped").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_reaped"))
+
+
+def selector_checks(spark, sf_dir):
+    """EXT9: selector syntax check over selectors derived from every page."""
+    p = T.read(spark, sf_dir, "pages")
+    n = (F.col("page_id") % 5 + 1).cast("string")
+    sel = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("li:nth-child("), n, F.lit(" > a"))) \
+        .when(F.col("page_id") % 3 == 0, F.concat(F.lit("//li["), n, F.lit("]/a/@href"))) \
+        .otherwise(F.concat(F.lit("nav li:nth-child("), n, F.lit(") > a::attr(href)")))
+    kind = F.when((F.col("page_id") % 3 == 0) & (F.col("page_id") % 7 != 0), "xpath").otherwise("css")
+    checked = p.select("page_id", sel.alias("selector"), kind.alias("selector_type"))
+    return checked.select("page_id", "selector",
+                          extract.selector_error(F.col("selector"), F.col("selector_type")).isNull().alias("valid"))
+
+
+def parse_configs(spark, sf_dir):
+    """SRC3 CFG1: YAML texts of every source (some broken, some without an item
+    block) parsed in tasks and checked."""
+    from ..sources.configs import parse_texts
+    s = T.sources(spark, sf_dir)
+    n = T.source_number(F.col("id"))
+    item = F.lit("item:\n  container: article\n  fields:\n    - {name: id, selector: '::attr(data-id)'}\n"
+                 "  dedupe_key: id\n")
+    text = F.when(n % 7 == 0, F.concat(F.col("config_yaml"), F.lit("oops: [\n"))) \
+        .when(n % 2 == 0, F.concat(F.col("config_yaml"), item)).otherwise(F.col("config_yaml"))
+    parsed = parse_texts(s.select(F.col("id").alias("file"), text.alias("config_yaml")), "config_yaml", "file")
+    checked = config_checks.violations(parsed)
+    return checked.select(F.col("file").alias("id"), F.col("parse_error").isNull().alias("parse_ok"),
+                          (F.size("violations") == 0).alias("valid"), F.col("config.item.container").alias("container"))
+
+
+def live_count(spark, sf_dir):
+    """AGG2: live item count of one source."""
+    return views.live_count(T.state_items(spark, sf_dir), "src3")
+
+
+def unknown_run_events(spark, sf_dir):
+    """LIF1 (RunNotFound): transitions for runs that were never created."""
+    ev = T.run_events(spark, sf_dir)
+    ghost = ev.where((F.col("kind") == "running") & (F.col("run_id") % 50 == 0)) \
+        .withColumn("run_id", F.col("run_id") + 10_000_000)
+    return runs_op.unknown_run_events(ev.unionByName(ghost)).select("run_id", "kind")
+
+
+def mined_candidates(spark, sf_dir):
+    """RPR5: container candidates mined from each source's page."""
+    p = T.read(spark, sf_dir, "pages").where(F.col("page_id") < 20).select(
+        F.concat(F.lit("src"), F.col("page_id").cast("string")).alias("source_id"), "page_id", "html")
+    m = repair.mine_candidates(p, T.sources(spark, sf_dir))
+    return m.select("source_id", "selector", "per_page")
+
+
+def submit_sources(spark, sf_dir):
+    """UPS5: submitted configs (from every page) checked for rule violations and
+    a public host, then registered or rejected."""
+    p = T.read(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    host = (F.when(pid % 9 == 0, F.concat(F.lit("10."), (pid % 256).cast("string"), F.lit(".0.1")))
+            .when(pid % 9 == 3, F.concat(F.lit("192.168."), (pid % 256).cast("string"), F.lit(".1")))
+            .otherwise(url_host(F.col("url"))))
+    name = F.concat(F.lit("page-"), pid.cast("string"))
+    doc = F.struct(name.alias("name"), F.concat(F.lit("https://"), host, F.lit("/")).alias("url"),
+                   F.lit("0 * * * *").alias("schedule"),
+                   F.struct(F.when(pid % 7 == 0, F.lit("nav[")).otherwise(F.lit("nav li")).alias("container"),
+                            F.array(F.struct(F.lit("href").alias("name"),
+                                             F.lit("a::attr(href)").alias("selector"))).alias("fields"),
+                            F.lit("href").alias("dedupe_key")).alias("item"))
+    subs = p.select("page_id", F.to_json(doc).alias("raw_json"))
+    chk = config_checks.violations(subs).withColumn("config_yaml", F.col("raw_json"))
+    _, outcomes = src_op.submit(chk, T.sources(spark, sf_dir), T.AS_OF)
+    return outcomes.select("name", "outcome", F.size("reasons").cast("long").alias("n_reasons"))

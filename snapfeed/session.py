@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # config rules read many fields of one parsed document; without this every
+    # field access becomes its own pruned from_json (one re-parse per rule)
+    "spark.sql.optimizer.enableJsonExpressionOptimization": "false",
 }
 
 

@@ -71,7 +71,9 @@ def config_for(source: Column) -> Column:
                  F.lit(1).alias("max_pages")).alias("pagination"),
         F.lit(None).cast("string").alias("wait_for"),
         F.array().cast("array<struct<type:string,selector:string,ms:int,text:string>>").alias("actions"),
-        F.struct((F.lit(10) + n * 2).alias("min_items"), F.lit("24h").alias("max_staleness")).alias("health"))
+        F.struct((F.lit(10) + n * 2).alias("min_items"),
+                 F.when(n % 3 == 0, "24h").when(n % 3 == 1, "1h").otherwise("7d").alias("max_staleness"))
+        .alias("health"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
