@@ -157,19 +157,24 @@ def match_pages(pages: DataFrame, configs: DataFrame) -> DataFrame:
         .join(checked_broadcast(cfg), "_host").drop("_host")
 
 
-def paginate(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def paginate(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None,
+             materialize: bool = True) -> DataFrame:
     """EXT8: follow next links from each seed until none, page missing or
     ``max_pages`` pages read.
 
     ``seeds``: source_id, url, max_pages.  ``links``: source_id, url, next_url
     (narrow; computed once for all pages).  Output: source_id, url, page_no.
     The loop runs max(max_pages) rounds; each round joins the frontier (one row
-    per live source, broadcast when proven small) with the link table.
+    per live source, broadcast when proven small) with the link table, which is
+    materialised once (reliable checkpoint) so rounds never re-derive it — when
+    it comes from ``page_links`` that would mean re-parsing every page per round.
     """
     shared_dir(seeds.sparkSession)
     if max_rounds is None:
         max_rounds = int(seeds.agg(F.max("max_pages")).first()[0] or 1)
     edges = links.select("source_id", "url", "next_url").dropDuplicates(["source_id", "url"])
+    if materialize:
+        edges = edges.checkpoint(eager=True)
     frontier = seeds.select("source_id", "url", F.col("max_pages").cast("int").alias("max_pages"),
                             F.lit(1).alias("page_no"))
     visited = [frontier]
