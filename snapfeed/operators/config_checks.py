@@ -151,3 +151,23 @@ def public_hosts(urls: DataFrame, url_col: str = "url") -> DataFrame:
     """FLT6 over a table of URLs: adds ``host`` and ``is_public``."""
     return urls.withColumn("host", url_host(F.col(url_col))) \
         .withColumn("is_public", host_is_public(F.col("host")))
+
+
+# Request bounds (items per source and sources per batch request).
+MAX_ITEMS_RANGE = (1, 100)
+SOURCES_PER_REQUEST = (1, 10)
+
+
+def request_violations(requests: DataFrame, key: str = "request_id") -> DataFrame:
+    """CFG8: batch requests as rows (request_id, source, max_items) checked with
+    aggregates: 1..10 sources, no repeated source, max_items within 1..100."""
+    lo, hi = MAX_ITEMS_RANGE
+    slo, shi = SOURCES_PER_REQUEST
+    agg = requests.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_sources"), F.count_distinct("source").alias("n_distinct"),
+        F.min("max_items").alias("_min_items"), F.max("max_items").alias("_max_items"))
+    return agg.select(
+        key, "n_sources",
+        F.col("n_sources").between(slo, shi).alias("count_ok"),
+        (F.col("n_sources") == F.col("n_distinct")).alias("unique_ok"),
+        ((F.col("_min_items") >= lo) & (F.col("_max_items") <= hi)).alias("max_items_ok"))

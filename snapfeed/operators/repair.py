@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import config_sha
-from ..functions.misc import percent_text, staleness_interval
+from ..functions.misc import percent_text, staleness_interval, truncate_html
 from .common import checked_broadcast
 from .extract import test_selectors
 from .schemas import PROPOSAL
@@ -175,3 +175,10 @@ def mine_candidates(pages: DataFrame, sources: DataFrame, min_pages: int = 1) ->
         .where(F.col("pages") >= min_pages) \
         .select("source_id", F.lit(CONTAINER).alias("target"),
                 F.concat(F.lower("tag"), F.lit("."), F.col("cls")).alias("selector"), "per_page")
+
+
+def repair_inputs(targets_df: DataFrame, pages: DataFrame) -> DataFrame:
+    """FN12: what a proposal producer sees per target — the old selector and
+    the source's current page cut to its first 20,000 characters before any
+    row leaves the JVM."""
+    return targets_df.join(pages.select("source_id", truncate_html(F.col("html")).alias("html_snippet")), "source_id")

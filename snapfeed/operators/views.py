@@ -125,3 +125,19 @@ def heal_view(heals: DataFrame) -> DataFrame:
     """PRJ3: heal rows with old/new selector as a two-key map."""
     return heals.select("*", F.create_map(F.lit("old"), F.col("old_selector"),
                                           F.lit("new"), F.col("new_selector")).alias("selectors"))
+
+
+def source_summary(sources: DataFrame) -> DataFrame:
+    """PRJ4: list view (no config text; column pruning keeps it out of the scan)."""
+    return sources.select("id", "name", "description", "origin", "config_sha", "created_at", "updated_at")
+
+
+def source_detail(sources: DataFrame, name: str | None = None) -> DataFrame:
+    """PRJ4: detail view with the config text."""
+    s = sources if name is None else sources.where(F.col("name") == name)
+    return s.select("id", "name", "description", "origin", "config_sha", "config_yaml", "created_at", "updated_at")
+
+
+def latest_run(runs: DataFrame, source_id) -> DataFrame:
+    """WIN4: newest run of one source (ORDER BY started_at DESC, run_id DESC LIMIT 1)."""
+    return page(runs.where(F.col("source_id") == F.lit(source_id)), [F.desc("started_at"), F.desc("run_id")], 1)

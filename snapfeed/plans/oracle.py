@@ -518,4 +518,23 @@ SELECT 'page-' || CAST(page_id AS VARCHAR) AS name,
        CASE WHEN page_id % 7 = 0 OR page_id % 9 IN (0, 3) THEN 'rejected' ELSE 'inserted' END AS outcome,
        CAST(page_id % 7 = 0 AS BIGINT) + CAST(page_id % 9 IN (0, 3) AS BIGINT) AS n_reasons
 FROM pages"""
+
+    q["request_checks"] = """
+SELECT user_id AS request_id, count(*) AS n_sources, count(*) BETWEEN 1 AND 10 AS count_ok,
+       count(*) = count(DISTINCT 'src' || CAST(event_id % 7 AS VARCHAR)) AS unique_ok,
+       min(CAST(floor(value) AS BIGINT) % 120) >= 1 AND max(CAST(floor(value) AS BIGINT) % 120) <= 100 AS max_items_ok
+FROM events WHERE event_id % 13 = 0 GROUP BY user_id"""
+
+    q["repair_inputs"] = _with(SOURCES) + """
+SELECT s.id AS source_id, t.target, CAST(length(substring(p.html, 1, 20000)) AS BIGINT) AS snippet_chars
+FROM sources s
+JOIN (SELECT 'summary' AS target, 0 AS m UNION ALL SELECT 'url', 1) t
+  ON (t.m = 0 AND s.n % 2 = 0) OR (t.m = 1 AND s.n % 3 = 0)
+JOIN pages p ON 'src' || CAST(p.page_id AS VARCHAR) = s.id"""
+
+    q["source_summaries"] = _with(SOURCES, RUNS, """lr AS (
+  SELECT source_id, run_id, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS rn
+  FROM runs)""") + """
+SELECT s.id, s.name, s.origin, substring(sha256(s.config_yaml), 1, 12) AS config_sha, lr.run_id AS last_run_id
+FROM sources s LEFT JOIN lr ON lr.source_id = s.id AND lr.rn = 1"""
     return q

@@ -508,3 +508,29 @@ def submit_sources(spark, sf_dir):
     chk = config_checks.violations(subs).withColumn("config_yaml", F.col("raw_json"))
     _, outcomes = src_op.submit(chk, T.sources(spark, sf_dir), T.AS_OF)
     return outcomes.select("name", "outcome", F.size("reasons").cast("long").alias("n_reasons"))
+
+
+def request_checks(spark, sf_dir):
+    """CFG8: batch requests (every 13th event) checked for bounds."""
+    ev = T.read(spark, sf_dir, "events").where(F.col("event_id") % 13 == 0)
+    req = ev.select(F.col("user_id").alias("request_id"),
+                    F.concat(F.lit("src"), (F.col("event_id") % 7).cast("string")).alias("source"),
+                    (F.floor("value").cast("long") % 120).alias("max_items"))
+    return config_checks.request_violations(req)
+
+
+def repair_inputs(spark, sf_dir):
+    """FN12 HLT2: repair targets with the first 20,000 characters of the page."""
+    t = repair.targets(T.field_items(spark, sf_dir), T.sources(spark, sf_dir))
+    pages = T.read(spark, sf_dir, "pages").where(F.col("page_id") < 20).select(
+        F.concat(F.lit("src"), F.col("page_id").cast("string")).alias("source_id"), "html")
+    r = repair.repair_inputs(t, pages)
+    return r.select("source_id", "target", F.length("html_snippet").cast("long").alias("snippet_chars"))
+
+
+def source_summaries(spark, sf_dir):
+    """PRJ4 WIN4: source list rows plus each source's newest run."""
+    s = views.source_summary(T.sources(spark, sf_dir))
+    latest = views.latest_runs(T.runs(spark, sf_dir)).select(
+        F.col("source_id").alias("id"), "last_run_id")
+    return s.join(latest, "id", "left").select("id", "name", "origin", "config_sha", "last_run_id")
