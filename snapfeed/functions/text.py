@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,14 +58,39 @@ def _nfc_array_udf(s: pd.Series) -> pd.Series:
     return s.map(norm)
 
 
+@functools.lru_cache(maxsize=1)
+def icu_available() -> bool:
+    """Spark 4 ships ICU4J (used for collations); its static NFC composition
+    can then run in the JVM through ``reflect`` instead of a Python UDF."""
+    spark = SparkSession.getActiveSession()
+    jvm = getattr(spark, "_jvm", None) if spark is not None else None
+    if jvm is None:
+        return False
+    try:
+        jvm.java.lang.Class.forName("com.ibm.icu.text.Normalizer")
+        return True
+    except Exception:
+        return False
+
+
+def _icu_nfc(c: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+
+
 def nfc(c) -> Column:
-    """Unicode NFC; rows that cannot change are passed as null to the Arrow UDF."""
+    """Unicode NFC. Values that cannot change (no code point >= U+0300) are
+    never touched; the rest go through ICU in the JVM, or through the Arrow
+    UDF (fed null for unchanged rows) when ICU is not on the classpath."""
     c = _col(c)
+    if icu_available():
+        return F.when(needs_nfc(c), _icu_nfc(c)).otherwise(c)
     return F.coalesce(_nfc_udf(F.when(needs_nfc(c), c)), c)
 
 
 def nfc_values(arr) -> Column:
-    """NFC of every element of an array<string>; arrays needing no change skip Python."""
+    """NFC of every element of an array<string>; arrays needing no change skip it."""
     arr = _col(arr)
+    if icu_available():
+        return F.transform(arr, lambda v: F.when(v.rlike(_NEEDS_NFC_RE), _icu_nfc(v)).otherwise(v))
     needs = F.exists(arr, lambda v: v.rlike(_NEEDS_NFC_RE))
     return F.coalesce(_nfc_array_udf(F.when(needs, arr)), arr)

@@ -68,10 +68,9 @@ def nav_items_per_host(spark, sf_dir):
     """Flagship: extract nav links of every site, first-wins per page, hash,
     count per site (the source is the page's host)."""
     raw = nav_raw_items(spark, sf_dir)
-    kept = dedupe.first_wins(raw, "href")
+    kept = dedupe.first_wins(raw, "href").withColumn("h", item_hash(F.col("data")))
     return kept.groupBy(F.col("source_id").alias("host")).agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.count_distinct(item_hash(F.col("data"))).alias("n_distinct_items"))
+        F.count(F.lit(1)).alias("n_items"), F.count_distinct("h").alias("n_distinct_items"))
 
 
 # ---------------------------------------------------------------------------
