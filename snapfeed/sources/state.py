@@ -1,5 +1,9 @@
 """SNK1 / SRC4: item state as immutable versions under one base folder.
 
+Two layouts: whole snapshots (``publish`` / ``read_current``) and per-source
+versions (``publish_sources`` / ``read_sources``), where a version rewrites
+only the sources it touched — the one the change feed uses.
+
 ``publish`` writes ``<base>/v=<n>`` (parquet, partitioned by source_id so a
 scan for some sources prunes the rest) and Spark's committer marks it with
 ``_SUCCESS``; ``read_current`` reads the newest committed version. Nothing is
@@ -61,3 +65,78 @@ def publish(df: DataFrame, base: str, version: int | None = None, partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(f"{base.rstrip('/')}/v={version}")
     return version
+
+
+# ---------------------------------------------------------------------------
+# Per-source versions: a version rewrites only the sources it touched.
+#
+#   <base>/data/v=<n>/source_id=<s>/   rows of source s as of version n
+#   <base>/manifest/v=<n>/             (source_id, v) for every source; its
+#                                       _SUCCESS marker commits version n
+#
+# The manifest is metadata (one row per source). Reading the current state
+# reads exactly the partitions it lists, so a run over a few sources neither
+# reads nor rewrites the rest of a very large state.
+
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def manifest_versions(spark: SparkSession, base: str) -> list[int]:
+    return committed_versions(spark, f"{base.rstrip('/')}/manifest")
+
+
+def read_manifest(spark: SparkSession, base: str, version: int | None = None) -> DataFrame | None:
+    versions = manifest_versions(spark, base)
+    if version is not None:
+        versions = [v for v in versions if v <= version]
+    if not versions:
+        return None
+    return spark.read.parquet(f"{base.rstrip('/')}/manifest/v={versions[-1]}")
+
+
+def read_sources(spark: SparkSession, base: str, sources: DataFrame | None = None, version: int | None = None,
+                 schema=None) -> DataFrame | None:
+    """Current rows of all sources, or of ``sources`` (DataFrame with source_id),
+    as of the newest committed version <= ``version``."""
+    m = read_manifest(spark, base, version)
+    if m is not None and sources is not None:
+        m = m.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    entries = [] if m is None else [(r.source_id, r.v) for r in m.collect()]
+    root = f"{base.rstrip('/')}/data"
+    fs, _, jvm = _fs(spark, root)
+    paths = [f"{root}/v={v}/source_id={s}" for s, v in entries]
+    paths = [p for p in paths if fs.exists(jvm.org.apache.hadoop.fs.Path(p))]
+    if not paths:
+        return spark.createDataFrame([], schema) if schema is not None else None
+    reader = spark.read.option("basePath", root)
+    if schema is not None:
+        # declared types win over partition inference (source_id stays a string)
+        from pyspark.sql import types as T
+        fields = [f for f in schema.fields if f.name != "v"]
+        reader = reader.schema(T.StructType(fields + [T.StructField("v", T.IntegerType())]))
+        return reader.parquet(*paths).drop("v")
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")  # partition values are read as strings
+    try:
+        return reader.parquet(*paths).drop("v")
+    finally:
+        spark.conf.set(key, before)
+
+
+def publish_sources(rows: DataFrame, touched: DataFrame, base: str, version: int) -> int:
+    """Commit ``version``: ``rows`` are the complete new rows of the ``touched``
+    sources (source_id column); every other source keeps its earlier version.
+    Idempotent: an already committed version is left as it is."""
+    spark = rows.sparkSession
+    base = base.rstrip("/")
+    if version in manifest_versions(spark, base):
+        return version
+    rows.write.mode("overwrite").partitionBy("source_id").parquet(f"{base}/data/v={version}")
+    t = touched.select("source_id").distinct()
+    prev = read_manifest(spark, base, version - 1)
+    new = t.select("source_id", F.lit(version).alias("v"))
+    if prev is not None:
+        new = prev.join(t, "source_id", "left_anti").unionByName(new)
+    new.coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/v={version}")
+    return version

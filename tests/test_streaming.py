@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from snapfeed.operators import diff
-from snapfeed.sources.state import committed_versions, read_current
+from snapfeed.sources.state import manifest_versions, read_sources
 from snapfeed.streaming import change_feed, first_wins_stream, run_timeouts, run_timeouts_stateful
 from snapfeed.streaming.change_feed import ITEM_STREAM_SCHEMA, apply_batch
 from snapfeed.streaming.run_timeouts import RUN_EVENT_SCHEMA
@@ -40,15 +40,15 @@ def test_change_feed_incremental_equals_batch_and_replay_is_idempotent(spark, sc
     got = sorted((r.run_id, r.dedupe_key, r.change) for r in spark.read.parquet(f"{scratch}/changes").collect())
     assert got == [("r1", "1", "new"), ("r1", "2", "new"), ("r2", "1", "updated"), ("r2", "2", "removed"),
                    ("r3", "1", "removed"), ("r4", "2", "reappeared")]
-    versions = committed_versions(spark, f"{scratch}/state")
+    versions = manifest_versions(spark, f"{scratch}/state")
     assert len(versions) == 2
-    state = {r.dedupe_key: r for r in read_current(spark, f"{scratch}/state").collect()}
+    state = {r.dedupe_key: r for r in read_sources(spark, f"{scratch}/state").collect()}
     assert state["1"].removed and not state["2"].removed and state["2"].data["v"] == "b"
     assert str(state["1"].first_seen_at).startswith("2024-01-01")
     # replaying an applied batch changes nothing
     batch = spark.createDataFrame([r for r in rows if r[1] in ("r3", "r4")], ITEM_STREAM_SCHEMA)
     apply_batch(batch, versions[-1] - 1, f"{scratch}/state", f"{scratch}/changes")
-    assert committed_versions(spark, f"{scratch}/state") == versions
+    assert manifest_versions(spark, f"{scratch}/state") == versions
 
 
 def events_df(spark):
@@ -91,3 +91,22 @@ def test_first_wins_stream(spark, scratch):
     q.awaitTermination()
     keys = sorted(r.dedupe_key.strip() for r in spark.read.parquet(f"{scratch}/fw-out").collect())
     assert keys == ["a", "b"]
+
+
+def test_per_source_versions_rewrite_only_touched(spark, scratch):
+    from snapfeed.sources.state import publish_sources, read_sources
+    base = f"{scratch}/st"
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "source_id string, dedupe_key string")
+    publish_sources(rows, rows, base, 1)
+    publish_sources(spark.createDataFrame([("b", "3")], "source_id string, dedupe_key string"),
+                    spark.createDataFrame([("b",)], "source_id string"), base, 2)
+    cur = sorted((r.source_id, r.dedupe_key) for r in read_sources(spark, base).collect())
+    assert cur == [("a", "1"), ("b", "3")]
+    old = sorted((r.source_id, r.dedupe_key) for r in read_sources(spark, base, version=1).collect())
+    assert old == [("a", "1"), ("b", "2")]
+    only_a = read_sources(spark, base, spark.createDataFrame([("a",)], "source_id string"))
+    assert [r.dedupe_key for r in only_a.collect()] == ["1"]
+    num = f"{scratch}/num"
+    r2 = spark.createDataFrame([("007", "x")], "source_id string, dedupe_key string")
+    publish_sources(r2, r2, num, 1)
+    assert [r.source_id for r in read_sources(spark, num).collect()] == ["007"]
