@@ -537,4 +537,35 @@ JOIN pages p ON 'src' || CAST(p.page_id AS VARCHAR) = s.id"""
   FROM runs)""") + """
 SELECT s.id, s.name, s.origin, substring(sha256(s.config_yaml), 1, 12) AS config_sha, lr.run_id AS last_run_id
 FROM sources s LEFT JOIN lr ON lr.source_id = s.id AND lr.rn = 1"""
+
+    q["scrape_run_summary"] = _with(NAV_ITEMS, f"""capped AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY item_idx) AS rn FROM nav),
+firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id, {strip('href')} ORDER BY item_idx) AS k
+  FROM capped WHERE rn <= 20 AND {strip('href')} <> ''),
+ok AS (SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^:/?#]*)', 1)) AS source_id,
+              CAST(page_id AS VARCHAR) AS run_id,
+              row_number() OVER (PARTITION BY lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^:/?#]*)', 1))
+                                 ORDER BY page_id) AS run_ix
+       FROM pages),
+mx AS (SELECT source_id, max(run_ix) AS max_ix FROM ok GROUP BY source_id),
+pres AS (SELECT o.source_id, f.href AS dedupe_key, o.run_ix, m.max_ix,
+                {item_hash([("href", "f.href"), ("text", "f.text")])} AS h
+         FROM firsts f JOIN ok o ON o.run_id = f.run_id JOIN mx m ON m.source_id = o.source_id WHERE f.k = 1),
+seq AS (SELECT *, lag(run_ix) OVER w AS prev_ix, lag(h) OVER w AS prev_h, lead(run_ix) OVER w AS next_ix
+        FROM pres WINDOW w AS (PARTITION BY source_id, dedupe_key ORDER BY run_ix)),
+ch AS (
+  SELECT source_id, run_ix, CASE WHEN prev_ix IS NULL THEN 'new' WHEN prev_ix < run_ix - 1 THEN 'reappeared'
+                                 WHEN prev_h <> h THEN 'updated' ELSE 'unchanged' END AS change FROM seq
+  UNION ALL
+  SELECT source_id, run_ix + 1, 'removed' FROM seq
+  WHERE (next_ix IS NULL AND run_ix < max_ix) OR next_ix > run_ix + 1)""") + """
+SELECT o.source_id, o.run_id,
+       count(ch.change) FILTER (WHERE ch.change IN ('new', 'reappeared', 'updated', 'unchanged')) AS item_count,
+       count(ch.change) FILTER (WHERE ch.change IN ('new', 'reappeared')) AS items_new,
+       count(ch.change) FILTER (WHERE ch.change = 'updated') AS items_updated,
+       count(ch.change) FILTER (WHERE ch.change = 'removed') AS items_removed
+FROM ok o LEFT JOIN ch ON ch.source_id = o.source_id AND ch.run_ix = o.run_ix
+GROUP BY o.source_id, o.run_id
+"""
     return q

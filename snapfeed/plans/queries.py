@@ -533,3 +533,15 @@ def source_summaries(spark, sf_dir):
     latest = views.latest_runs(T.runs(spark, sf_dir)).select(
         F.col("source_id").alias("id"), "last_run_id")
     return s.join(latest, "id", "left").select("id", "name", "origin", "config_sha", "last_run_id")
+
+
+def scrape_run_summary(spark, sf_dir):
+    """End to end (3.1): every page is a run of its site (runs ordered by page
+    id); extract, cap at 20, first-wins, diff all runs of a site in one pass
+    starting from an empty state; summary per run."""
+    from .scrape import scrape_runs
+    pages = T.nav_pages(spark, sf_dir)
+    runs = pages.select("source_id", "run_id", T.plus_seconds(T.ts_lit(T.T0), F.col("page_id")).alias("started_at"),
+                        F.lit("ok").alias("status"))
+    _, _, _, summary = scrape_runs(pages, T.nav_config(spark, sf_dir), runs, None, 20)
+    return summary
