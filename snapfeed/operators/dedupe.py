@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from ..functions.text import pystrip
@@ -39,14 +39,17 @@ def first_wins(items: DataFrame, key, by=RUN_KEYS, order=DOC_ORDER) -> DataFrame
     """FLT2 + WIN2: drop null/blank keys, keep the earliest item per stripped key.
 
     Adds ``dedupe_key`` = the first item's key as extracted (unstripped), which
-    is what state rows are keyed on. The window is keyed by (run, stripped key),
-    so one huge run still spreads over many tasks."""
+    is what state rows are keyed on. Written as a ``min_by`` aggregate on
+    document order rather than a window: repeats of a key collapse map-side
+    (partial aggregation) before the shuffle, so even a key repeated across a
+    third of all rows never lands whole in one task."""
     kv = key_value(key)
     keyed = items.withColumn("_kv", kv).withColumn("_ks", pystrip(F.col("_kv"))) \
         .where(F.col("_ks").isNotNull() & (F.col("_ks") != ""))
-    w = Window.partitionBy(*by, "_ks").orderBy(*[F.col(o) for o in order])
-    return keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1) \
-        .withColumn("dedupe_key", F.col("_kv")).drop("_rn", "_kv", "_ks")
+    cols = [c for c in keyed.columns if c != "_ks"]
+    first = keyed.groupBy(*by, "_ks").agg(
+        F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(o) for o in order])).alias("_first"))
+    return first.select("_first.*").withColumn("dedupe_key", F.col("_kv")).drop("_kv")
 
 
 def duplicate_keys(items: DataFrame, key, by=RUN_KEYS) -> DataFrame:
