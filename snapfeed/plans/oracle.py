@@ -472,7 +472,7 @@ WHERE lo.last_ok_at IS NULL OR lo.last_ok_at < {AS_OF} - CASE WHEN s.n % 3 = 0 T
                                                          ELSE INTERVAL 7 DAY END"""
 
     q["create_sources"] = _with(SOURCES, """req AS (SELECT 'src' || CAST(user_id % 30 AS VARCHAR) AS name, event_id AS req_ix
-                                  FROM events WHERE event_id % 97 = 0),
+                                  FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY req_ix) AS rk FROM req)""") + """
 SELECT name, req_ix, CASE WHEN name IN (SELECT name FROM sources) OR rk > 1 THEN 'rejected' ELSE 'inserted' END AS outcome
 FROM r"""
@@ -503,7 +503,7 @@ FROM sources"""
         "SELECT run_id + 10000000 AS run_id, 'running' AS kind FROM runs WHERE status <> 'queued' AND run_id % 50 = 0"
 
     q["mined_candidates"] = """
-WITH p AS (SELECT 'src' || CAST(page_id AS VARCHAR) AS source_id, page_id, html FROM pages WHERE page_id < 20),
+WITH p AS (SELECT 'src' || CAST(page_id % 20 AS VARCHAR) AS source_id, page_id, html FROM pages),
 m AS (SELECT source_id, page_id,
              unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)\\s[^>]*?class=["'']([^"'' >]+)', 0)) AS m
       FROM p),
@@ -520,17 +520,18 @@ SELECT 'page-' || CAST(page_id AS VARCHAR) AS name,
 FROM pages"""
 
     q["request_checks"] = """
-SELECT user_id AS request_id, count(*) AS n_sources, count(*) BETWEEN 1 AND 10 AS count_ok,
-       count(*) = count(DISTINCT 'src' || CAST(event_id % 7 AS VARCHAR)) AS unique_ok,
+SELECT event_id // 8 AS request_id, count(*) AS n_sources, count(*) BETWEEN 1 AND 10 AS count_ok,
+       count(*) = count(DISTINCT 'src' || CAST(user_id % 7 AS VARCHAR)) AS unique_ok,
        min(CAST(floor(value) AS BIGINT) % 120) >= 1 AND max(CAST(floor(value) AS BIGINT) % 120) <= 100 AS max_items_ok
-FROM events WHERE event_id % 13 = 0 GROUP BY user_id"""
+FROM events GROUP BY event_id // 8"""
 
-    q["repair_inputs"] = _with(SOURCES) + """
+    q["repair_inputs"] = _with(SOURCES, """cur AS (SELECT 'src' || CAST(page_id % 20 AS VARCHAR) AS source_id,
+                                         arg_max(html, page_id) AS html FROM pages GROUP BY 1)""") + """
 SELECT s.id AS source_id, t.target, CAST(length(substring(p.html, 1, 20000)) AS BIGINT) AS snippet_chars
 FROM sources s
 JOIN (SELECT 'summary' AS target, 0 AS m UNION ALL SELECT 'url', 1) t
   ON (t.m = 0 AND s.n % 2 = 0) OR (t.m = 1 AND s.n % 3 = 0)
-JOIN pages p ON 'src' || CAST(p.page_id AS VARCHAR) = s.id"""
+JOIN cur p ON p.source_id = s.id"""
 
     q["source_summaries"] = _with(SOURCES, RUNS, """lr AS (
   SELECT source_id, run_id, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS rn

@@ -362,10 +362,15 @@ def _proposals(spark, sf_dir):
     return repair.parse_proposals(props)
 
 
-def _source_pages(spark, sf_dir):
+def _all_source_pages(spark, sf_dir):
+    """Every page snapshot belongs to source src<page_id % 20>."""
     p = T.read(spark, sf_dir, "pages")
-    return p.where(F.col("page_id") < 20).select(F.concat(F.lit("src"), F.col("page_id").cast("string")).alias("source_id"),
-                                                 "html")
+    return p.select(F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("source_id"), "page_id", "html")
+
+
+def _source_pages(spark, sf_dir):
+    """Each source's current page: its newest snapshot (highest page id)."""
+    return _all_source_pages(spark, sf_dir).groupBy("source_id").agg(F.max_by("html", "page_id").alias("html"))
 
 
 def apply_proposals(spark, sf_dir):
@@ -415,9 +420,9 @@ def stale_sources(spark, sf_dir):
 
 
 def create_sources(spark, sf_dir):
-    """UPS1 AGG11: registration requests (every 97th event) against existing
-    sources and earlier requests for the same name."""
-    ev = T.read(spark, sf_dir, "events").where(F.col("event_id") % 97 == 0)
+    """UPS1 AGG11: one registration request per event (name by user) against
+    existing sources and earlier requests for the same name."""
+    ev = T.read(spark, sf_dir, "events")
     name = F.concat(F.lit("src"), (F.col("user_id") % 30).cast("string"))
     req = ev.select(name.alias("name"), F.col("event_id").alias("req_ix"),
                     F.concat(F.lit("name: "), name, F.lit("\n")).alias("config_yaml"),
@@ -481,10 +486,8 @@ def unknown_run_events(spark, sf_dir):
 
 
 def mined_candidates(spark, sf_dir):
-    """RPR5: container candidates mined from each source's page."""
-    p = T.read(spark, sf_dir, "pages").where(F.col("page_id") < 20).select(
-        F.concat(F.lit("src"), F.col("page_id").cast("string")).alias("source_id"), "page_id", "html")
-    m = repair.mine_candidates(p, T.sources(spark, sf_dir))
+    """RPR5: container candidates mined from all pages of each source."""
+    m = repair.mine_candidates(_all_source_pages(spark, sf_dir), T.sources(spark, sf_dir))
     return m.select("source_id", "selector", "per_page")
 
 
@@ -510,20 +513,20 @@ def submit_sources(spark, sf_dir):
 
 
 def request_checks(spark, sf_dir):
-    """CFG8: batch requests (every 13th event) checked for bounds."""
-    ev = T.read(spark, sf_dir, "events").where(F.col("event_id") % 13 == 0)
-    req = ev.select(F.col("user_id").alias("request_id"),
-                    F.concat(F.lit("src"), (F.col("event_id") % 7).cast("string")).alias("source"),
+    """CFG8: every event is a (request, source) row; requests are runs of 8
+    consecutive events, checked for bounds."""
+    ev = T.read(spark, sf_dir, "events")
+    req = ev.select(F.floor(F.col("event_id") / 8).cast("long").alias("request_id"),
+                    F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source"),
                     (F.floor("value").cast("long") % 120).alias("max_items"))
     return config_checks.request_violations(req)
 
 
 def repair_inputs(spark, sf_dir):
-    """FN12 HLT2: repair targets with the first 20,000 characters of the page."""
+    """FN12 HLT2: repair targets with the first 20,000 characters of the
+    source's current page."""
     t = repair.targets(T.field_items(spark, sf_dir), T.sources(spark, sf_dir))
-    pages = T.read(spark, sf_dir, "pages").where(F.col("page_id") < 20).select(
-        F.concat(F.lit("src"), F.col("page_id").cast("string")).alias("source_id"), "html")
-    r = repair.repair_inputs(t, pages)
+    r = repair.repair_inputs(t, _source_pages(spark, sf_dir))
     return r.select("source_id", "target", F.length("html_snippet").cast("long").alias("snippet_chars"))
 
 
