@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +26,27 @@ DEFAULT_CONF = {
 }
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Make the package importable in executor Python workers (``addPyFile``),
+    once per SparkContext; cloudpickled functions refer to its modules."""
+    sc = spark.sparkContext
+    if getattr(sc, "_snapfeed_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zip_path = os.path.join(tempfile.mkdtemp(prefix="snapfeed-code-"), "snapfeed.zip")
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            if "__pycache__" in folder:
+                continue
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zip_path)
+    sc._snapfeed_shipped = True
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "snapfeed", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -37,6 +60,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_code(spark)
     return spark
 
 
@@ -52,7 +76,10 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = fallback or os.environ.get("SNAPFEED_SCRATCH") or "/tmp/snapfeed-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # some sessions refuse runtime changes to core settings
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir.rstrip("/")

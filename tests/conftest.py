@@ -12,12 +12,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from snapfeed.session import build_session
+    from snapfeed.session import build_session, shared_dir
 
-    scratch = tempfile.mkdtemp(prefix="snapfeed-test-")
-    spark = build_session("local[4]", 4, app_name="snapfeed-tests",
-                          extra={"spark.checkpoint.dir": scratch + "/ckpt",
-                                 "spark.sql.warehouse.dir": scratch + "/wh"})
+    spark = build_session("local[4]", 4, app_name="snapfeed-tests")
+    # the session's spark.checkpoint.dir wins; a scratch folder only when it is unset
+    shared_dir(spark, fallback=tempfile.mkdtemp(prefix="snapfeed-test-") + "/ckpt")
     yield spark
     spark.stop()
 
