@@ -88,3 +88,17 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder (never reused, never deleted here)."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 << 20,
+                  max_partitions: int = 200_000) -> int:
+    """Shuffle sizing for large inputs: enough partitions that each holds about
+    ``target_bytes`` (AQE coalesces the small ones back), and the same target
+    as AQE's advisory size and skew threshold base. Returns the partition count."""
+    cores = spark.sparkContext.defaultParallelism
+    n = max(cores, min(max_partitions, -(-int(input_bytes) // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", str(4 * target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes // 2))
+    return n
