@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..operators import dedupe, diff, extract
 from ..operators.common import checked_broadcast
-from ..session import shared_dir
 
 
 def scrape_runs(pages: DataFrame, configs: DataFrame, runs: DataFrame, state: DataFrame | None,
@@ -24,9 +23,9 @@ def scrape_runs(pages: DataFrame, configs: DataFrame, runs: DataFrame, state: Da
     Returns (items, changes, next_state, summary); ``items`` are the kept
     (capped, deduped) items."""
     # the raw items feed the failed-run list and the item path: parse every
-    # page once and keep the (much smaller) item table in the shared folder
-    shared_dir(pages.sparkSession)
-    raw = extract.extract_items(pages, configs).checkpoint(eager=True)
+    # page once and keep the (much smaller) item table for both (a lost block
+    # is rebuilt from lineage)
+    raw = extract.extract_items(pages, configs).persist()
     failed = raw.where(F.col("error").isNotNull()).select("source_id", "run_id").distinct()
     ok_runs = runs.where(F.col("status") == "ok").select("source_id", "run_id", "started_at") \
         .join(failed, ["source_id", "run_id"], "left_anti")
