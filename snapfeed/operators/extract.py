@@ -238,3 +238,20 @@ def test_selectors(proposals: DataFrame, pages: DataFrame, on: str = "source_id"
 def selector_error(sel: pd.Series, kind: pd.Series) -> pd.Series:
     """EXT9: null when the selector compiles, else the error text."""
     return pd.Series([None if s is None else dom.check_selector(s, k) for s, k in zip(sel, kind)], dtype=object)
+
+
+def crawl(pages: DataFrame, configs: DataFrame) -> DataFrame:
+    """EXT8 + EXT1 + JOIN11 composed: attach pages to sources by host, follow
+    next links from each config's seed URL for up to ``max_pages`` pages, and
+    extract items from the visited pages only (``page_no`` = position in the
+    crawl). Pages that are never reached are parsed once for their next link
+    but contribute no items."""
+    matched = match_pages(pages, configs)
+    if "run_id" not in matched.columns:
+        matched = matched.withColumn("run_id", F.lit(None).cast("string"))
+    links = page_links(matched, configs)
+    seeds = configs.select("source_id", F.col("config.url").alias("url"),
+                           F.coalesce(F.col("config.pagination.max_pages"), F.lit(1)).alias("max_pages"))
+    visited = paginate(seeds, links)
+    reached = matched.drop("page_no").join(visited, ["source_id", "url"])
+    return extract_items(reached, configs)

@@ -78,3 +78,14 @@ def test_selector_tests_and_errors(spark):
     assert got["h9::text"].n_matches == 0 and got["h9::text"].selector_error is None
     assert got["//tr/@id"].matches[0] == "10001"
     assert got["tr["].selector_error is not None
+
+
+def test_crawl_composes_match_paginate_extract(spark):
+    site = "https://news.example.com/"
+    p = pages(spark, [(1, site, PAGE1), (2, "https://news.example.com/news?p=2", PAGE2),
+                      (3, "https://news.example.com/orphan", PAGE2)])
+    cfg = configs(spark, [config_row("hn", "tr.athing", FIELDS, "id", url=site, next_sel="a.morelink::attr(href)",
+                                     max_pages=3)])
+    got = extract.crawl(p, cfg).collect()
+    assert len(got) == 10
+    assert sorted({(r.page_no, r.page_id) for r in got}) == [(1, 1), (2, 2)]
