@@ -117,7 +117,7 @@ def violations(df: DataFrame, raw_col: str = "raw_json", check_hosts: bool = Fal
                F.lit("url: invalid URL")),
         F.when(c["schedule"].isNull(), F.lit("schedule: field required")),
         F.when(c["item"].isNull(), F.lit("item: field required")),
-        F.when(c["item"].isNotNull() & (F.coalesce(F.size(c["item"]["fields"]), F.lit(0)) < 1),
+        F.when(c["item"].isNotNull() & (c["item"]["fields"].isNull() | (F.size(c["item"]["fields"]) < 1)),
                F.lit("item.fields: at least 1 field required")),
         F.when(c["item"].isNotNull() & (F.size(c["item"]["fields"]) >= 1)
                & ~F.array_contains(names, c["item"]["dedupe_key"]),

@@ -230,7 +230,7 @@ def test_selectors(proposals: DataFrame, pages: DataFrame, on: str = "source_id"
     res = task_in.mapInPandas(_match_batches, MATCH_SCHEMA)
     return props.join(res, "row_id", "left").select(
         *[F.col(c) for c in proposals.columns],
-        F.col("matches"), F.coalesce(F.size("matches"), F.lit(0)).alias("n_matches"),
+        F.col("matches"), F.when(F.col("matches").isNull(), F.lit(0)).otherwise(F.size("matches")).alias("n_matches"),
         F.col("error").alias("selector_error"))
 
 
