@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 50_000
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """Bounded count: True when ``df`` has at most ``max_rows`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` only when the table is proven small (bounded count),
     otherwise the plain DataFrame so the optimizer plans a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def broadcaster(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS):
+    """One size check for a small table and everything projected from it:
+    returns ``F.broadcast`` when ``df`` is proven small, else the identity."""
+    return F.broadcast if is_small(df, max_rows) else (lambda d: d)
 
 
 def as_ts(c) -> Column:
