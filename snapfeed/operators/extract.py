@@ -82,6 +82,7 @@ def _page_columns(pages: DataFrame) -> DataFrame:
 
 def _extract_batches(batches):
     cache: dict = {}
+    last_key, last_doc = None, None  # a page's config matches arrive consecutively: parse it once
     for pdf in batches:
         out = {k: [] for k in RAW_ITEM_SCHEMA.fieldNames()}
         for row in pdf.itertuples(index=False):
@@ -89,8 +90,10 @@ def _extract_batches(batches):
             if item_cfg is None:
                 item_cfg = cache[row.cfg_item_json] = json.loads(row.cfg_item_json)
             try:
-                doc = dom.parse_html(row.html)
-                recs = dom.extract_from_doc(doc, item_cfg)
+                key = (row.url, len(row.html or ""), hash(row.html))
+                if key != last_key:
+                    last_key, last_doc = key, dom.parse_html(row.html)
+                recs = dom.extract_from_doc(last_doc, item_cfg)
                 err = None
             except Exception as exc:  # one bad page or selector must not fail the job
                 recs, err = [], f"{type(exc).__name__}: {exc}"

@@ -89,3 +89,11 @@ def test_crawl_composes_match_paginate_extract(spark):
     got = extract.crawl(p, cfg).collect()
     assert len(got) == 10
     assert sorted({(r.page_no, r.page_id) for r in got}) == [(1, 1), (2, 2)]
+
+
+def test_page_parsed_once_for_all_its_configs(spark):
+    p = pages(spark, [(1, "https://news.example.com/", PAGE1)]).withColumn("source_id", F.lit("hn"))
+    cfg = configs(spark, [config_row("hn", "tr.athing", FIELDS, "id"),
+                          config_row("hn", "span.titleline", [("t", "a::text", "css", None)], "t")])
+    rows = extract.extract_items(p, cfg).collect()
+    assert len(rows) == 14  # 7 rows per config, same page
