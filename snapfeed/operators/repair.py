@@ -97,7 +97,7 @@ def score(proposals: DataFrame, pages: DataFrame) -> DataFrame:
     return tested.withColumn("valid", (F.col("n_matches") > 0) & F.col("selector_error").isNull())
 
 
-def apply(scored: DataFrame, sources: DataFrame, llm_errors: DataFrame | None = None,
+def apply(scored: DataFrame, sources: DataFrame, proposer_errors: DataFrame | None = None,
           as_of=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """RPR2 + RPR3 + SNK5: returns (next_sources, heals, patches).
 
@@ -116,8 +116,9 @@ def apply(scored: DataFrame, sources: DataFrame, llm_errors: DataFrame | None =
         F.col("selector").alias("new_selector"), "selector_type",
         F.col("confidence").cast("double").alias("confidence"), "reasoning", "sample_values",
         mode.alias("mode"), applied.alias("applied"))
-    if llm_errors is not None:
-        e = llm_errors.join(src, "source_id").select(
+    if proposer_errors is not None:
+        # Fixed value: reasoning prefix of a heal row whose proposal request failed.
+        e = proposer_errors.join(src, "source_id").select(
             "source_id", "run_id", F.col("target").alias("field_name"), "old_selector",
             F.lit("").alias("new_selector"), "selector_type", F.lit(0.0).alias("confidence"),
             F.concat(F.lit("LLM error: "), F.col("error")).alias("reasoning"),
