@@ -46,3 +46,21 @@ def test_log_appends(spark, scratch):
     heals = spark.createDataFrame([("s", "title", True)], "source_id string, field_name string, applied boolean")
     logs.append_heals(heals, f"{scratch}/heals")
     assert spark.read.parquet(f"{scratch}/heals").count() == 1
+
+
+def test_failed_proposal_request_writes_heal_row(spark):
+    src = spark.createDataFrame([("s1", "s1", "api", None)],
+                                "id string, name string, origin string, config struct<item:struct<container:string,"
+                                "fields:array<struct<name:string,selector:string>>>>") \
+        .withColumn("description", F.lit("")).withColumn("config_yaml", F.lit("y")) \
+        .withColumn("config_sha", F.lit("x")).withColumn("created_at", F.current_timestamp()) \
+        .withColumn("updated_at", F.current_timestamp()).withColumn("base_url", F.lit("https://x/"))
+    scored = spark.createDataFrame([], "source_id string, run_id long, target string, old_selector string, "
+                                       "selector string, selector_type string, confidence double, reasoning string, "
+                                       "sample_values array<string>, valid boolean")
+    errs = spark.createDataFrame([("s1", None, "title", "h2::text", "css", "timeout")],
+                                 "source_id string, run_id long, target string, old_selector string, "
+                                 "selector_type string, error string")
+    _, heals, _ = RP.apply(scored, src, proposer_errors=errs)
+    h = heals.first()
+    assert (h.new_selector, h.confidence, h.applied, h.reasoning) == ("", 0.0, False, "LLM error: timeout")
