@@ -569,4 +569,13 @@ SELECT o.source_id, o.run_id,
 FROM ok o LEFT JOIN ch ON ch.source_id = o.source_id AND ch.run_ix = o.run_ix
 GROUP BY o.source_id, o.run_id
 """
+
+    q["history_run_summary"] = _with(HISTORY) + """
+SELECT o.source_id, o.run_id,
+       count(c.change) FILTER (WHERE c.change IN ('new', 'reappeared', 'updated', 'unchanged')) AS item_count,
+       count(c.change) FILTER (WHERE c.change IN ('new', 'reappeared')) AS items_new,
+       count(c.change) FILTER (WHERE c.change = 'updated') AS items_updated,
+       count(c.change) FILTER (WHERE c.change = 'removed') AS items_removed
+FROM ok o LEFT JOIN hchg c ON c.source_id = o.source_id AND c.run_ix = o.run_ix
+GROUP BY o.source_id, o.run_id"""
     return q

@@ -548,3 +548,11 @@ def scrape_run_summary(spark, sf_dir):
                         F.lit("ok").alias("status"))
     _, _, _, summary = scrape_runs(pages, T.nav_config(spark, sf_dir), runs, None, 20)
     return summary
+
+
+def history_run_summary(spark, sf_dir):
+    """AGG3 over CHG2: new / updated / removed per run of the five-run history
+    (src5's h3 is an empty successful run, src9's h2 failed and is skipped)."""
+    runs = T.history_runs(spark, sf_dir)
+    ch = diff.history(T.history_items(spark, sf_dir), runs)
+    return diff.history_summary(ch, runs)
