@@ -140,3 +140,16 @@ def publish_sources(rows: DataFrame, touched: DataFrame, base: str, version: int
         new = prev.join(t, "source_id", "left_anti").unionByName(new)
     new.coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/v={version}")
     return version
+
+
+def compact(spark: SparkSession, base: str, version: int, schema=None) -> int:
+    """Rewrite every source's current rows as ``version`` so the new manifest
+    points only at it; older version folders are then unreferenced and can be
+    removed by retention. Idempotent like ``publish_sources``."""
+    if version in manifest_versions(spark, base):
+        return version
+    current = read_sources(spark, base, schema=schema)
+    m = read_manifest(spark, base)
+    if current is None or m is None:
+        return version
+    return publish_sources(current, m.select("source_id"), base, version)

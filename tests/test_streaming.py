@@ -110,3 +110,17 @@ def test_per_source_versions_rewrite_only_touched(spark, scratch):
     r2 = spark.createDataFrame([("007", "x")], "source_id string, dedupe_key string")
     publish_sources(r2, r2, num, 1)
     assert [r.source_id for r in read_sources(spark, num).collect()] == ["007"]
+
+
+def test_compaction_keeps_rows_and_points_manifest_at_one_version(spark, scratch):
+    from snapfeed.sources.state import compact, publish_sources, read_manifest, read_sources
+    base = f"{scratch}/cmp"
+    a = spark.createDataFrame([("a", "1"), ("b", "2")], "source_id string, dedupe_key string")
+    publish_sources(a, a, base, 1)
+    b = spark.createDataFrame([("b", "3")], "source_id string, dedupe_key string")
+    publish_sources(b, b, base, 2)
+    before = sorted((r.source_id, r.dedupe_key) for r in read_sources(spark, base).collect())
+    compact(spark, base, 3)
+    after = sorted((r.source_id, r.dedupe_key) for r in read_sources(spark, base).collect())
+    assert before == after == [("a", "1"), ("b", "3")]
+    assert {r.v for r in read_manifest(spark, base).collect()} == {3}
