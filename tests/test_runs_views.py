@@ -111,3 +111,17 @@ def test_batch_outcome(spark):
     src = spark.createDataFrame([("a",)], "name string")
     got = {r.source: (r.outcome, r.error) for r in R.batch_outcome(req, src).collect()}
     assert got == {"a": ("run", None), "ghost": ("failed", "Unknown source: ghost")}
+
+
+def test_heals_by_source_with_names(spark):
+    heals = spark.createDataFrame([
+        ("h1", "a", "title", "x", "y", ts("2024-01-01 00:00:00")),
+        ("h2", "b", "title", "x", "z", ts("2024-01-02 00:00:00")),
+        ("h3", "a", "container", "p", "q", ts("2024-01-03 00:00:00"))],
+        "id string, source_id string, field_name string, old_selector string, new_selector string, created_at timestamp")
+    sources = spark.createDataFrame([("a", "alpha"), ("b", "beta")], "id string, name string")
+    only_a = V.heals_page(heals, sources, source_name="alpha").collect()
+    assert [(r.id, r.source_name) for r in only_a] == [("h3", "alpha"), ("h1", "alpha")]
+    assert [r.id for r in V.heals_page(heals, sources, limit=2, offset=1).collect()] == ["h2", "h1"]
+    view = {r.id: r.selectors for r in V.heal_view(heals).collect()}
+    assert view["h2"] == {"old": "x", "new": "z"}
