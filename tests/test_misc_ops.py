@@ -64,3 +64,18 @@ def test_failed_proposal_request_writes_heal_row(spark):
     _, heals, _ = RP.apply(scored, src, proposer_errors=errs)
     h = heals.first()
     assert (h.new_selector, h.confidence, h.applied, h.reasoning) == ("", 0.0, False, "LLM error: timeout")
+
+
+def test_size_shuffles(spark):
+    from snapfeed.session import size_shuffles
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        n = size_shuffles(spark, 100 << 40)  # 100 TiB of input
+        assert n == 200_000 and spark.conf.get("spark.sql.shuffle.partitions") == "200000"
+        assert size_shuffles(spark, 1 << 20) == spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(256 << 20)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
