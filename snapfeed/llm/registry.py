@@ -1,11 +1,13 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import archives, bitsliced, fingerprints, mixing, packing, secrets
+from . import archives, bitsliced, fingerprints, mixing, neardup, packing, secrets, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_packing": packing.op3_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
+    "op7_neardup": neardup.op7_neardup,
     "op8_archives": archives.op8_archives,
     "op9_bitsliced": bitsliced.op9_bitsliced,
     "op10_secrets": secrets.op10_secrets,
