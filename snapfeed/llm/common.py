@@ -115,14 +115,17 @@ def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(U64) * U64(0xD1B54A32D192ED03))
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than ASCII white space) of every text.
+def words(texts: pa.Array, spelled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes other than ASCII white space) of every text, bytes
+    first replaced by ``spelled`` (256 entries) if given.
 
     Returns 64-bit hashes in order, where each text's words begin (one more
     entry for the end), and each word's first byte and byte after it, counted
     from its own text's beginning."""
     data, at = raw(texts)
     n = len(data)
+    if spelled is not None:
+        data = spelled[data]
     if not n:
         return np.zeros(0, U64), np.zeros(len(at), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~_SPACE[data]

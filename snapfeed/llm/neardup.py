@@ -138,8 +138,9 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_likeness, "a long, b long, like double")
 
 
-def verified(buckets: DataFrame, sets_of, least: float = SIMILARITY) -> DataFrame | None:
-    """Links (a, b) between the members of ``buckets`` (bucket, uid)."""
+def verified(buckets: DataFrame, sets_of, least: float = SIMILARITY, measure=measure) -> DataFrame | None:
+    """Links (a, b, like, ...) between the members of ``buckets`` (bucket, uid);
+    ``sets_of`` gives what ``measure`` compares. None if no bucket has two members."""
     first = stored(buckets.groupBy("bucket").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
                    .select("bucket", "pivot"), "pivots")
     members = stored(buckets.join(small(first), "bucket").select("bucket", "uid", "pivot"), "members")
@@ -169,7 +170,7 @@ def verified(buckets: DataFrame, sets_of, least: float = SIMILARITY) -> DataFram
         if not pivots.limit(1).count():
             extra = crossing(tested, members, least)
             if extra is None:
-                return near
+                return tested.where(F.col("like") >= least)
             pivots = extra
         done = stored(done.unionByName(pivots).distinct(), "pivots-done")
         open_ = members.select("bucket", "uid").join(small(pivots.select("bucket").distinct()), "bucket", "left_semi")

@@ -1,10 +1,12 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import archives, bitsliced, fingerprints, mixing, neardup, packing, secrets, toxicity
+from . import archives, bitsliced, fingerprints, licenses, mixing, neardup, packing, passages, secrets, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_licenses": licenses.op2_licenses,
     "op3_packing": packing.op3_packing,
+    "op4_passages": passages.op4_passages,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op7_neardup": neardup.op7_neardup,
