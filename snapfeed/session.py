@@ -67,14 +67,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The cluster's shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (tests, local
-    runs) a fallback is set, so lineage cuts and streaming checkpoints never
-    land in a machine-local folder on a real cluster.
+    Read from ``spark.checkpoint.dir``; only in local mode, when it is unset, a
+    local folder is used. On a cluster without that setting this raises.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not fallback and not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = fallback or os.environ.get("SNAPFEED_SCRATCH") or "/tmp/snapfeed-checkpoints"
         try:
             spark.conf.set("spark.checkpoint.dir", conf_dir)

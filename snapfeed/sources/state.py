@@ -79,6 +79,7 @@ def publish(df: DataFrame, base: str, version: int | None = None, partition_by:
 # reads nor rewrites the rest of a very large state.
 
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
 
 
 def manifest_versions(spark: SparkSession, base: str) -> list[int]:
@@ -98,36 +99,42 @@ def read_sources(spark: SparkSession, base: str, sources: DataFrame | None = Non
                  schema=None) -> DataFrame | None:
     """Current rows of all sources, or of ``sources`` (DataFrame with source_id),
     as of the newest committed version <= ``version``."""
-    m = read_manifest(spark, base, version)
-    if m is not None and sources is not None:
-        m = m.join(sources.select("source_id").distinct(), "source_id", "left_semi")
-    entries = [] if m is None else [(r.source_id, r.v) for r in m.collect()]
     root = f"{base.rstrip('/')}/data"
-    fs, _, jvm = _fs(spark, root)
-    paths = [f"{root}/v={v}/source_id={s}" for s, v in entries]
-    paths = [p for p in paths if fs.exists(jvm.org.apache.hadoop.fs.Path(p))]
-    if not paths:
+    fs, path, _ = _fs(spark, root)
+    m = read_manifest(spark, base, version)
+    if m is None or not fs.exists(path):
         return spark.createDataFrame([], schema) if schema is not None else None
-    reader = spark.read.option("basePath", root)
+    if sources is not None:
+        m = m.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    # (source_id, v) are partition columns: the join with the manifest picks one
+    # version per source, and rows of versions never committed are left out
     if schema is not None:
         # declared types win over partition inference (source_id stays a string)
-        from pyspark.sql import types as T
         fields = [f for f in schema.fields if f.name != "v"]
-        reader = reader.schema(T.StructType(fields + [T.StructField("v", T.IntegerType())]))
-        return reader.parquet(*paths).drop("v")
-    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")  # partition values are read as strings
-    try:
-        return reader.parquet(*paths).drop("v")
-    finally:
-        spark.conf.set(key, before)
-
-
-def publish_sources(rows: DataFrame, touched: DataFrame, base: str, version: int) -> int:
+        rows = spark.read.schema(T.StructType(fields + [T.StructField("v", T.IntegerType())])).parquet(root)
+    else:
+        key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+        before = spark.conf.get(key, "true")
+        spark.conf.set(key, "false")  # partition values are read as strings
+        try:
+            rows = spark.read.parquet(root).withColumn("v", F.col("v").cast("int"))
+        finally:
+            spark.conf.set(key, before)
+    return rows.join(m.select("source_id", "v"), ["source_id", "v"], "left_semi").drop("v")
+
+
+def last_batch(spark: SparkSession, base: str) -> int | None:
+    """The stream's last applied micro-batch, which every later version carries on."""
+    m = read_manifest(spark, base)
+    return None if m is None or "last_batch" not in m.columns else m.agg(F.max("last_batch")).first()[0]
+
+
+def publish_sources(rows: DataFrame, touched: DataFrame, base: str, version: int, batch_id: int | None = None) -> int:
     """Commit ``version``: ``rows`` are the complete new rows of the ``touched``
     sources (source_id column); every other source keeps its earlier version.
-    Idempotent: an already committed version is left as it is."""
+    ``batch_id`` is the micro-batch it applies (none for a compaction, which
+    takes a version number but no batch). Idempotent: an already committed
+    version is left as it is."""
     spark = rows.sparkSession
     base = base.rstrip("/")
     if version in manifest_versions(spark, base):
@@ -137,8 +144,9 @@ def publish_sources(rows: DataFrame, touched: DataFrame, base: str, version: int
     prev = read_manifest(spark, base, version - 1)
     new = t.select("source_id", F.lit(version).alias("v"))
     if prev is not None:
-        new = prev.join(t, "source_id", "left_anti").unionByName(new)
-    new.coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/v={version}")
+        new = prev.select("source_id", "v").join(t, "source_id", "left_anti").unionByName(new)
+    mark = batch_id if batch_id is not None else last_batch(spark, base)
+    new.withColumn("last_batch", F.lit(mark).cast("long")).write.mode("overwrite").parquet(f"{base}/manifest/v={version}")
     return version
 
 

@@ -139,15 +139,12 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # items: stored state, the next batch, a history of runs
 
 
-def _title(c_text: Column, n: int = 60) -> Column:
-    return F.substring(c_text, 1, n)
-
-
 def state_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored state: documents with doc_id % 7 <> 3; removed when doc_id % 11 = 0."""
-    d = read(spark, sf_dir, "documents").where(F.col("doc_id") % 7 != 3)
-    key = F.col("doc_id").cast("string")
-    data = F.create_map(F.lit("id"), key, F.lit("title"), _title(F.col("text")),
+    """Stored state: every document; the key has an ``old-`` before it when
+    doc_id % 7 = 3 (the next run doesn't know it); removed when doc_id % 11 = 0."""
+    d = read(spark, sf_dir, "documents")
+    key = F.concat(F.when(F.col("doc_id") % 7 == 3, "old-").otherwise(""), F.col("doc_id").cast("string"))
+    data = F.create_map(F.lit("id"), key, F.lit("title"), F.col("text"),
                         F.lit("url"), F.concat(F.lit("/d/"), key), F.lit("lang"), F.col("lang"))
     last_seen = plus_seconds(ts_lit(T0), F.lit(1000) + (F.col("doc_id") * 7919) % 2590000)
     return d.select(
@@ -157,11 +154,12 @@ def state_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next run's items: doc_id % 9 <> 7; title gains ``*`` when doc_id % 5 = 0;
-    source src13 returns an empty (successful) run."""
-    d = read(spark, sf_dir, "documents").where((F.col("doc_id") % 9 != 7) & (F.col("source") != "src13"))
-    key = F.col("doc_id").cast("string")
-    title = F.concat(_title(F.col("text")), F.when(F.col("doc_id") % 5 == 0, F.lit("*")).otherwise(F.lit("")))
+    """The next run's items: every document; the key gains ``-new`` when doc_id % 9 = 7,
+    the title ``*`` when doc_id % 5 = 0; the items of src13 have moved to src12,
+    so that src13's run is empty (and successful)."""
+    d = read(spark, sf_dir, "documents").withColumn("source", F.when(F.col("source") == "src13", "src12").otherwise(F.col("source")))
+    key = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 7, "-new").otherwise(""))
+    title = F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, F.lit("*")).otherwise(F.lit("")))
     data = F.create_map(F.lit("id"), key, F.lit("title"), title,
                         F.lit("url"), F.concat(F.lit("/d/"), key), F.lit("lang"), F.col("lang"))
     return d.select(F.col("source").alias("source_id"), F.lit("r1").alias("run_id"), key.alias("dedupe_key"),
@@ -196,7 +194,7 @@ def history_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                 & ~((F.col("source") == "src5") & (F.col("r") == 3)))
     key = F.col("doc_id").cast("string")
     data = F.create_map(F.lit("id"), key, F.lit("title"),
-                        F.concat(_title(F.col("text"), 40), F.lit("#"), ((F.col("doc_id") * F.col("r")) % 3).cast("string")))
+                        F.concat(F.col("text"), F.lit("#"), ((F.col("doc_id") * F.col("r")) % 3).cast("string")))
     return r.select(F.col("source").alias("source_id"), F.concat(F.lit("h"), F.col("r").cast("string")).alias("run_id"),
                     key.alias("dedupe_key"), data.alias("data"))
 
@@ -208,11 +206,11 @@ def view_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = (F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("https://other.example.org/x/"), key))
            .when(F.col("doc_id") % 9 == 0, F.lit(""))
            .otherwise(F.concat(F.lit("/d/"), key)))
-    title = F.when(F.col("doc_id") % 13 == 0, F.lit("")).otherwise(_title(F.col("text")))
+    title = F.when(F.col("doc_id") % 13 == 0, F.lit("")).otherwise(F.col("text"))
     data = F.map_filter(F.create_map(
         F.lit("id"), key, F.lit("title"), title, F.lit("url"), url, F.lit("lang"), F.col("lang"),
         F.lit("link"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("/l/"), key)),
-        F.lit("body"), F.when(F.col("doc_id") % 26 == 0, F.substring(F.col("text"), 61, 30))),
+        F.lit("body"), F.when(F.col("doc_id") % 26 == 0, F.col("text"))),
         lambda k, v: v.isNotNull())
     return d.select(F.col("source").alias("source_id"), key.alias("dedupe_key"), data.alias("data"),
                     item_hash(data).alias("content_hash"),
@@ -229,8 +227,8 @@ def field_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     data = F.create_map(
         F.lit("id"), key,
-        F.lit("title"), F.when(F.col("doc_id") % 13 != 0, _title(F.col("text"))),
-        F.lit("summary"), F.when(n % 2 == 1, F.substring(F.col("text"), 61, 40)),
+        F.lit("title"), F.when(F.col("doc_id") % 13 != 0, F.col("text")),
+        F.lit("summary"), F.when(n % 2 == 1, F.col("text")),
         F.lit("url"), F.when(n % 3 != 0, F.concat(F.lit("/d/"), key)))
     return d.select(F.col("source").alias("source_id"), F.lit("r1").alias("run_id"), F.lit(1).alias("page_no"),
                     F.col("doc_id").alias("page_id"), F.lit(0).alias("item_idx"), data.alias("data"),

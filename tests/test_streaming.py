@@ -18,8 +18,8 @@ def snapshot_rows():
     runs = [("r1", "2024-01-01", {"1": "a", "2": "b"}), ("r2", "2024-01-02", {"1": "a2"}),
             ("r3", "2024-01-03", {}), ("r4", "2024-01-04", {"2": "b"})]
     for run, day, items in runs:
-        rows.append(("s", run, t(day), "ok", None, None))
-        rows += [("s", run, t(day), "ok", k, {"id": k, "v": v}) for k, v in items.items()]
+        rows.append(("s", run, t(day), "ok", None, None, len(items)))
+        rows += [("s", run, t(day), "ok", k, {"id": k, "v": v}, None) for k, v in items.items()]
     return rows
 
 
@@ -47,10 +47,26 @@ def test_change_feed_incremental_equals_batch_and_replay_is_idempotent(spark, sc
     assert str(state["1"].first_seen_at).startswith("2024-01-01")
     # replaying an applied batch changes nothing
     batch = spark.createDataFrame([r for r in rows if r[1] in ("r3", "r4")], ITEM_STREAM_SCHEMA)
-    apply_batch(batch, versions[-1] - 1, f"{scratch}/state", f"{scratch}/changes")
+    apply_batch(batch, 1, f"{scratch}/state", f"{scratch}/changes")
     assert manifest_versions(spark, f"{scratch}/state") == versions
 
 
+def test_split_runs_and_compaction_lose_nothing(spark, scratch):
+    from snapfeed.sources.state import compact
+    rows = snapshot_rows()
+    want = [("r1", "1", "new"), ("r1", "2", "new"), ("r2", "1", "updated"), ("r2", "2", "removed"), ("r3", "1", "removed"), ("r4", "2", "reappeared")]
+    # one row per micro-batch, markers before or after their items
+    for order, name in ((rows, "a"), (sorted(rows, key=lambda r: (r[2], r[4] is None)), "b")):
+        state, changes = f"{scratch}/{name}-state", f"{scratch}/{name}-changes"
+        for i, row in enumerate(order):
+            apply_batch(spark.createDataFrame([row], ITEM_STREAM_SCHEMA), i, state, changes)
+            if i == 3:
+                compact(spark, state, manifest_versions(spark, state)[-1] + 1)
+                apply_batch(spark.createDataFrame([row], ITEM_STREAM_SCHEMA), i, state, changes)  # a replay
+        got = sorted((r.run_id, r.dedupe_key, r.change) for r in spark.read.parquet(changes).collect())
+        assert got == want
+
+
 def events_df(spark):
     return spark.createDataFrame([
         (1, "s", "queued", t("2024-01-01 00:00:00"), 0), (1, "s", "running", t("2024-01-01 00:00:01"), 1),
