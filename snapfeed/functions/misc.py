@@ -1,4 +1,4 @@
-"""Small scalar helpers: durations, truncation, percentages, staleness."""
+"""Small scalar helpers: durations, percentages, staleness."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from .text import _col
 
-# Fixed value: the first this-many characters of a page are shown to a repairer.
-MAX_HTML_LENGTH = 20000
-
-
 def duration_ms(started, ended) -> Column:
     """max(0, whole milliseconds between two timestamps), truncating like int(); bigint."""
     micros = F.unix_micros(_col(ended)) - F.unix_micros(_col(started))
@@ -18,10 +14,6 @@ def duration_ms(started, ended) -> Column:
     return F.greatest(F.lit(0).cast("long"), ms.cast("long"))
 
 
-def truncate_html(c, n: int = MAX_HTML_LENGTH) -> Column:
-    return F.substring(_col(c), 1, n)
-
-
 def percent_text(c) -> Column:
     """``format(x, '.0%')``: round half to even on x*100, then a percent sign."""
     return F.format_string("%d%%", F.rint(_col(c) * 100).cast("long"))

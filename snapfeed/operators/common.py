@@ -1,32 +1,10 @@
-"""Shared plan helpers: size-checked broadcast, timestamp normalisation."""
+"""Shared plan helpers: timestamp normalisation, default columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Small-side limit for broadcasting metadata tables (configs, sources, frontiers).
-# Rows of these tables are a few KB at most; beyond the limit the join shuffles.
-BROADCAST_MAX_ROWS = 50_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Bounded count: True when ``df`` has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` only when the table is proven small (bounded count),
-    otherwise the plain DataFrame so the optimizer plans a shuffle join."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def broadcaster(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS):
-    """One size check for a small table and everything projected from it:
-    returns ``F.broadcast`` when ``df`` is proven small, else the identity."""
-    return F.broadcast if is_small(df, max_rows) else (lambda d: d)
-
-
 def as_ts(c) -> Column:
     """Cast to session-zone TIMESTAMP (driver parquet holds TIMESTAMP_NTZ)."""
     c = F.col(c) if isinstance(c, str) else c

@@ -23,12 +23,14 @@ def key_value(key) -> Column:
     return key
 
 
-def cap(items: DataFrame, n, by=RUN_KEYS, order=DOC_ORDER) -> DataFrame:
-    """WIN3: the first ``n`` items of each run in document order.
+def cap(items: DataFrame, n=None, by=RUN_KEYS, order=DOC_ORDER) -> DataFrame:
+    """WIN3: the first ``n`` items of each run in document order; None keeps all.
 
     An item at position >= n on its page can never be among the first n of its
     run, so that filter runs map-side before the shuffle; the window then sees
     at most n rows per page of a run."""
+    if n is None:
+        return items
     n = F.lit(n) if isinstance(n, int) else _c(n)
     pre = items.where(F.col(order[-1]) < n)
     w = Window.partitionBy(*by).orderBy(*[F.col(o) for o in order])
@@ -64,13 +66,22 @@ def missing_keys(items: DataFrame, key_name) -> DataFrame:
     return items.where(~F.map_contains_key(F.col("data"), kn) | F.col("data").isNull())
 
 
+def key_faults(items: DataFrame, key, by=RUN_KEYS) -> DataFrame:
+    """Every fault of a batch's keys: one row per missing key (n null) and one
+    per repeated key with its count."""
+    name = key if isinstance(key, str) else None
+    repeated = duplicate_keys(items, key, by).select(*by, "dedupe_key", "n", F.lit("repeated").alias("fault"))
+    if name is None:
+        return repeated
+    missing = missing_keys(items, name).select(*by, F.lit(None).cast("string").alias("dedupe_key"),
+                                               F.lit(None).cast("long").alias("n"), F.lit("missing").alias("fault"))
+    return repeated.unionByName(missing)
+
+
 def strict(items: DataFrame, key, by=RUN_KEYS) -> DataFrame:
-    """Raise like the reference's persist step when a batch holds a missing or
-    duplicate key; returns the batch unchanged otherwise."""
-    key_name = key if isinstance(key, str) else None
-    if key_name is not None and missing_keys(items, key_name).limit(1).count():
-        raise ValueError(f"Item missing dedupe_key {key_name!r}")
-    dups = duplicate_keys(items, key, by).limit(5).collect()
-    if dups:
-        raise ValueError(f"Duplicate dedupe_keys in batch: {sorted({r['dedupe_key'] for r in dups})}")
+    """Raise when a batch holds a missing or repeated key (``key_faults`` lists
+    them all); returns the batch unchanged otherwise."""
+    fault = key_faults(items, key, by).orderBy("fault", "dedupe_key").limit(1).collect()
+    if fault:
+        raise ValueError(f"{fault[0]['fault']} key in batch (see key_faults): {fault[0]['dedupe_key']!r}")
     return items

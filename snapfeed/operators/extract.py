@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.urls import resolve_next_url, url_host
 from . import dom
 from ..session import shared_dir
-from .common import checked_broadcast, with_defaults
+from .common import with_defaults
 
 RAW_ITEM_SCHEMA = T.StructType([
     T.StructField("source_id", T.StringType()),
@@ -44,18 +44,6 @@ MATCH_SCHEMA = T.StructType([
 ])
 
 
-def _spread(pages: DataFrame) -> DataFrame:
-    """Pages arrive as few large files in small tests; split them across cores.
-    Big scans already have many splits, so no shuffle is added there."""
-    if pages.isStreaming:
-        return pages
-    spark = pages.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < want:
-        return pages.repartition(want)
-    return pages
-
-
 def _with_config(pages: DataFrame, configs: DataFrame) -> DataFrame:
     cfg_fields = configs.schema["config"].dataType.fieldNames()
     pagination = F.to_json(F.col("config.pagination")) if "pagination" in cfg_fields else F.lit(None).cast("string")
@@ -64,7 +52,7 @@ def _with_config(pages: DataFrame, configs: DataFrame) -> DataFrame:
         F.to_json(F.col("config.item")).alias("cfg_item_json"),
         pagination.alias("cfg_pagination_json"),
     )
-    return pages.join(checked_broadcast(cfg), pages["source_id"] == F.col("cfg_source")).drop("cfg_source")
+    return pages.join(cfg, pages["source_id"] == F.col("cfg_source")).drop("cfg_source")
 
 
 def _page_columns(pages: DataFrame) -> DataFrame:
@@ -118,7 +106,7 @@ def extract_items(pages: DataFrame, configs: DataFrame) -> DataFrame:
     Output: RAW_ITEM_SCHEMA; ``error`` is set (and ``data`` null) for a page
     that could not be processed.
     """
-    joined = _with_config(_spread(_page_columns(pages)), configs)
+    joined = _with_config(_page_columns(pages), configs)
     return joined.mapInPandas(_extract_batches, RAW_ITEM_SCHEMA)
 
 
@@ -148,7 +136,7 @@ def _link_batches(batches):
 def page_links(pages: DataFrame, configs: DataFrame) -> DataFrame:
     """EXT7 + FN9: the first match of ``pagination.next`` on each page, resolved
     against the page URL -> (source_id, page_id, url, next_url)."""
-    joined = _with_config(_spread(_page_columns(pages)), configs)
+    joined = _with_config(_page_columns(pages), configs)
     links = joined.mapInPandas(_link_batches, LINK_SCHEMA)
     return links.withColumn("next_url", resolve_next_url(F.col("next_href"), F.col("url"))).drop("next_href")
 
@@ -157,7 +145,7 @@ def match_pages(pages: DataFrame, configs: DataFrame) -> DataFrame:
     """JOIN11: attach ``source_id`` to pages whose host equals the config URL host."""
     cfg = configs.select(F.col("source_id"), url_host(F.col("config.url")).alias("_host"))
     return pages.withColumn("_host", url_host(F.col("url"))) \
-        .join(checked_broadcast(cfg), "_host").drop("_host")
+        .join(cfg, "_host").drop("_host")
 
 
 def paginate(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None,
@@ -167,22 +155,23 @@ def paginate(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None,
 
     ``seeds``: source_id, url, max_pages.  ``links``: source_id, url, next_url
     (narrow; computed once for all pages).  Output: source_id, url, page_no.
-    The loop runs max(max_pages) rounds; each round joins the frontier (one row
-    per live source, broadcast when proven small) with the link table, which is
+    A page with several next links is followed to the least one. The loop runs
+    max(max_pages) rounds; each round joins the frontier (one row per live
+    source) with the link table, which is
     materialised once (reliable checkpoint) so rounds never re-derive it — when
     it comes from ``page_links`` that would mean re-parsing every page per round.
     """
     shared_dir(seeds.sparkSession)
     if max_rounds is None:
         max_rounds = int(seeds.agg(F.max("max_pages")).first()[0] or 1)
-    edges = links.select("source_id", "url", "next_url").dropDuplicates(["source_id", "url"])
+    edges = links.groupBy("source_id", "url").agg(F.min("next_url").alias("next_url"))
     if materialize:
         edges = edges.checkpoint(eager=True)
     frontier = seeds.select("source_id", "url", F.col("max_pages").cast("int").alias("max_pages"),
                             F.lit(1).alias("page_no"))
     visited = [frontier]
     for _ in range(1, max_rounds):
-        step = edges.join(checked_broadcast(frontier), ["source_id", "url"]) \
+        step = edges.join(frontier, ["source_id", "url"]) \
             .where(F.col("next_url").isNotNull() & (F.col("page_no") < F.col("max_pages"))) \
             .select("source_id", F.col("next_url").alias("url"), "max_pages",
                     (F.col("page_no") + 1).alias("page_no"))

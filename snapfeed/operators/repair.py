@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import config_sha
-from ..functions.misc import percent_text, staleness_interval, truncate_html
-from .common import checked_broadcast
+from ..functions.misc import percent_text, staleness_interval
 from .extract import test_selectors
 from .schemas import PROPOSAL
 
@@ -21,8 +20,8 @@ CONTAINER = "container"
 def unhealthy(runs: DataFrame, sources: DataFrame) -> DataFrame:
     """HLT1 + FLT7 + JOIN5: ok runs whose (capped, deduped) item count is below
     the source's ``health.min_items`` (only when min_items > 0)."""
-    cfg = checked_broadcast(sources.select(F.col("id").alias("source_id"),
-                                           F.col("config.health.min_items").alias("min_items")))
+    cfg = sources.select(F.col("id").alias("source_id"),
+                                           F.col("config.health.min_items").alias("min_items"))
     return runs.where(F.col("status") == "ok").join(cfg, "source_id") \
         .where((F.col("min_items") > 0) & (F.col("item_count") < F.col("min_items")))
 
@@ -90,11 +89,17 @@ def parse_proposals(proposals: DataFrame, raw_col: str = "raw_json") -> DataFram
 
 def score(proposals: DataFrame, pages: DataFrame) -> DataFrame:
     """RPR1: a proposal is valid iff its selector matches at least one node of
-    the source's current page (whole document). ``proposals``: source_id,
-    target, selector, selector_type, ...; ``pages``: source_id, html."""
+    the source's current page (whole document). Proposals that did not parse
+    (``proposal_error``) are not tested and never valid; they stay in the
+    result, so that their heal rows say so. ``proposals``: source_id, target,
+    selector, selector_type, ...; ``pages``: source_id, html."""
     usable = proposals.where(F.col("selector").isNotNull() & (F.col("selector") != ""))
-    tested = test_selectors(usable, pages)
-    return tested.withColumn("valid", (F.col("n_matches") > 0) & F.col("selector_error").isNull())
+    bad = F.col("proposal_error").isNotNull() if "proposal_error" in proposals.columns else F.lit(False)
+    tested = test_selectors(usable.where(~bad), pages)
+    failed = usable.where(bad).select("*", F.lit(None).cast("array<string>").alias("matches"), F.lit(0).alias("n_matches"),
+                                      F.lit(None).cast("string").alias("selector_error"))
+    return (tested.withColumn("valid", (F.col("n_matches") > 0) & F.col("selector_error").isNull())
+            .unionByName(failed.withColumn("valid", F.lit(False))))
 
 
 def apply(scored: DataFrame, sources: DataFrame, proposer_errors: DataFrame | None = None,
@@ -104,11 +109,18 @@ def apply(scored: DataFrame, sources: DataFrame, proposer_errors: DataFrame | No
     api origin + valid -> config patched (container or the named field),
     mode db_patch, applied; file origin + valid -> mode pr, not applied, a
     patch record; invalid -> heal row, not applied; errored proposal -> heal
-    row with empty selector and confidence 0; null selector -> no row."""
+    row with empty selector and confidence 0; null selector -> no row. Of
+    several valid proposals for one target the one with the highest confidence
+    (then the least selector) is applied or becomes the patch record; the
+    others are heal rows, not applied."""
     as_of = F.lit(as_of).cast("timestamp") if as_of is not None and not isinstance(as_of, F.Column) else as_of
-    src = checked_broadcast(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"),
-                                           "origin"))
-    s = scored.join(src, "source_id")
+    src = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"),
+                                           "origin")
+    best = (scored.where("valid").groupBy("source_id", "target")
+            .agg(F.min(F.struct((-F.col("confidence").cast("double")).alias("c"), F.col("selector").alias("s"))).alias("_b"))
+            .select("source_id", "target", F.col("_b.s").alias("_best")))
+    s = scored.join(src, "source_id").join(best, ["source_id", "target"], "left") \
+        .withColumn("valid", F.col("valid") & F.col("selector").eqNullSafe(F.col("_best"))).drop("_best")
     mode = F.when(F.col("origin") == "file", "pr").otherwise("db_patch")
     applied = F.col("valid") & (F.col("origin") != "file")
     heals = s.select(
@@ -117,11 +129,10 @@ def apply(scored: DataFrame, sources: DataFrame, proposer_errors: DataFrame | No
         F.col("confidence").cast("double").alias("confidence"), "reasoning", "sample_values",
         mode.alias("mode"), applied.alias("applied"))
     if proposer_errors is not None:
-        # Fixed value: reasoning prefix of a heal row whose proposal request failed.
         e = proposer_errors.join(src, "source_id").select(
             "source_id", "run_id", F.col("target").alias("field_name"), "old_selector",
             F.lit("").alias("new_selector"), "selector_type", F.lit(0.0).alias("confidence"),
-            F.concat(F.lit("LLM error: "), F.col("error")).alias("reasoning"),
+            F.concat(F.lit("no proposal: "), F.col("error")).alias("reasoning"),
             F.array().cast("array<string>").alias("sample_values"), mode.alias("mode"), F.lit(False).alias("applied"))
         heals = heals.unionByName(e)
     if as_of is not None:
@@ -129,19 +140,15 @@ def apply(scored: DataFrame, sources: DataFrame, proposer_errors: DataFrame | No
     patches = s.where(F.col("valid") & (F.col("origin") == "file")).select(
         "source_id", "source_name", F.col("target").alias("field_name"),
         F.concat(F.lit("heal/"), F.col("source_name")).alias("branch"),
-        F.format_string("heal(%s): update %s selector", F.col("source_name"), F.col("target")).alias("title"),
-        F.concat(
-            F.format_string("## Self-Heal: `%s.%s`\n\n", F.col("source_name"), F.col("target")),
-            F.format_string("**Old selector:** `%s`\n", F.col("old_selector")),
-            F.format_string("**New selector:** `%s`\n", F.col("selector")),
-            F.lit("**Confidence:** "), percent_text(F.col("confidence")), F.lit("\n\n"),
-            F.lit("### Reasoning\n"), F.col("reasoning"), F.lit("\n\n"),
-            F.lit("### Sample values extracted\n"),
-            F.array_join(F.transform("sample_values", lambda v: F.concat(F.lit("- `"), v, F.lit("`"))), "\n"),
-        ).alias("body"))
+        F.concat_ws(" ", F.lit("New selector for"), "target", F.lit("of"), "source_name").alias("title"),
+        F.concat_ws(
+            "\n",
+            F.concat(F.lit("replaces: "), F.col("old_selector")), F.concat(F.lit("with: "), F.col("selector")),
+            F.concat(F.lit("sure to: "), percent_text(F.col("confidence"))), F.concat(F.lit("because: "), F.col("reasoning")),
+            F.transform("sample_values", lambda v: F.concat(F.lit("finds: "), v))).alias("body"))
     # RPR3: one patch map per source (bounded by its field count), applied as struct edits
     patch = s.where(applied).groupBy("source_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("target", "selector"))).alias("_patch"))
+        F.map_from_entries(F.collect_set(F.struct("target", "selector"))).alias("_patch"))
     j = sources.join(patch, sources["id"] == patch["source_id"], "left").drop(patch["source_id"])
     cfg = F.col("config")
     p = F.col("_patch")
@@ -180,6 +187,5 @@ def mine_candidates(pages: DataFrame, sources: DataFrame, min_pages: int = 1) ->
 
 def repair_inputs(targets_df: DataFrame, pages: DataFrame) -> DataFrame:
     """FN12: what a proposal producer sees per target — the old selector and
-    the source's current page cut to its first 20,000 characters before any
-    row leaves the JVM."""
-    return targets_df.join(pages.select("source_id", truncate_html(F.col("html")).alias("html_snippet")), "source_id")
+    the source's whole current page."""
+    return targets_df.join(pages.select("source_id", F.col("html").alias("page_html")), "source_id")

@@ -8,14 +8,13 @@ updated_at, config (struct), base_url.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import config_sha
 from ..functions.hosts import host_is_public
 from ..functions.urls import url_host
 from ..session import shared_dir
-from .common import checked_broadcast
 
 SOURCE_COLS = ("id", "name", "description", "origin", "config_yaml", "config_sha", "created_at", "updated_at",
                "config", "base_url")
@@ -41,11 +40,22 @@ def _ts(as_of):
     return F.lit(as_of).cast("timestamp") if not isinstance(as_of, F.Column) else as_of
 
 
+def last_per_name(requests: DataFrame, name: str) -> DataFrame:
+    """One request per name: the last by ``req_ix`` where that column is given,
+    equal ones by the greater text. An aggregate, so repeats of a name are
+    combined before the shuffle."""
+    ix = F.col("req_ix") if "req_ix" in requests.columns else F.lit(0)
+    cols = [c for c in requests.columns if c != name]
+    last = requests.groupBy(name).agg(F.max_by(F.struct(*cols), F.struct(ix.alias("ix"), F.col("config_yaml"))).alias("_r"))
+    return last.select(name, "_r.*")
+
+
 def sync(sources: DataFrame, file_configs: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """UPS2 + SNK4: mirror file configs. New name -> inserted (origin file);
     changed text (config_sha differs) -> updated and origin set to file; same
-    sha -> unchanged, row byte-identical. Rows with violations are skipped.
-    ``file_configs``: name, config_yaml, config[, violations]."""
+    sha -> unchanged, row byte-identical. Rows with violations are skipped; of
+    several valid texts for one name the last (``req_ix``) counts.
+    ``file_configs``: name, config_yaml, config[, violations, req_ix]."""
     as_of = _ts(as_of)
     fc = file_configs
     if "violations" in fc.columns:
@@ -53,7 +63,7 @@ def sync(sources: DataFrame, file_configs: DataFrame, as_of) -> tuple[DataFrame,
         fc = fc.where(F.size("violations") == 0)
     else:
         skipped = None
-    fc = fc.select("name", "config_yaml", "config", config_sha(F.col("config_yaml")).alias("_sha"))
+    fc = last_per_name(fc, "name").select("name", "config_yaml", "config", config_sha(F.col("config_yaml")).alias("_sha"))
     j = sources.alias("s").join(fc.alias("f"), F.col("s.name") == F.col("f.name"), "full")
     exists = F.col("s.id").isNotNull()
     incoming = F.col("f.name").isNotNull()
@@ -80,37 +90,44 @@ def sync(sources: DataFrame, file_configs: DataFrame, as_of) -> tuple[DataFrame,
 
 def create(sources: DataFrame, requests: DataFrame, as_of, origin: str = "api") -> tuple[DataFrame, DataFrame]:
     """UPS1 + AGG11: insert new names; an existing name, or a repeat of a name
-    earlier in the same request table (``req_ix`` order), is rejected."""
+    earlier in the same request table, is rejected. Requests are ordered by
+    ``req_ix`` (where given) and text; one of several equal ones is inserted.
+
+    The first request per name is an aggregate (``min_by``) over narrow rows,
+    so a name with very many requests is combined before the shuffle."""
     as_of = _ts(as_of)
-    req = requests if "req_ix" in requests.columns else requests.withColumn("req_ix", F.lit(0))
-    w = Window.partitionBy("name").orderBy("req_ix")
-    req = req.withColumn("_rank", F.row_number().over(w))
-    names = sources.select("name")
-    dup_existing = req.join(names, "name", "left_semi")
-    fresh = req.join(names, "name", "left_anti")
-    inserted = fresh.where(F.col("_rank") == 1)
-    rejected = dup_existing.unionByName(fresh.where(F.col("_rank") > 1)).select(
-        "name", "req_ix", F.lit("rejected").alias("outcome"),
-        F.format_string("Source '%s' already exists", F.col("name")).alias("error"))
-    outcomes = inserted.select("name", "req_ix", F.lit("inserted").alias("outcome"),
-                               F.lit(None).cast("string").alias("error")).unionByName(rejected)
+    req = requests if "req_ix" in requests.columns else requests.withColumn("req_ix", F.lit(0).cast("long"))
+    place = F.struct("req_ix", "config_yaml")
+    first = (req.join(sources.select("name"), "name", "left_anti").groupBy("name")
+             .agg(F.min(place).alias("_first"), F.min_by("config", place).alias("config")))
+    inserted = first.select("name", "_first.req_ix", "_first.config_yaml", "config")
+    repeats = (req.groupBy("name", "req_ix", "config_yaml").agg(F.count(F.lit(1)).alias("_n"))
+               .join(inserted.select("name", F.col("req_ix").alias("_ix"), F.col("config_yaml").alias("_text")), "name", "left"))
+    is_first = F.coalesce((F.col("req_ix") == F.col("_ix")) & F.col("config_yaml").eqNullSafe(F.col("_text")), F.lit(False))
+    out = repeats.select("name", "req_ix", F.explode(F.concat(
+        F.when(is_first, F.array(F.lit("inserted"))).otherwise(F.array().cast("array<string>")),
+        F.array_repeat(F.lit("rejected"), (F.col("_n") - is_first.cast("long")).cast("int")))).alias("outcome"))
+    outcomes = out.withColumn("error", F.when(F.col("outcome") == "rejected", F.concat(F.lit("name is taken: "), F.col("name"))))
     nxt = sources.select(*SOURCE_COLS).unionByName(_new_rows(inserted, origin, as_of).select(*SOURCE_COLS))
     return nxt, outcomes
 
 
 def update(sources: DataFrame, updates: DataFrame, as_of, allow_file_origin: bool = False) -> tuple[DataFrame, DataFrame]:
-    """UPS3: ``updates``: path_name, config_yaml, config. Outcome per request:
-    not_found / immutable (file origin) / name_mismatch / updated."""
+    """UPS3: ``updates``: path_name, config_yaml, config[, req_ix]. Outcome per
+    request: not_found / immutable (file origin) / name_mismatch / updated; of
+    several valid updates of one source the last (``req_ix``) is the one stored."""
     as_of = _ts(as_of)
-    u = updates.select(F.col("path_name"), F.col("config_yaml").alias("_yaml"), F.col("config").alias("_cfg"))
+    ix = F.col("req_ix") if "req_ix" in updates.columns else F.lit(0).cast("long")
+    u = updates.select(F.col("path_name"), F.col("config_yaml").alias("_yaml"), F.col("config").alias("_cfg"), ix.alias("req_ix"))
     j = u.join(sources.select("name", "origin"), u["path_name"] == sources["name"], "left")
     outcome = (F.when(F.col("name").isNull(), "not_found")
                .when((F.col("origin") == "file") & F.lit(not allow_file_origin), "immutable")
                .when(F.col("_cfg.name") != F.col("path_name"), "name_mismatch")
                .otherwise("updated"))
-    outcomes = j.select("path_name", outcome.alias("outcome"), "_yaml", "_cfg")
-    applied = outcomes.where(F.col("outcome") == "updated").select(
-        F.col("path_name").alias("name"), "_yaml", "_cfg")
+    outcomes = j.select("path_name", outcome.alias("outcome"), "_yaml", "_cfg", "req_ix")
+    applied = last_per_name(outcomes.where(F.col("outcome") == "updated").select(
+        F.col("path_name").alias("name"), F.col("_yaml").alias("config_yaml"), "_cfg", "req_ix"), "name") \
+        .select("name", F.col("config_yaml").alias("_yaml"), "_cfg")
     s = sources.join(applied, "name", "left")
     hit = F.col("_yaml").isNotNull()
     nxt = s.select(
@@ -139,7 +156,7 @@ def delete(sources: DataFrame, names: DataFrame, allow_file_origin: bool = False
 
 def cascade(child: DataFrame, deleted_sources: DataFrame, key: str = "source_id") -> DataFrame:
     """JOIN10: rows of a child table (runs, items, heals) whose source was deleted go too."""
-    gone = checked_broadcast(deleted_sources.select(F.col("id").alias(key)))
+    gone = deleted_sources.select(F.col("id").alias(key))
     return child.join(gone, key, "left_anti")
 
 
@@ -159,11 +176,10 @@ def submit(checked: DataFrame, sources: DataFrame, as_of) -> tuple[DataFrame, Da
     c = checked.select(F.col("config.name").alias("name"), "config", "config_yaml", F.concat(
         F.col("violations"), F.when(F.col("config.url").isNotNull() & ~host_ok,
                                     F.array(F.lit("url: host is not public"))).otherwise(F.array())).alias("reasons"))
-    # The rule expressions are large; filters and joins below would otherwise
-    # copy them into every pushed predicate. A request table is small, so it is
-    # materialised once (reliable checkpoint in the shared folder).
+    # checkpointed when it first runs (no job while the plan is built): the rule
+    # expressions are large and would be copied into every pushed predicate
     shared_dir(checked.sparkSession)
-    c = c.checkpoint(eager=True)
+    c = c.checkpoint(eager=False)
     valid = c.where(F.size("reasons") == 0)
     nxt, created = create(sources, valid, as_of, "api")
     rejected = c.where(F.size("reasons") > 0).select("name", F.lit("rejected").alias("outcome"), "reasons")

@@ -3,12 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.items import VIEW_EXCLUDE, content_text, pick_url
 from ..functions.urls import resolve_url
-from .common import checked_broadcast
 
 
 def live_counts(items: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def source_stats(sources: DataFrame, items: DataFrame, runs: DataFrame, origin:
     """JOIN6 + JOIN7 + AGG1 + WIN1 + SORT4: every source with its live item
     count (0 when none) and latest run (null when none), by name."""
     src = sources if origin is None else sources.where(F.col("origin") == origin)
-    ids = checked_broadcast(src.select(F.col("id").alias("source_id")))
+    ids = src.select(F.col("id").alias("source_id"))
     counts = live_counts(items.join(ids, "source_id", "left_semi"))
     latest = latest_runs(runs.join(ids, "source_id", "left_semi"))
     return src.join(counts, src["id"] == counts["source_id"], "left").drop(counts["source_id"]) \
@@ -65,8 +64,8 @@ def item_view(items: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     resolved against the source's configured URL."""
     it = items
     if sources is not None:
-        base = checked_broadcast(sources.select(F.col("id").alias("source_id"),
-                                                F.col("base_url").alias("_base")))
+        base = sources.select(F.col("id").alias("source_id"),
+                                                F.col("base_url").alias("_base"))
         it = it.join(base, "source_id", "left")
     else:
         it = it.withColumn("_base", F.lit(None).cast("string"))
@@ -111,10 +110,41 @@ def run_items(items: DataFrame, runs: DataFrame, as_of, bin_seconds: int = 86400
     return j.drop("_bin", "_upper")
 
 
+def items_of_runs(items: DataFrame, runs: DataFrame, as_of, limit: int = 50, offset: int = 0) -> DataFrame:
+    """JOIN4 + SORT2: the live items of the given run (a table of one row), newest first."""
+    return page(run_items(items, runs, as_of), [F.desc("last_seen_at"), F.asc("dedupe_key")], limit, offset)
+
+
+def run_item_counts(items: DataFrame, runs: DataFrame, as_of, bin_seconds: int = 60) -> DataFrame:
+    """JOIN4 counted: (run_id, source_id, n_items), the live items of the run's
+    source last seen inside its closed window, without pairing items and runs.
+
+    Items and the runs' two ends lie on one time line per source; the count of a
+    run is the number of items up to its end less those before its start. Time
+    lines are cut into bins: the items before a bin are a prefix sum over bins,
+    those inside it a window within the bin, so no task holds a whole source."""
+    as_of = F.lit(as_of).cast("timestamp") if not isinstance(as_of, F.Column) else as_of
+    upper = F.coalesce(F.col("ended_at"), as_of)
+    ends = runs.select("run_id", "source_id", F.explode(F.array(
+        F.struct(F.col("started_at").alias("at"), F.lit(0).alias("kind")), F.struct(upper.alias("at"), F.lit(2).alias("kind")))).alias("e"))
+    line = ends.select("source_id", "run_id", "e.at", "e.kind", F.lit(0).alias("n")).unionByName(
+        items.where(~F.col("removed")).select("source_id", F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"),
+                                              F.col("last_seen_at").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("n")))
+    line = line.withColumn("bin", F.floor(F.unix_seconds("at") / bin_seconds).cast("long"))
+    earlier = Window.partitionBy("source_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = line.groupBy("source_id", "bin").agg(F.sum("n").alias("in_bin")) \
+        .select("source_id", "bin", F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source_id", "bin").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    count = line.withColumn("upto", F.sum("n").over(inside)).where("kind != 1").join(bins, ["source_id", "bin"])
+    total = F.col("before") + F.col("upto")
+    return count.groupBy("run_id", "source_id").agg(
+        F.greatest(F.lit(0), F.max(F.when(F.col("kind") == 2, total)) - F.max(F.when(F.col("kind") == 0, total))).cast("long").alias("n_items"))
+
+
 def heals_page(heals: DataFrame, sources: DataFrame, source_name: str | None = None,
                limit: int = 20, offset: int = 0) -> DataFrame:
     """JOIN2 + SORT3: heals with their source's name, newest first."""
-    names = checked_broadcast(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")))
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     h = heals.join(names, "source_id")
     if source_name is not None:
         h = h.where(F.col("source_name") == source_name)

@@ -83,22 +83,24 @@ RUNS = """runs AS (
          CASE WHEN event_type = 'error' THEN 'fetch failed' END AS error
   FROM events)"""
 
+_SKEY = "(CASE WHEN doc_id % 7 = 3 THEN 'old-' ELSE '' END || CAST(doc_id AS VARCHAR))"
+_BKEY = "(CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 9 = 7 THEN '-new' ELSE '' END)"
 STATE = f"""state AS (
-  SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS dedupe_key, substring(text, 1, 60) AS title,
-         '/d/' || CAST(doc_id AS VARCHAR) AS url, lang, doc_id % 11 = 0 AS removed,
+  SELECT source AS source_id, {_SKEY} AS dedupe_key, text AS title,
+         '/d/' || {_SKEY} AS url, lang, doc_id % 11 = 0 AS removed,
          {secs('doc_id % 1000')} AS first_seen_at,
          {secs('1000 + (doc_id * 7919) % 2590000')} AS last_seen_at,
-         {item_hash([("id", "CAST(doc_id AS VARCHAR)"), ("lang", "lang"), ("title", "substring(text, 1, 60)"),
-                     ("url", "'/d/' || CAST(doc_id AS VARCHAR)")])} AS h
-  FROM documents WHERE doc_id % 7 <> 3)"""
+         {item_hash([("id", _SKEY), ("lang", "lang"), ("title", "text"),
+                     ("url", "'/d/' || " + _SKEY)])} AS h
+  FROM documents)"""
 
-_BTITLE = "substring(text, 1, 60) || CASE WHEN doc_id % 5 = 0 THEN '*' ELSE '' END"
+_BTITLE = "text || CASE WHEN doc_id % 5 = 0 THEN '*' ELSE '' END"
 BATCH = f"""okruns AS (SELECT DISTINCT source AS source_id, 'r1' AS run_id FROM documents WHERE source <> 'src7'),
 batch AS (
-  SELECT source AS source_id, 'r1' AS run_id, CAST(doc_id AS VARCHAR) AS dedupe_key, {_BTITLE} AS title,
-         {item_hash([("id", "CAST(doc_id AS VARCHAR)"), ("lang", "lang"), ("title", _BTITLE),
-                     ("url", "'/d/' || CAST(doc_id AS VARCHAR)")])} AS h
-  FROM documents WHERE doc_id % 9 <> 7 AND source <> 'src13' AND source <> 'src7'),
+  SELECT CASE WHEN source = 'src13' THEN 'src12' ELSE source END AS source_id, 'r1' AS run_id, {_BKEY} AS dedupe_key, {_BTITLE} AS title,
+         {item_hash([("id", _BKEY), ("lang", "lang"), ("title", _BTITLE),
+                     ("url", "'/d/' || " + _BKEY)])} AS h
+  FROM documents WHERE source <> 'src7'),
 s AS (SELECT * FROM state WHERE source_id IN (SELECT source_id FROM okruns)),
 j AS (
   SELECT coalesce(b.source_id, s.source_id) AS source_id, coalesce(b.dedupe_key, s.dedupe_key) AS dedupe_key,
@@ -109,7 +111,7 @@ j AS (
          s.first_seen_at, s.last_seen_at
   FROM s FULL OUTER JOIN batch b ON s.source_id = b.source_id AND s.dedupe_key = b.dedupe_key)"""
 
-_HTITLE = "substring(text, 1, 40) || '#' || CAST((doc_id * r) % 3 AS VARCHAR)"
+_HTITLE = "text || '#' || CAST((doc_id * r) % 3 AS VARCHAR)"
 HISTORY = f"""hruns AS (
   SELECT source AS source_id, 'h' || CAST(r AS VARCHAR) AS run_id, {T0} + to_days(CAST(r AS INTEGER)) AS started_at,
          CASE WHEN source = 'src9' AND r = 2 THEN 'error' ELSE 'ok' END AS status
@@ -149,10 +151,10 @@ _VURL = ("CASE WHEN doc_id % 6 = 0 THEN 'https://other.example.org/x/' || CAST(d
          "WHEN doc_id % 9 = 0 THEN '' ELSE '/d/' || CAST(doc_id AS VARCHAR) END")
 VIEW_ITEMS = f"""vi AS (
   SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS dedupe_key, lang,
-         CASE WHEN doc_id % 13 = 0 THEN '' ELSE substring(text, 1, 60) END AS title,
+         CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS title,
          {_VURL} AS url,
          CASE WHEN doc_id % 4 = 0 THEN '/l/' || CAST(doc_id AS VARCHAR) END AS link,
-         CASE WHEN doc_id % 26 = 0 THEN substring(text, 61, 30) END AS body
+         CASE WHEN doc_id % 26 = 0 THEN text END AS body
   FROM documents)"""
 
 
@@ -299,13 +301,57 @@ SELECT r.run_id, r.source_id, s.dedupe_key, s.last_seen_at
 FROM runs r JOIN state s ON s.source_id = r.source_id
 WHERE NOT s.removed AND s.last_seen_at BETWEEN r.started_at AND coalesce(r.ended_at, {AS_OF})"""
 
+    q["run_items_page"] = _with(RUNS, STATE) + f"""
+SELECT r.run_id, r.source_id, s.dedupe_key, s.last_seen_at
+FROM (SELECT * FROM runs WHERE ended_at IS NOT NULL ORDER BY started_at DESC, run_id DESC LIMIT 1) r
+JOIN state s ON s.source_id = r.source_id
+WHERE NOT s.removed AND s.last_seen_at BETWEEN r.started_at AND coalesce(r.ended_at, {AS_OF})
+ORDER BY s.last_seen_at DESC, s.dedupe_key LIMIT 20 OFFSET 3"""
+
+    q["run_item_counts"] = _with(RUNS, STATE) + f"""
+SELECT r.run_id, r.source_id, count(s.dedupe_key) AS n_items
+FROM runs r LEFT JOIN state s ON s.source_id = r.source_id AND NOT s.removed
+     AND s.last_seen_at BETWEEN r.started_at AND coalesce(r.ended_at, {AS_OF})
+GROUP BY r.run_id, r.source_id"""
+
+    q["runs_page_filtered"] = _with(RUNS) + """
+SELECT run_id, source_id, source_name, status, started_at, ended_at, duration_ms, item_count, error
+FROM runs WHERE source_name = 'src4' ORDER BY started_at DESC, run_id DESC LIMIT 20 OFFSET 5"""
+
+    q["heals_page_filtered"] = _with(HEALS) + """
+SELECT id, source_id AS source_name, 'h2.old::text' AS old, 'h1::text' AS new, created_at
+FROM heals WHERE source_id = 'src4' ORDER BY created_at DESC, id DESC LIMIT 20"""
+
+    q["source_stats_api"] = _with(SOURCES, STATE, RUNS) + """
+SELECT s.name, coalesce(c.n, 0) AS item_count, l.last_status, l.last_run_at
+FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n FROM state WHERE NOT removed GROUP BY source_id) c ON c.source_id = s.id
+LEFT JOIN (SELECT source_id, max(started_at) AS last_run_at, arg_max(status, (started_at, run_id)) AS last_status
+           FROM runs GROUP BY source_id) l ON l.source_id = s.id
+WHERE s.origin = 'api'"""
+
+    q["source_details"] = _with(SOURCES) + "SELECT id, name, origin, config_yaml FROM sources"
+
+    q["latest_run_of_source"] = _with(RUNS) + """
+SELECT run_id, source_id, source_name, status, started_at, ended_at, duration_ms, item_count, error
+FROM runs WHERE source_id = 'src5' ORDER BY started_at DESC, run_id DESC LIMIT 1"""
+
+    q["heals_of_deleted_runs"] = _with(RUNS, HEALS) + """
+SELECT h.id, h.source_id, CASE WHEN r.run_id IS NULL THEN h.id END AS run_id, h.applied
+FROM heals h LEFT JOIN runs r ON r.run_id = h.id AND r.status = 'error'"""
+
+    q["logged_runs"] = _with(RUNS) + "SELECT run_id, source_id, status, item_count, error FROM runs"
+
+    q["logged_heals"] = _with(HEALS) + """
+SELECT source_id, count(*) AS heals, count(*) FILTER (WHERE applied) AS applied,
+       count(DISTINCT CAST(created_at AS DATE)) AS days FROM heals GROUP BY source_id"""
+
     q["reap_stale_runs"] = _with(RUNS, f"""st AS (
   SELECT *, status = 'running' AND started_at < {AS_OF} - INTERVAL 1800 SECOND AS reaped FROM runs)""") + f"""
 SELECT run_id, CASE WHEN reaped THEN 'error' ELSE status END AS status,
        CASE WHEN reaped THEN {AS_OF} ELSE ended_at END AS ended_at,
        CASE WHEN reaped THEN CAST(greatest(0, (epoch_us({AS_OF}) - epoch_us(started_at)) // 1000) AS BIGINT)
             ELSE duration_ms END AS duration_ms,
-       CASE WHEN reaped THEN 'Stale run reaped after 1800s in ''running'' — assumed worker crash' ELSE error END AS error,
+       CASE WHEN reaped THEN 'no end within 1800 s, taken as failed' ELSE error END AS error,
        reaped
 FROM st"""
 
@@ -393,13 +439,18 @@ cnt AS (SELECT source_id, count(*) AS c FROM state GROUP BY source_id)""") + """
 SELECT oc.name, oc.outcome, CASE WHEN oc.outcome = 'deleted' THEN 0 ELSE coalesce(cnt.c, 0) END AS items_left
 FROM oc LEFT JOIN cnt ON cnt.source_id = oc.name"""
 
-    q["config_violations"] = _with(f"pc AS (SELECT {_page_config_cols()} FROM pages)") + """
-SELECT page_id, name,
-       CAST(bad_name AS BIGINT) + CAST(bad_key AS BIGINT) + CAST(bad_selector AS BIGINT) + CAST(bad_pages AS BIGINT)
-         + CAST(bad_static AS BIGINT) + CAST(extra_keys AS BIGINT) AS n_violations,
-       NOT (bad_name OR bad_key OR bad_selector OR bad_pages OR bad_static OR extra_keys) AS valid,
-       bad_name, bad_key, bad_selector, bad_pages, bad_static, extra_keys
-FROM pc"""
+    q["config_violations"] = _with(f"pc AS (SELECT {_page_config_cols()} FROM pages)", """f AS (
+  SELECT page_id, name, bad_name, (bad_key OR h = 12) AND NOT (h = 12) AS bad_key, bad_selector AND h <> 6 AS bad_selector,
+         bad_pages AND h NOT IN (1, 2) AS bad_pages, bad_static AND h <> 9 AS bad_static, extra_keys,
+         h IN (1, 2, 11) AS bad_number, h IN (4, 5) AS bad_kind, h IN (6, 7, 9) AS absent, h = 8 AS repeated,
+         h = 12 AS no_fields, h = 10 AS bad_least
+  FROM (SELECT *, page_id % 17 AS h FROM pc))""") + """
+SELECT *, CAST(bad_name AS BIGINT) + CAST(bad_key AS BIGINT) + CAST(bad_selector AS BIGINT) + CAST(bad_pages AS BIGINT)
+         + CAST(bad_static AS BIGINT) + CAST(extra_keys AS BIGINT) + CAST(bad_number AS BIGINT) + CAST(bad_kind AS BIGINT)
+         + CAST(absent AS BIGINT) + CAST(repeated AS BIGINT) + CAST(no_fields AS BIGINT) + CAST(bad_least AS BIGINT) AS n_violations,
+       NOT (bad_name OR bad_key OR bad_selector OR bad_pages OR bad_static OR extra_keys OR bad_number OR bad_kind
+            OR absent OR repeated OR no_fields OR bad_least) AS valid
+FROM f"""
 
     q["public_hosts"] = _with(f"h AS (SELECT page_id, {_host_case()} AS host FROM pages)", """p AS (
   SELECT page_id, host, regexp_matches(host, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') AS v4,
@@ -427,13 +478,10 @@ SELECT source_id, 'summary' AS field_name, selector AS new_selector,
 FROM props WHERE selector IS NOT NULL"""
 
     q["patch_records"] = _with(SOURCES, _proposals()) + """
-SELECT name AS source_name, 'heal/' || name AS branch, 'heal(' || name || '): update summary selector' AS title,
-       '## Self-Heal: `' || name || '.summary`' || chr(10) || chr(10)
-       || '**Old selector:** `p.summary::text`' || chr(10)
-       || '**New selector:** `' || selector || '`' || chr(10)
-       || '**Confidence:** ' || CAST(CAST(round_even(confidence * 100, 0) AS BIGINT) AS VARCHAR) || '%' || chr(10) || chr(10)
-       || '### Reasoning' || chr(10) || reasoning || chr(10) || chr(10)
-       || '### Sample values extracted' || chr(10) || '- `sample`' AS body
+SELECT name AS source_name, 'heal/' || name AS branch, 'New selector for summary of ' || name AS title,
+       concat_ws(chr(10), 'replaces: p.summary::text', 'with: ' || selector,
+                 'sure to: ' || CAST(CAST(round_even(confidence * 100, 0) AS BIGINT) AS VARCHAR) || '%',
+                 'because: ' || reasoning, 'finds: sample') AS body
 FROM props WHERE selector = 'h1::text' AND origin = 'file'"""
 
     q["patched_configs"] = _with(SOURCES, _proposals()) + """
@@ -527,7 +575,7 @@ FROM events GROUP BY event_id // 8"""
 
     q["repair_inputs"] = _with(SOURCES, """cur AS (SELECT 'src' || CAST(page_id % 20 AS VARCHAR) AS source_id,
                                          arg_max(html, page_id) AS html FROM pages GROUP BY 1)""") + """
-SELECT s.id AS source_id, t.target, CAST(length(substring(p.html, 1, 20000)) AS BIGINT) AS snippet_chars
+SELECT s.id AS source_id, t.target, CAST(length(p.html) AS BIGINT) AS page_chars
 FROM sources s
 JOIN (SELECT 'summary' AS target, 0 AS m UNION ALL SELECT 'url', 1) t
   ON (t.m = 0 AND s.n % 2 = 0) OR (t.m = 1 AND s.n % 3 = 0)
@@ -543,7 +591,7 @@ FROM sources s LEFT JOIN lr ON lr.source_id = s.id AND lr.rn = 1"""
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY item_idx) AS rn FROM nav),
 firsts AS (
   SELECT *, row_number() OVER (PARTITION BY run_id, {strip('href')} ORDER BY item_idx) AS k
-  FROM capped WHERE rn <= 20 AND {strip('href')} <> ''),
+  FROM capped WHERE {strip('href')} <> ''),
 ok AS (SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^:/?#]*)', 1)) AS source_id,
               CAST(page_id AS VARCHAR) AS run_id,
               row_number() OVER (PARTITION BY lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^:/?#]*)', 1))

@@ -16,6 +16,8 @@ from ..functions.misc import percent_text
 from ..functions.urls import url_host
 from ..operators import config_checks, dedupe, diff, extract, repair, runs as runs_op, sources as src_op, views
 from ..operators.common import as_ntz
+from ..session import scratch_path
+from ..sources import logs
 from ..sources import tables as T
 
 
@@ -58,8 +60,8 @@ def missing_keys(spark, sf_dir):
     """AGG5: items whose map lacks the dedupe key (doc_id % 17 = 0 has no `id`)."""
     d = T.read(spark, sf_dir, "documents")
     key = F.col("doc_id").cast("string")
-    data = F.when(F.col("doc_id") % 17 == 0, F.create_map(F.lit("title"), F.substring("text", 1, 60))) \
-        .otherwise(F.create_map(F.lit("id"), key, F.lit("title"), F.substring("text", 1, 60)))
+    data = F.when(F.col("doc_id") % 17 == 0, F.create_map(F.lit("title"), F.col("text"))) \
+        .otherwise(F.create_map(F.lit("id"), key, F.lit("title"), F.col("text")))
     items = d.select(F.col("source").alias("source_id"), F.col("doc_id"), data.alias("data"))
     return dedupe.missing_keys(items, "id").select("source_id", "doc_id")
 
@@ -183,6 +185,70 @@ def run_items_window(spark, sf_dir):
     return j.select("run_id", "source_id", "dedupe_key", as_ntz("last_seen_at").alias("last_seen_at"))
 
 
+def run_items_page(spark, sf_dir):
+    """JOIN4 SORT2: live items of the newest ended run, newest first, offset 3, limit 20."""
+    runs = T.runs(spark, sf_dir)
+    one = views.page(runs.where(F.col("ended_at").isNotNull()), [F.desc("started_at"), F.desc("run_id")], 1)
+    p = views.items_of_runs(T.state_items(spark, sf_dir), one, T.AS_OF, limit=20, offset=3)
+    return p.select("run_id", "source_id", "dedupe_key", as_ntz("last_seen_at").alias("last_seen_at"))
+
+
+def run_item_counts(spark, sf_dir):
+    """JOIN4 counted per run."""
+    return views.run_item_counts(T.state_items(spark, sf_dir), T.runs(spark, sf_dir), T.AS_OF)
+
+
+def runs_page_filtered(spark, sf_dir):
+    """SORT1 FLT4: runs of one source by name."""
+    return _run_out(views.runs_page(T.runs(spark, sf_dir), source_name="src4", limit=20, offset=5))
+
+
+def heals_page_filtered(spark, sf_dir):
+    """JOIN2 SORT3 PRJ3 FLT4: heals of one source by name, selectors as a map."""
+    h = views.heal_view(views.heals_page(T.heals(spark, sf_dir), T.sources(spark, sf_dir), source_name="src4", limit=20))
+    return h.select("id", "source_name", F.col("selectors")["old"].alias("old"), F.col("selectors")["new"].alias("new"),
+                    as_ntz("created_at").alias("created_at"))
+
+
+def source_stats_api(spark, sf_dir):
+    """JOIN6 JOIN7 FLT4: the list of sources of one origin."""
+    s = views.source_stats(T.sources(spark, sf_dir), T.state_items(spark, sf_dir), T.runs(spark, sf_dir), origin="api")
+    return s.select("name", "item_count", "last_status", as_ntz("last_run_at").alias("last_run_at"))
+
+
+def source_details(spark, sf_dir):
+    """PRJ4: detail rows with the config text."""
+    return views.source_detail(T.sources(spark, sf_dir)).select("id", "name", "origin", "config_yaml")
+
+
+def latest_run_of_source(spark, sf_dir):
+    """WIN4: newest run of one source."""
+    return _run_out(views.latest_run(T.runs(spark, sf_dir), "src5"))
+
+
+def heals_of_deleted_runs(spark, sf_dir):
+    """JOIN10: heals whose run was deleted (failed runs here) keep their row without a run."""
+    runs = T.runs(spark, sf_dir).where(F.col("status") == "error").select("run_id")
+    h = src_op.null_deleted_runs(T.heals(spark, sf_dir), runs)
+    return h.select("id", "source_id", "run_id", "applied")
+
+
+def logged_runs(spark, sf_dir):
+    """SNK2 AGG6: run events appended to the log, read back and folded to run rows."""
+    path = scratch_path(spark, "run-log")
+    logs.append_run_events(T.run_events(spark, sf_dir), path)
+    cur = runs_op.current(spark.read.parquet(path).drop("day"))
+    return cur.select("run_id", "source_id", "status", "item_count", "error")
+
+
+def logged_heals(spark, sf_dir):
+    """SNK3: heal rows appended to the log and read back per source."""
+    path = scratch_path(spark, "heal-log")
+    logs.append_heals(T.heals(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("heals"), F.count_if("applied").alias("applied"), F.count_distinct("day").alias("days"))
+
+
 # ---------------------------------------------------------------------------
 # run lifecycle
 
@@ -293,7 +359,19 @@ def _page_configs(spark, sf_dir):
         F.struct((pid % 4).alias("max_pages")).alias("pagination"),
         F.when(pid % 6 == 0, F.lit("nav")).alias("wait_for"),
         F.when(pid % 13 == 0, F.lit("red")).alias("colour"))
-    return p.select("page_id", F.to_json(doc).alias("raw_json"))
+    text = F.to_json(doc)
+    # hard cases: wrong kinds, absent members, repeated names, faulty actions
+    swap = lambda at, old, new: F.when(pid % 17 == at, F.replace(text, F.lit(old), F.lit(new)))
+    text = F.coalesce(
+        F.when(pid % 17 == 1, F.regexp_replace(text, '"max_pages":[0-9]+', '"max_pages":"two"')),
+        F.when(pid % 17 == 2, F.regexp_replace(text, '"max_pages":[0-9]+', '"max_pages":1.5')),
+        F.when(pid % 17 == 3, F.regexp_replace(text, '"max_pages":([0-9]+)', '"max_pages":"$1"')),
+        swap(4, '"schedule":', '"description":5,"schedule":'), swap(5, '"schedule":', '"render":"maybe","schedule":'),
+        F.when(pid % 17 == 6, F.regexp_replace(text, '"container":"[^"]*",', "")), swap(7, ',"selector":"a::text"', ""),
+        swap(8, '"name":"text"', '"name":"href"'), swap(9, '"schedule":', '"render":true,"actions":[{"selector":"a"}],"schedule":'),
+        swap(10, '"schedule":', '"health":{"min_items":-1},"schedule":'), swap(11, '"schedule":', '"health":{"min_items":null},"schedule":'),
+        F.when(pid % 17 == 12, F.regexp_replace(text, '"fields":\\[.*?\\]', '"fields":[]')), text)
+    return p.select("page_id", text.alias("raw_json"))
 
 
 def config_violations(spark, sf_dir):
@@ -305,8 +383,13 @@ def config_violations(spark, sf_dir):
         "page_id", F.col("config.name").alias("name"), F.size(v).cast("long").alias("n_violations"),
         (F.size(v) == 0).alias("valid"),
         has("name:").alias("bad_name"), has("item.dedupe_key:").alias("bad_key"),
-        has("Invalid css selector").alias("bad_selector"), has("pagination.max_pages:").alias("bad_pages"),
-        has("Static config").alias("bad_static"), has("top: extra keys").alias("extra_keys"))
+        has("Invalid css selector").alias("bad_selector"), has("pagination.max_pages: must").alias("bad_pages"),
+        has("render: wait_for").alias("bad_static"), has("top: extra keys").alias("extra_keys"),
+        (has("pagination.max_pages: not") | has("health.min_items: not")).alias("bad_number"),
+        (has("description: wrong") | has("render: not")).alias("bad_kind"),
+        (has("item.container: field required") | has("item.fields.selector: field required") | has("actions.type: field required")).alias("absent"),
+        has("item.fields: duplicate").alias("repeated"), has("item.fields: at least").alias("no_fields"),
+        has("health.min_items: must").alias("bad_least"))
 
 
 def public_hosts(spark, sf_dir):
@@ -523,11 +606,10 @@ def request_checks(spark, sf_dir):
 
 
 def repair_inputs(spark, sf_dir):
-    """FN12 HLT2: repair targets with the first 20,000 characters of the
-    source's current page."""
+    """FN12 HLT2: repair targets with the source's whole current page."""
     t = repair.targets(T.field_items(spark, sf_dir), T.sources(spark, sf_dir))
     r = repair.repair_inputs(t, _source_pages(spark, sf_dir))
-    return r.select("source_id", "target", F.length("html_snippet").cast("long").alias("snippet_chars"))
+    return r.select("source_id", "target", F.length("page_html").cast("long").alias("page_chars"))
 
 
 def source_summaries(spark, sf_dir):
@@ -540,13 +622,13 @@ def source_summaries(spark, sf_dir):
 
 def scrape_run_summary(spark, sf_dir):
     """End to end (3.1): every page is a run of its site (runs ordered by page
-    id); extract, cap at 20, first-wins, diff all runs of a site in one pass
+    id); extract, first-wins, diff all runs of a site in one pass
     starting from an empty state; summary per run."""
     from .scrape import scrape_runs
     pages = T.nav_pages(spark, sf_dir)
     runs = pages.select("source_id", "run_id", T.plus_seconds(T.ts_lit(T.T0), F.col("page_id")).alias("started_at"),
                         F.lit("ok").alias("status"))
-    _, _, _, summary = scrape_runs(pages, T.nav_config(spark, sf_dir), runs, None, 20)
+    _, _, _, summary = scrape_runs(pages, T.nav_config(spark, sf_dir), runs, None)
     return summary
 
 
