@@ -45,5 +45,5 @@ def test_reports_and_strict(spark):
     assert dedupe.missing_keys(df, "id").count() == 1
     with pytest.raises(ValueError, match="missing"):
         dedupe.strict(df, "id")
-    with pytest.raises(ValueError, match="Duplicate"):
+    with pytest.raises(ValueError, match="repeated"):
         dedupe.strict(df.where(F.col("item_idx") < 2), "id")

@@ -1,99 +1,81 @@
+"""Extraction, pagination and crawl over generated catalogues."""
+
+import random
+
 from pyspark.sql import functions as F
 
 from snapfeed.operators import extract
 from tests.helpers import config_row, configs
 
-PAGE1 = "".join(f'<tr class="athing" id="{10000 + i}"><td><span class="titleline"><a href="/s{i}">S{i}</a>'
-                f"</span></td></tr>" for i in range(1, 8)) + '<a class="morelink" href="/news?p=2">More</a>'
-PAGE2 = "".join(f'<tr class="athing" id="{20000 + i}"><td><span class="titleline"><a href="/t{i}">T{i}</a>'
-                f"</span></td></tr>" for i in range(1, 4))
-FIELDS = [("title", "span.titleline > a::text", "css", None), ("id", "::attr(id)", "css", None)]
+SITE = "https://plants.example/"
+BOOK = ("plants", "li.plant", [("latin", "em::text", "css", None), ("no", "::attr(data-no)", "css", None)], "no")
+
+
+def catalogue(numbers, older=None):
+    rows = "".join(f"<li class=plant data-no={n}><em>Planta {n}</em> height {n % 7}" for n in numbers)
+    return f"<ul>{rows}</ul>" + (f"<p><a class=older href='{older}'>older</a>" if older else "")
+
 
+def shelf(pages, size=5):
+    """Pages of a catalogue linked in a row, as (page_id, url, html)."""
+    urls = [SITE if i == 0 else f"{SITE}list/{i}" for i in range(pages)]
+    return [(i, u, catalogue(range(i * size, (i + 1) * size), f"/list/{i + 1}" if i + 1 < pages else None)) for i, u in enumerate(urls)]
 
-def pages(spark, rows):
+
+def table(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-def test_extract_items_many_sources(spark):
-    p = pages(spark, [(1, "https://news.example.com/", PAGE1), (2, "https://shop.example.com/",
-                                                                  '<div class="c" data-id="p1"><h3>A</h3></div>')])
-    cfg = configs(spark, [config_row("hn", "tr.athing", FIELDS, "id", url="https://news.example.com/"),
-                          config_row("shop", "div.c", [("id", "::attr(data-id)", "css", None),
-                                                       ("name", "h3::text", "css", None)], "id",
-                                     url="https://shop.example.com/")])
-    matched = extract.match_pages(p, cfg)
-    raw = extract.extract_items(matched, cfg).orderBy("source_id", "item_idx").collect()
-    hn = [r for r in raw if r.source_id == "hn"]
-    assert [r.data["id"] for r in hn] == [str(10000 + i) for i in range(1, 8)]
-    assert [r.item_idx for r in hn] == list(range(7))
-    assert [r for r in raw if r.source_id == "shop"][0].data == {"id": "p1", "name": "A"}
-
-
-def test_bad_selector_becomes_error_row(spark):
-    p = pages(spark, [(1, "https://x.example.com/", PAGE1)]).withColumn("source_id", F.lit("bad"))
-    cfg = configs(spark, [config_row("bad", "tr[", FIELDS, "id")])
-    rows = extract.extract_items(p, cfg).collect()
-    assert len(rows) == 1 and rows[0].data is None and "Selector" in rows[0].error
-
-
-def test_paginate_follow_stop_and_relative(spark):
-    site = "https://news.example.com/"
-    p = pages(spark, [(1, site, PAGE1), (2, "https://news.example.com/news?p=2", PAGE2)])
-    cfg_rows = [config_row("hn", "tr.athing", FIELDS, "id", url=site, next_sel="a.morelink::attr(href)",
-                           max_pages=5)]
-    cfg = configs(spark, cfg_rows)
-    matched = extract.match_pages(p, cfg)
-    links = extract.page_links(matched, cfg)
-    got = {r.url: r.next_url for r in links.collect()}
-    assert got[site] == "https://news.example.com/news?p=2" and got["https://news.example.com/news?p=2"] is None
-    seeds = cfg.select("source_id", F.col("config.url").alias("url"),
-                       F.col("config.pagination.max_pages").alias("max_pages"))
-    visited = extract.paginate(seeds, links).orderBy("page_no").collect()
-    assert [(r.url, r.page_no) for r in visited] == [(site, 1), ("https://news.example.com/news?p=2", 2)]
-    crawl = matched.join(visited_df := extract.paginate(seeds, links), ["source_id", "url"])
-    items = extract.extract_items(crawl, cfg)
-    assert items.count() == 10
-    # max_pages 1 stops after the seed
-    seeds1 = seeds.withColumn("max_pages", F.lit(1))
-    assert extract.paginate(seeds1, links).count() == 1
-
-
-def test_bare_relative_next_link(spark):
-    base = "http://127.0.0.1:8000/list/index.html"
-    html = PAGE1.replace('href="/news?p=2"', 'href="page2.html"')
-    p = pages(spark, [(1, base, html)]).withColumn("source_id", F.lit("hn"))
-    cfg = configs(spark, [config_row("hn", "tr.athing", FIELDS, "id", url=base, next_sel="a.morelink::attr(href)",
-                                     max_pages=2)])
-    row = extract.page_links(p, cfg).first()
-    assert row.next_url == "http://127.0.0.1:8000/list/page2.html"
-
-
-def test_selector_tests_and_errors(spark):
-    p = spark.createDataFrame([("a", PAGE1)], "source_id string, html string")
-    props = spark.createDataFrame([("a", "span.titleline > a::text", "css"), ("a", "h9::text", "css"),
-                                   ("a", "//tr/@id", "xpath"), ("a", "tr[", "css")],
-                                  "source_id string, selector string, selector_type string")
-    got = {r.selector: r for r in extract.test_selectors(props, p).collect()}
-    assert got["span.titleline > a::text"].n_matches == 7
-    assert got["h9::text"].n_matches == 0 and got["h9::text"].selector_error is None
-    assert got["//tr/@id"].matches[0] == "10001"
-    assert got["tr["].selector_error is not None
-
-
-def test_crawl_composes_match_paginate_extract(spark):
-    site = "https://news.example.com/"
-    p = pages(spark, [(1, site, PAGE1), (2, "https://news.example.com/news?p=2", PAGE2),
-                      (3, "https://news.example.com/orphan", PAGE2)])
-    cfg = configs(spark, [config_row("hn", "tr.athing", FIELDS, "id", url=site, next_sel="a.morelink::attr(href)",
-                                     max_pages=3)])
-    got = extract.crawl(p, cfg).collect()
-    assert len(got) == 10
-    assert sorted({(r.page_no, r.page_id) for r in got}) == [(1, 1), (2, 2)]
-
-
-def test_page_parsed_once_for_all_its_configs(spark):
-    p = pages(spark, [(1, "https://news.example.com/", PAGE1)]).withColumn("source_id", F.lit("hn"))
-    cfg = configs(spark, [config_row("hn", "tr.athing", FIELDS, "id"),
-                          config_row("hn", "span.titleline", [("t", "a::text", "css", None)], "t")])
-    rows = extract.extract_items(p, cfg).collect()
-    assert len(rows) == 14  # 7 rows per config, same page
+def config(spark, max_pages=1, next_sel=None, *more):
+    return configs(spark, [config_row(*BOOK, url=SITE, next_sel=next_sel, max_pages=max_pages), *more])
+
+
+def test_pages_meet_the_config_of_their_host(spark):
+    other = config_row("ferns", "b", [("t", "::text", "css", None)], "t", url="https://ferns.example/x")
+    own = [(7, "https://ferns.example/y", "<b>f1</b><b>f2</b>"), (8, "https://nobody.example/", "<b>no</b>")]
+    cfg = config(spark, 1, None, other)
+    rows = extract.extract_items(extract.match_pages(table(spark, shelf(2) + own), cfg), cfg).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.page_id, r.item_idx)):
+        got.setdefault(r.source_id, []).append(r.data.get("no") or r.data.get("t"))
+    assert got == {"plants": [str(n) for n in range(10)], "ferns": ["f1", "f2"]}
+
+
+def test_every_config_of_a_source_is_applied(spark):
+    cfg = config(spark, 1, None, config_row("plants", "em", [("t", "::text", "css", None)], "t"))
+    rows = extract.extract_items(table(spark, shelf(1)).withColumn("source_id", F.lit("plants")), cfg)
+    assert rows.count() == 10
+
+
+def test_a_page_that_fails_is_one_error_row(spark):
+    cfg = configs(spark, [config_row("plants", "li[[", BOOK[2], "no")])
+    rows = extract.extract_items(table(spark, shelf(1)).withColumn("source_id", F.lit("plants")), cfg).collect()
+    assert [(r.data, bool(r.error)) for r in rows] == [(None, True)]
+
+
+def test_following_links_stops_at_the_bound_and_at_the_end(spark):
+    rows = shelf(6)
+    random.Random(1).shuffle(rows)
+    for bound, want in ((1, 1), (4, 4), (6, 6), (50, 6)):
+        cfg = config(spark, bound, "a.older::attr(href)")
+        got = extract.crawl(table(spark, rows + [(99, f"{SITE}nobody-links-here", catalogue([1000]))]), cfg).collect()
+        assert sorted({(r.page_no, r.page_id) for r in got}) == [(i + 1, i) for i in range(want)]
+        assert sorted(int(r.data["no"]) for r in got) == list(range(5 * want))
+
+
+def test_relative_links_and_several_next_links(spark):
+    cfg = config(spark, 2, "a.older::attr(href)")
+    pages = table(spark, [(1, "http://10.9.8.7:81/a/b.html", catalogue([1], "c.html")), (2, "http://10.9.8.7:81/a/", catalogue([2], "?p=2"))])
+    got = {r.page_id: r.next_url for r in extract.page_links(pages.withColumn("source_id", F.lit("plants")), cfg).collect()}
+    assert got == {1: "http://10.9.8.7:81/a/c.html", 2: "http://10.9.8.7:81/a/?p=2"}
+    links = spark.createDataFrame([("s", "u", "z"), ("s", "u", "v"), ("s", "u", None)], "source_id string, url string, next_url string")
+    seeds = spark.createDataFrame([("s", "u", 2)], "source_id string, url string, max_pages int")
+    assert sorted((r.url, r.page_no) for r in extract.paginate(seeds, links).collect()) == [("u", 1), ("v", 2)]
+
+
+def test_trying_selectors(spark):
+    pages = spark.createDataFrame([("p", catalogue(range(6)))], "source_id string, html string")
+    tries = [("li.plant em::text", "css", 6, False), ("strong", "css", 0, False), ("//li/@data-no", "xpath", 6, False), ("li[[", "css", 0, True)]
+    props = spark.createDataFrame([("p", s, k) for s, k, _, _ in tries], "source_id string, selector string, selector_type string")
+    got = {r.selector: (r.n_matches, r.selector_error is not None) for r in extract.test_selectors(props, pages).collect()}
+    assert got == {s: (n, bad) for s, _, n, bad in tries}

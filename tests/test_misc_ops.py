@@ -17,12 +17,12 @@ def test_request_bounds(spark):
                    "d": (True, True, False), "e": (True, True, False)}
 
 
-def test_repair_inputs_truncate(spark):
+def test_repair_inputs_have_the_whole_page(spark):
     t = spark.createDataFrame([("s", "title", "h1::text", "css")],
                               "source_id string, target string, old_selector string, selector_type string")
     pages = spark.createDataFrame([("s", "x" * 25000)], "source_id string, html string")
     r = RP.repair_inputs(t, pages).first()
-    assert len(r.html_snippet) == 20000 and r.old_selector == "h1::text"
+    assert len(r.page_html) == 25000 and r.old_selector == "h1::text"
 
 
 def test_summary_detail_latest(spark):
@@ -63,7 +63,7 @@ def test_failed_proposal_request_writes_heal_row(spark):
                                  "selector_type string, error string")
     _, heals, _ = RP.apply(scored, src, proposer_errors=errs)
     h = heals.first()
-    assert (h.new_selector, h.confidence, h.applied, h.reasoning) == ("", 0.0, False, "LLM error: timeout")
+    assert (h.new_selector, h.confidence, h.applied, h.reasoning) == ("", 0.0, False, "no proposal: timeout")
 
 
 def test_size_shuffles(spark):

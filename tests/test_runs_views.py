@@ -20,7 +20,7 @@ def test_reap_only_stale_running(spark):
     ], RUN_SCHEMA)
     out = {r.run_id: r for r in R.reap(runs, "2024-01-01 11:00:00", 1800).collect()}
     assert out["old"].status == "error" and out["old"].reaped
-    assert out["old"].error == "Stale run reaped after 1800s in 'running' — assumed worker crash"
+    assert out["old"].error == "no end within 1800 s, taken as failed"
     assert out["old"].duration_ms == 3600 * 1000
     assert out["new"].status == "running" and not out["new"].reaped
     assert out["done"].status == "ok"

@@ -36,8 +36,8 @@ def variant(**changes):
     (variant(name="Bad"), "name:"), (variant(name="has space"), "name:"), (variant(name="under_score"), "name:"),
     (variant(name=""), "name:"), (variant(url="not a url"), "url:"), (variant(item__fields=[]), "item.fields"),
     (variant(item__dedupe_key="nope"), "item.dedupe_key"),
-    (variant(actions=[{"type": "click", "selector": "a"}]), "must not have 'actions'"),
-    (variant(wait_for="div"), "must not have 'wait_for'"),
+    (variant(actions=[{"type": "click", "selector": "a"}]), "render: actions"),
+    (variant(wait_for="div"), "render: wait_for"),
     (dict(variant(render=True), actions=[{"type": "click"}]), "actions:"),
     (dict(variant(render=True), actions=[{"type": "wait"}]), "actions:"),
     (variant(pagination={"max_pages": 0}), "max_pages"), (variant(health={"min_items": -1}), "min_items"),
@@ -130,79 +130,119 @@ def test_submit_host_guard(spark):
     assert got == {"good": "inserted", "local": "rejected", "meta": "rejected", "Bad": "rejected"}
 
 
-PAGE = "<html><body><div class='card' data-id='1'><h2 class='headline'>One</h2></div>" \
-       "<div class='card' data-id='2'><h2 class='headline'>Two</h2></div></body></html>"
-
-
-def repair_sources(spark):
-    cfg = {"name": "x", "url": "https://x/", "item": {"container": "div.card", "container_type": "css",
-           "fields": [{"name": "title", "selector": ".does-not-exist::text", "selector_type": "css", "attr": None},
-                      {"name": "id", "selector": "::attr(data-id)", "selector_type": "css", "attr": None}],
-           "dedupe_key": "id"}, "health": {"min_items": 5}}
-    schema = ("id string, name string, description string, origin string, config_yaml string, config_sha string, "
-              "created_at timestamp, updated_at timestamp, config struct<name:string,url:string,item:struct<"
-              "container:string,container_type:string,fields:array<struct<name:string,selector:string,"
-              "selector_type:string,attr:string>>,dedupe_key:string>,health:struct<min_items:int>>, base_url string")
-    return spark.createDataFrame([("api-src", "api-src", "", "api", "y", "s", None, None, cfg, "https://x/"),
-                                  ("file-src", "file-src", "", "file", "y", "s", None, None, cfg, "https://x/")], schema)
-
-
-def test_targets_and_underflow(spark):
-    src = repair_sources(spark)
-    raw = spark.createDataFrame([("api-src", {"title": None, "id": "1"}), ("api-src", {"title": None, "id": "2"})],
-                                "source_id string, data map<string,string>")
-    t = {(r.source_id, r.target) for r in RP.targets(raw, src).collect()}
-    assert t == {("api-src", "title"), ("file-src", "container")}
-    runs = spark.createDataFrame([("r1", "api-src", "ok", 1), ("r2", "api-src", "ok", 7), ("r3", "api-src", "error", 0)],
-                                 "run_id string, source_id string, status string, item_count long")
-    assert [r.run_id for r in RP.unhealthy(runs, src).collect()] == ["r1"]
-
-
-def test_score_and_apply(spark):
-    src = repair_sources(spark)
-    pages = spark.createDataFrame([("api-src", PAGE), ("file-src", PAGE)], "source_id string, html string")
-    props = spark.createDataFrame([
-        ("api-src", None, "title", ".does-not-exist::text", "css",
-         '{"selector": "h2.headline::text", "confidence": 0.92, "reasoning": "r", "sample_values": ["One"], "x": 1}'),
-        ("file-src", None, "title", ".does-not-exist::text", "css",
-         '{"selector": "h2.headline::text", "confidence": 0.925, "reasoning": "r", "sample_values": ["One"]}'),
-        ("api-src", None, "id", "::attr(data-id)", "css",
-         '{"selector": "h9::text", "confidence": 0.1, "reasoning": "nope"}'),
-        ("api-src", None, "title", "x", "css", '{"selector": null, "confidence": 0.1, "reasoning": "none"}'),
-        ("api-src", None, "title", "x", "css", '{"selector": "a", "confidence": 3, "reasoning": "bad"}'),
-        ("api-src", None, "title", "x", "css", 'not json'),
-    ], "source_id string, run_id string, target string, old_selector string, selector_type string, raw_json string")
-    parsed = RP.parse_proposals(props)
-    errs = [r.proposal_error for r in parsed.collect()]
-    assert errs[:4] == [None, None, None, None] and "confidence" in errs[4] and errs[5] == "invalid JSON"
-    scored = RP.score(parsed.where("proposal_error is null"), pages)
-    nxt, heals, patches = RP.apply(scored, src, as_of="2024-01-01 00:00:00")
-    h = {(r.source_id, r.field_name): r for r in heals.collect()}
-    assert len(h) == 3  # null selector writes no row
-    assert h[("api-src", "title")].applied and h[("api-src", "title")].mode == "db_patch"
-    assert not h[("file-src", "title")].applied and h[("file-src", "title")].mode == "pr"
-    assert not h[("api-src", "id")].applied
-    cfg = {r.name: r.config for r in nxt.collect()}
-    assert cfg["api-src"].item.fields[0].selector == "h2.headline::text"
-    assert cfg["file-src"].item.fields[0].selector == ".does-not-exist::text"
-    p = patches.first()
-    assert p.branch == "heal/file-src" and "**Confidence:** 92%" in p.body and "- `One`" in p.body
-
-
-def test_container_repair_then_fields(spark):
+def quarry(rows, tag="b"):
+    """A page of stone samples: one <figure> per row."""
+    return "".join(f"<figure data-no='{n}'><{tag}>{name}</{tag}></figure>" for n, name in rows)
+
+
+STONES = [(11, "basalt"), (12, "gneiss"), (13, "slate")]
+STONE_CONFIG = {"name": "stones", "url": "https://stones.example/", "item": {
+    "container": "figure", "container_type": "css", "dedupe_key": "no", "fields": [
+        {"name": "stone", "selector": "i::text", "selector_type": "css", "attr": None},
+        {"name": "no", "selector": "::attr(data-no)", "selector_type": "css", "attr": None}]}, "health": {"min_items": 4}}
+SOURCE_SCHEMA = ("id string, name string, description string, origin string, config_yaml string, config_sha string, "
+                 "created_at timestamp, updated_at timestamp, config struct<name:string,url:string,item:struct<"
+                 "container:string,container_type:string,fields:array<struct<name:string,selector:string,"
+                 "selector_type:string,attr:string>>,dedupe_key:string>,health:struct<min_items:int>>, base_url string")
+PROPOSALS = "source_id string, run_id string, target string, old_selector string, selector_type string, raw_json string"
+
+
+def stone_sources(spark, origins):
+    return spark.createDataFrame([(o, f"{o}-stones", "", o, "text", "sha", None, None, STONE_CONFIG, "https://stones.example/")
+                                  for o in origins], SOURCE_SCHEMA)
+
+
+def proposal(source, target, **said):
+    return (source, None, target, "i::text", "css", json.dumps(said))
+
+
+def test_what_needs_repair(spark):
+    src = stone_sources(spark, ["api", "file"])
+    raw = spark.createDataFrame([("api", {"stone": None, "no": str(n)}) for n, _ in STONES], "source_id string, data map<string,string>")
+    assert {(r.source_id, r.target) for r in RP.targets(raw, src).collect()} == {("api", "stone"), ("file", "container")}
+    runs = spark.createDataFrame([(i, "api", status, n) for i, (status, n) in enumerate([("ok", 3), ("ok", 4), ("error", 0), ("ok", 0)])],
+                                 "run_id int, source_id string, status string, item_count long")
+    assert sorted(r.run_id for r in RP.unhealthy(runs, src).collect()) == [0, 3]
+
+
+def test_best_valid_proposal_is_applied(spark):
+    src = stone_sources(spark, ["api", "file"])
+    pages = spark.createDataFrame([(o, quarry(STONES)) for o in ("api", "file")], "source_id string, html string")
+    rows = []
+    for o in ("api", "file"):
+        rows += [proposal(o, "stone", selector="figure > b::text", confidence=0.6, reasoning="low"),
+                 proposal(o, "stone", selector="b::text", confidence=0.845, reasoning="high", sample_values=["basalt"]),
+                 proposal(o, "stone", selector="u::text", confidence=0.99, reasoning="finds nothing"),
+                 proposal(o, "stone", selector="figure b::text", confidence=3, reasoning="no such confidence"),
+                 proposal(o, "stone", selector="b", confidence=0.9), proposal(o, "stone", selector=None, confidence=0.5, reasoning="none")]
+    rows.append(("api", None, "no", "x", "css", "{"))
+    parsed = RP.parse_proposals(spark.createDataFrame(rows, PROPOSALS))
+    assert parsed.where("proposal_error IS NOT NULL").count() == 5
+    nxt, heals, patches = RP.apply(RP.score(parsed, pages), src, as_of="2024-01-01 00:00:00")
+    got = sorted((r.source_id, r.new_selector, r.applied) for r in heals.collect())
+    each = [("b", False), ("b::text", True), ("figure > b::text", False), ("figure b::text", False), ("u::text", False)]
+    assert got == [("api", s, ok) for s, ok in each] + [("file", s, False) for s, _ in each]
+    selectors = {r.origin: [f.selector for f in r.config.item.fields] for r in nxt.collect()}
+    assert selectors == {"api": ["b::text", "::attr(data-no)"], "file": ["i::text", "::attr(data-no)"]}
+    record = patches.collect()
+    assert len(record) == 1 and record[0].source_name == "file-stones" and "84%" in record[0].body and "basalt" in record[0].body
+    assert "figure > b::text" not in record[0].body
+
+
+def test_container_first_then_its_fields(spark):
     from snapfeed.operators import extract
-    src = repair_sources(spark).where("origin = 'api'")
-    html = "<article class='new-card' data-id='1'><h2>A</h2></article><article class='new-card' data-id='2'><h2>B</h2></article>"
-    pages = spark.createDataFrame([("api-src", "https://x/", html)], "source_id string, url string, html string")
+    src = stone_sources(spark, ["api"])
+    page = quarry(STONES, "em").replace("figure", "aside")
+    pages = spark.createDataFrame([("api", "https://stones.example/", page)], "source_id string, url string, html string")
+    for target, selector in (("container", "aside"), ("stone", "em::text")):
+        raw = extract.extract_items(pages, src.select(F.col("id").alias("source_id"), "config")).where("data IS NOT NULL")
+        assert [r.target for r in RP.targets(raw, src).collect()] == [target]
+        one = spark.createDataFrame([proposal("api", target, selector=selector, confidence=0.9, reasoning="seen")], PROPOSALS)
+        src = RP.apply(RP.score(RP.parse_proposals(one), pages), src)[0]
     raw = extract.extract_items(pages, src.select(F.col("id").alias("source_id"), "config"))
-    t = RP.targets(raw.where("data is not null"), src).collect()
-    assert [(r.target) for r in t] == ["container"]
-    props = spark.createDataFrame([("api-src", None, "container", "div.card", "css",
-                                    '{"selector": "article.new-card", "confidence": 0.9, "reasoning": "r"}')],
-                                  "source_id string, run_id string, target string, old_selector string, "
-                                  "selector_type string, raw_json string")
-    nxt, heals, _ = RP.apply(RP.score(RP.parse_proposals(props), pages), src)
-    raw2 = extract.extract_items(pages, nxt.select(F.col("id").alias("source_id"), "config"))
-    assert [r.target for r in RP.targets(raw2, nxt).collect()] == ["title"]  # second step finds the field
-    mined = {r.selector for r in RP.mine_candidates(pages.withColumn("page_id", F.lit(1)), src).collect()}
-    assert "article.new-card" in mined
+    assert sorted(r.data["stone"] for r in raw.collect()) == sorted(n for _, n in STONES)
+    marked = pages.withColumn("html", F.lit("<p class='s1'>a</p><p class='s1'>b</p>")).withColumn("page_id", F.lit(1))
+    assert [r.selector for r in RP.mine_candidates(marked, src).collect()] == ["p.s1"]
+
+
+def test_repeated_requests_leave_one_row_per_name(spark):
+    src = sources_df(spark)
+    kind = "name string, req_ix int, config_yaml string, config struct<name:string,description:string,url:string>"
+    row = lambda name, ix, text: (name, ix, text, {"name": name, "description": text, "url": "u"})
+    twice = spark.createDataFrame([row("b", 1, "first"), row("b", 2, "second"), row("new", 2, "y"), row("new", 1, "x")], kind)
+    nxt, _ = S.sync(src, twice, "2024-01-01 00:00:00")
+    assert sorted((r.name, r.config_yaml) for r in nxt.collect() if r.name in ("b", "new")) == [("b", "second"), ("new", "y")]
+    nxt, out = S.update(src, twice.withColumnRenamed("name", "path_name"), "2024-01-01 00:00:00")
+    assert [r.config_yaml for r in nxt.collect() if r.name == "b"] == ["second"] and nxt.count() == src.count() and out.count() == 4
+    same = spark.createDataFrame([row("q", 0, "t")] * 3, kind).drop("req_ix")
+    nxt, out = S.create(src, same, "2024-01-01 00:00:00")
+    assert sorted(r.outcome for r in out.collect()) == ["inserted", "rejected", "rejected"] and nxt.count() == src.count() + 1
+
+
+@pytest.mark.parametrize("change,fault", [
+    ({"pagination": {"max_pages": "two"}}, "pagination.max_pages: not"), ({"health": {"min_items": 1.5}}, "health.min_items: not"),
+    ({"rate_limit": {"rps": None}}, "rate_limit.rps: not"), ({"render": "maybe"}, "render: not"), ({"description": 5}, "description: wrong"),
+    ({"description": None}, "description: wrong"), ({"name": 7}, "name: wrong"), ({"pagination": []}, "pagination: wrong"),
+    ({"actions": {}}, "actions: wrong"), ({"render": True, "actions": [{"selector": "a"}]}, "actions.type: field required"),
+    ({"render": True, "actions": ["x"]}, "actions: not a mapping")])
+def test_strict_kinds(spark, change, fault):
+    chk = lambda doc: C.violations(spark.createDataFrame([(json.dumps(doc),)], "raw_json string")).first().violations
+    assert chk(BASE) == []
+    found = chk(dict(BASE, **change))
+    assert any(f.startswith(fault) for f in found), found
+
+
+@pytest.mark.parametrize("level,name", [("", "url"), ("", "schedule"), ("", "item"), ("item", "container"), ("item", "fields"), ("item", "dedupe_key"),
+                                        ("field", "name"), ("field", "selector")])
+def test_members_that_must_be_there(spark, level, name):
+    doc = json.loads(json.dumps(BASE))
+    at = doc if not level else doc["item"] if level == "item" else doc["item"]["fields"][0]
+    del at[name]
+    found = C.violations(spark.createDataFrame([(json.dumps(doc),)], "raw_json string")).first().violations
+    assert any(f.endswith(f"{name}: field required") for f in found), found
+
+
+def test_numbers_and_truth_written_as_text(spark):
+    doc = dict(BASE, pagination={"max_pages": "3"}, health={"min_items": 2.0}, render="yes", wait_for="x")
+    r = C.violations(spark.createDataFrame([(json.dumps(doc),)], "raw_json string")).first()
+    assert r.violations == [] and (r.config.pagination.max_pages, r.config.health.min_items, r.config.render) == (3, 2, True)
