@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import aside, back, small, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -95,7 +95,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
         found = (here.withColumn("run", run).where(F.col("run") > F.col("left"))
                  .groupBy("source").agg(F.min(F.struct("run", "bucket", "size")).alias("f"))
                  .select(F.col("source").alias("_s"), "f"))
-        per = stored(per.join(small(stored(found, "mix-found")), F.expr("source <=> _s"), "left")
+        per = stored(per.join(found, F.expr("source <=> _s"), "left")  # one row per source on either side
                      .withColumn("left", F.when(F.col("f").isNotNull(), F.col("left") - F.col("f.run") + F.col("f.size")).otherwise(F.col("left")))
                      .withColumn("size", F.col("f.size"))
                      .withColumn("at", F.coalesce("f.bucket", F.lit("~"))).drop("_s", "f"), "mix-cut")
@@ -132,19 +132,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: each document's row as often as it is taken; the last
     repetition of the one document at a source's cut keeps its first words only."""
-    cols = docs.columns
-    out = mix(docs.withColumn("_n", F.lit(0)), weights, max_epochs, seed)
+    rows = docs.select("doc_id", "text", "source", *aside(docs))
+    out = mix(rows, weights, max_epochs, seed)
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0)).cast("int")
-    rest = F.col("taken") - whole * F.col("size")
-    out = (out.withColumn("_rest", rest)
-           .withColumn("_of", F.explode(F.concat(F.array_repeat(F.lit(0), whole),
-                                                 F.when(F.col("_rest") > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))))
+    out = out.withColumn("_rest", F.col("taken") - whole * F.col("size"))
+    times = F.concat(F.array_repeat(F.lit(False), whole), F.array_repeat(F.lit(True), F.when(F.col("_rest") > 0, 1).otherwise(0)))
+    out = out.withColumn("_cut", F.explode(times))
     spans = F.regexp_extract_all("text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1))
-    cut = F.when(F.col("_of") == 1, F.concat_ws("", F.slice(spans, F.lit(1), F.col("_rest").cast("int")))).otherwise(F.col("text"))
-    out = out.withColumn("text", cut)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_of") == 1, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    out = out.withColumn("text", F.when(F.col("_cut"), F.concat_ws("", F.slice(spans, F.lit(1), F.col("_rest").cast("int")))).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own = F.col(f"_in{docs.columns.index('n_chars')}")
+        changed["n_chars"] = F.when(F.col("_cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+    return out.select(*back(docs, **changed))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
