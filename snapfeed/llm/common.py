@@ -25,10 +25,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, set the shared folder and keep Arrow batches small
-    enough for rows that carry whole texts."""
+    """Ship the package, set the shared folder, keep Arrow batches small enough
+    for rows that carry whole texts, and drop shuffle files after each execution."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    # intermediate tables are stored, so no shuffle is read by a later execution
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     ship_code(spark)
     shared_dir(spark)
 
@@ -42,8 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a reread and no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression="zstd")  # its buffers are pooled; those of Snappy stay in direct memory
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,6 +62,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def aside(df: DataFrame) -> list[Column]:
+    """All columns under names that no operator uses; ``back`` restores them."""
+    return [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(df.columns)]
+
+
+def back(df: DataFrame, **changed: Column) -> list[Column]:
+    return [changed.get(c, F.col(f"_in{i}")).alias(c) for i, c in enumerate(df.columns)]
+
+
 def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
