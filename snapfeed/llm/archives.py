@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,7 +71,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, codec: str | None =
     date = F.date_format(F.timestamp_seconds(F.lit(FIRST_DATE) + F.coalesce("page_id", F.lit(0)) % F.lit(10 ** 9)), "yyyyMMddHHmmss")
     head = [url_field(F.col("url")), F.lit("0.0.0.0"), date, F.lit("text/html")]
     if version == 2:
-        head += [F.lit("200"), F.md5("html"), F.lit("-"), F.lit("0"), F.lit("pages.arc")]
+        head += [F.lit("200"), F.md5(payload), F.lit("-"), F.lit("0"), F.lit("pages.arc")]
     head.append(F.octet_length("block").cast("string"))
     about = f"{version} 0 snapfeed\n{ARC_FIELDS[version]}\n"
     desc = f"filedesc://pages.arc 0.0.0.0 20200101000000 text/plain {'200 - - 0 pages.arc ' if version == 2 else ''}{len(about)}\n{about}\n"
@@ -83,7 +84,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, codec: str | None =
 def _lines(spark: SparkSession, path: str, end: str) -> DataFrame:
     """A file's parts in order. Files are read whole by one task each, which gzip
     files always are; plain ones need files of at most maxPartitionBytes."""
-    return spark.read.text(path, lineSep=end).select("value")
+    return spark.read.text(path, lineSep=end).select("value", F.xxhash64(F.input_file_name()).alias("file"))
 
 
 def _head(block: bytes) -> tuple[dict[str, str], bytes, str]:
@@ -100,38 +101,54 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and re.fullmatch(r"-?\d{1,18}", text) else None
 
 
-class Joined:
-    """Parts of a file put together until a declared length is reached."""
-
-    def __init__(self, length: int, end: bytes):
-        self.length, self.end, self.parts, self.size = length, end, [], -len(end)
-
-    def add(self, part: bytes) -> bool:
-        self.parts.append(part)
-        self.size += len(part) + len(self.end)
-        return self.size >= self.length
-
-    def block(self) -> bytes:
-        return self.end.join(self.parts)[:self.length]
+class Bytes:
+    """A file's bytes from its parts in order; ``end`` stood between them."""
+
+    def __init__(self, parts: Iterator[bytes], end: bytes):
+        self.parts, self.end, self.held, self.size = iter(parts), end, [], 0
+
+    def more(self) -> bool:
+        part = next(self.parts, None)
+        if part is not None:
+            self.held += [part, self.end]
+            self.size += len(part) + len(self.end)
+        return part is not None
+
+    def take(self, n: int) -> bytes | None:
+        """The next n bytes; None if the file ends before."""
+        while self.size < n:
+            if not self.more():
+                return None
+        data = b"".join(self.held)
+        self.held, self.size = [data[n:]], len(data) - n
+        return data[:n]
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What lies before the next ``mark``, which is passed over; None at the end."""
+        while True:
+            data = b"".join(self.held)
+            self.held = [data]
+            at = data.find(mark)
+            if at >= 0:
+                self.take(at + len(mark))
+                return data[:at]
+            if not self.more():
+                return None
 
 
 def arc_records(lines: Iterator[bytes]) -> Iterator[dict]:
-    """Records of ARC lines. The version is that of the file's first record; a
-    header line has its number of fields and ends in a length."""
-    version, head, open_ = 0, None, None
-    for line in lines:
-        if open_ is None:
-            fields = line.split(b" ")
-            v = {5: 1, 10: 2}.get(len(fields))
-            if v is None or not fields[-1].isdigit() or not fields[2].isdigit():
-                continue
-            if version and v != version and not fields[0].startswith(b"filedesc:"):
-                continue
-            version, head, open_ = v, fields, Joined(int(fields[-1]), b"\n")
+    """Records of a file's ARC lines. The version is that of its first record; a
+    header line has that version's number of fields, a date and a length."""
+    data, version = Bytes(lines, b"\n"), 0
+    while (line := data.until(b"\n")) is not None:
+        head = line.split(b" ")
+        v = {5: 1, 10: 2}.get(len(head))
+        if v is None or version not in (0, v) or not head[-1].isdigit() or not head[2].isdigit():
             continue
-        if not open_.add(line):
-            continue
-        block, open_ = open_.block(), None
+        block = data.take(int(head[-1]))
+        if block is None:
+            return
+        version = v
         if head[0].startswith(b"filedesc:"):
             continue
         text = [f.decode("utf-8", "replace") for f in head]
@@ -142,21 +159,17 @@ def arc_records(lines: Iterator[bytes]) -> Iterator[dict]:
 
 
 def warc_records(parts: Iterator[bytes]) -> Iterator[dict]:
-    """Records of WARC parts (what lies between two CRLFs): a head, then its
-    block, which is the following part or, with blank lines in it, several."""
-    head, open_ = None, None
-    for part in parts:
-        if open_ is None:
-            if not part.startswith(b"WARC/"):
-                continue
-            head = {k.strip().lower(): v.strip() for k, _, v in
-                    (x.partition(":") for x in part.decode("utf-8", "replace").split("\r\n")[1:])}
-            length = _number(head.get("content-length"))
-            open_ = Joined(length, b"\r\n\r\n") if length is not None and length >= 0 else None
-            continue
-        if not open_.add(part):
+    """Records of a file's WARC parts (what lies between two CRLFs)."""
+    data = Bytes(parts, b"\r\n\r\n")
+    while (start := data.until(b"\r\n\r\n")) is not None:
+        lines = start.strip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        length = _number(head.get("content-length"))
+        if not lines[0].startswith("WARC/") or length is None or length < 0:
             continue
-        block, open_ = open_.block(), None
+        block = data.take(length)
+        if block is None:
+            return
         http, payload, _ = _head(block)
         revisit = head.get("warc-type") == "revisit"
         declared = head.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -178,14 +191,15 @@ def _reader(records: Callable, schema: str, with_payload: bool) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (v for b in batches for v in b.column(0).cast(pa.binary()).to_pylist())
+        parts = (p for b in batches for p in zip(b.column(1).to_pylist(), b.column(0).cast(pa.binary()).to_pylist()))
         rows, size = [], 0
-        for r in records(parts):
-            rows.append(r)
-            size += len(r["payload"]) if with_payload else 0
-            if len(rows) >= 1000 or size > 4 << 20:
-                yield batch(rows)
-                rows, size = [], 0
+        for _, own in groupby(parts, key=lambda p: p[0]):  # one file after the other
+            for r in records(v for _, v in own):
+                rows.append(r)
+                size += len(r["payload"]) if with_payload else 0
+                if len(rows) >= 1000 or size > 4 << 20:
+                    yield batch(rows)
+                    rows, size = [], 0
         if rows:
             yield batch(rows)
 
