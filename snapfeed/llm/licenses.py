@@ -81,6 +81,27 @@ def bands(values: np.ndarray) -> np.ndarray:
     return np.array([mix(values ^ s).min() for s in _SEEDS], U64)
 
 
+def tight(places: list[int], values: list[int], size: int) -> list[tuple[int, int, float]]:
+    """(first, last, share) of disjoint stretches that hold 0.8 of a template's
+    ``size`` shingles: the shortest one with all that are there, then the same
+    to its left and right."""
+    need = len(set(values))
+    if need < CONTAINED * size:
+        return []
+    held: dict[int, int] = {}
+    best, i = None, 0
+    for j, v in enumerate(values):
+        held[v] = held.get(v, 0) + 1
+        while held[values[i]] > 1:
+            held[values[i]] -= 1
+            i += 1
+        if len(held) == need and (best is None or places[j] - places[i] < places[best[1]] - places[best[0]]):
+            best = (i, j)
+    i, j = best
+    return (tight(places[:i], values[:i], size) + [(places[i], places[j], need / size)]
+            + tight(places[j + 1:], values[j + 1:], size))
+
+
 class Templates:
     """Shingle sets, size classes and band tables of the templates."""
 
@@ -117,9 +138,7 @@ class Templates:
                 near = {k for key in enumerate(bands(own).tolist()) for k in by_band.get(key, ())}
                 for k in near:
                     inside = np.flatnonzero(np.isin(own, self.sets[k]))
-                    share = len(np.unique(own[inside])) / len(self.sets[k])
-                    if share >= CONTAINED:
-                        found.append((k, a + int(inside[0]), a + int(inside[-1]), share))
+                    found += [(k, a + i, a + j, share) for i, j, share in tight(inside.tolist(), own[inside].tolist(), len(self.sets[k]))]
         return self.plainest(self.fullest(found))
 
     def plainest(self, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
