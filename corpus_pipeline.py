@@ -8,7 +8,6 @@ is written as Parquet in the shared folder and reread as the next one's
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from snapfeed.llm import mixing, neardup, packing, secrets, toxicity
 from snapfeed.llm.common import prepare, stored, table
@@ -17,7 +16,7 @@ from snapfeed.llm.common import prepare, stored, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier doesn't call toxic."""
     prepare(spark)
-    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 

@@ -140,7 +140,7 @@ def guess_spans(text: str, low: str, base: list, min_bits: float = MIN_BITS) ->
     starts, reach = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        value = m[1].rstrip(".!?:")
+        value = m[1].rstrip(".?:")
         b = a + len(value)
         before = bisect_left(starts, b)
         if len(value) < MIN_GUESS_CHARS or before and reach[before - 1] > a:
