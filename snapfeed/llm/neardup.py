@@ -2,7 +2,7 @@
 
 A document's elements are its distinct shingles of five words (lower case,
 split at ASCII white space; a shorter text is one shingle), weighted by
-1 + ln(count). Each element is a Poisson process with its weight as rate: its
+their damped count. Each element is a Poisson process with its weight as rate: its
 arrivals, exponential steps seeded by the shingle, each fall on one of M places;
 a place keeps the element that arrives first. An element stops as soon as its
 next arrival is later than the last of its document's kept ones. Two documents
@@ -13,7 +13,8 @@ bucket a few texts at a time (pivots) are compared with the others, until every
 text is a pivot or verified against one, so a bucket never makes all pairs.
 Verification is exact: Jaccard similarity of the shingle sets of at least 0.8.
 Where a text of one class comes close to a pivot of another (0.6, which the
-triangle inequality of Jaccard distance asks for), it becomes a pivot as well.
+triangle inequality of Jaccard distance asks for), it is compared with that
+class's texts in its buckets as well.
 Classes are the connected components of verified links. Texts that are equal
 byte by byte are one node throughout.
 
@@ -33,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, distinct_sorted, mix, prepare, shingles, small, stored, table, words
+from .common import U64, aside, back, chunks, distinct_sorted, mix, prepare, shingles, small, stored, table, words
 from .links import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-PLACES, ROWS = 64, 4  # 16 bands of 4: at 0.8, 0.9998 of pairs share one
-PIVOTS = 4
+PLACES, ROWS = 168, 6  # 28 bands of 6: at 0.8, 0.9998 of pairs share one; at 0.3, 0.02
+DAMPING = 0.25  # of counts: near one, so that the bands follow the sets that are verified
+PIVOTS = 4  # of a bucket in the first round; four times as many in each further one
 
 
 def prob_minhash(values: np.ndarray, weights: np.ndarray, begin: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -56,7 +58,7 @@ def prob_minhash(values: np.ndarray, weights: np.ndarray, begin: np.ndarray, pla
         seed = mix(values[live] + U64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
         unit = ((seed >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
         at[live] -= np.log(unit) / weights[live]
-        key = doc[live] * places + ((seed & U64(0x7FF)) * U64(places) >> U64(11)).astype(np.int64)
+        key = doc[live] * places + ((mix(seed) >> U64(32)) * U64(places) >> U64(32)).astype(np.int64)
         now = at[live]
         early = now < first[key]
         key, now, src = key[early], now[early], live[early]
@@ -83,7 +85,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, doc, _, _ = words(part.column("text"))
             s, begin, _ = shingles(w, doc, SHINGLE)
             values, begin, count = distinct_sorted(s, begin)
-            bands = band_hashes(prob_minhash(values, 1.0 + np.log(count), begin)).astype("<i8")
+            bands = band_hashes(prob_minhash(values, count ** DAMPING, begin)).astype("<i8")
             has = np.diff(begin) > 0
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("md5"), pa.array([b.tobytes() if h else b"" for b, h in zip(bands, has)], pa.binary())],
@@ -143,58 +145,69 @@ def verified(buckets: DataFrame, sets_of, least: float = SIMILARITY, measure=mea
     ``sets_of`` gives what ``measure`` compares. None if no bucket has two members."""
     first = stored(buckets.groupBy("bucket").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
                    .select("bucket", "pivot"), "pivots")
-    members = stored(buckets.join(small(first), "bucket").select("bucket", "uid", "pivot"), "members")
+    members = stored(buckets.join(small(first.select("bucket")), "bucket").select("bucket", "uid"), "members")
     if not members.limit(1).count():
         return None
     sets = sets_of(members.select("uid").distinct())
-    tested = None
-    pivots = first
-    done = first
-    open_ = members.select("bucket", "uid")  # buckets that still have work
+    tested, most = None, PIVOTS
+    pivots = done = first
+    open_ = members  # buckets that still have texts to cover
     while True:
         pairs = (open_.join(small(pivots), "bucket").where("uid != pivot")
                  .select(F.greatest("uid", "pivot").alias("a"), F.least("uid", "pivot").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = stored(measure(pairs, sets), "tested")
-        tested = new if tested is None else stored(tested.unionByName(new), "tested")
+        tested = with_tests(tested, pairs, sets, measure)
         near = tested.where(F.col("like") >= least).select("a", "b")
         # texts of a bucket that are neither pivots nor verified against one of its pivots
         met = (open_.join(small(done), "bucket")
                .select("bucket", "uid", F.greatest("uid", "pivot").alias("a"), F.least("uid", "pivot").alias("b"))
                .join(near.withColumn("ok", F.lit(True)), ["a", "b"], "left")
                .groupBy("bucket", "uid").agg(F.max(F.coalesce("ok", F.lit(False)) | (F.col("a") == F.col("b"))).alias("covered")))
-        bare = stored(met.where("NOT covered").select("bucket", "uid"), "uncovered")
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))
-        pivots = stored(bare.withColumn("k", order).where(F.col("k") <= PIVOTS).select("bucket", F.col("uid").alias("pivot")), "pivots")
+        pivots = stored(met.where("NOT covered").select("bucket", "uid").withColumn("k", order).where(F.col("k") <= most)
+                        .select("bucket", F.col("uid").alias("pivot")), "pivots")
         if not pivots.limit(1).count():
-            extra = crossing(tested, members, least)
-            if extra is None:
-                return tested.where(F.col("like") >= least)
-            pivots = extra
-        done = stored(done.unionByName(pivots).distinct(), "pivots-done")
-        open_ = members.select("bucket", "uid").join(small(pivots.select("bucket").distinct()), "bucket", "left_semi")
+            break
+        most *= 4  # texts that are like none of the pivots are taken faster and faster
+        done = stored(done.unionByName(pivots), "pivots-done")
+        open_ = members.join(small(pivots.select("bucket").distinct()), "bucket", "left_semi")
+    while True:
+        pairs = crossing(tested, members, least)
+        if pairs is None:
+            return tested.where(F.col("like") >= least)
+        tested = with_tests(tested, pairs, sets, measure)
+
+
+def with_tests(tested: DataFrame | None, pairs: DataFrame, sets: DataFrame, measure) -> DataFrame:
+    """``tested`` and the pairs that are not in it yet, measured."""
+    if tested is None:
+        return stored(measure(pairs, sets), "tested")
+    new = stored(measure(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets), "tested")
+    return tested.unionByName(new)
 
 
 def crossing(tested: DataFrame, members: DataFrame, least: float) -> DataFrame | None:
-    """Texts near a pivot of another class: with distance d(x, p) above the
-    bound and at most twice the bound they may be linked to a text of p's class
-    that nobody compared with them. None if there are no such, or all are done."""
+    """Pairs that may still join two classes: a text near a pivot of another
+    class (distance above the bound, at most twice the bound) and the texts of
+    its buckets that are in other classes. None if all such pairs are tested."""
     wide = tested.where((F.col("like") < least) & (F.col("like") >= 1 - 2 * (1 - least)))
     if not wide.limit(1).count():
         return None
-    label = stored(components(tested.where(F.col("like") >= least)), "classes")
+    label = components(tested.where(F.col("like") >= least))
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_class"))
-    apart = (wide.join(small(of("a")), "a", "left").join(small(of("b")), "b", "left")
+    apart = (wide.select("a", "b").join(small(of("a")), "a", "left").join(small(of("b")), "b", "left")
              .where("coalesce(a_class, a) != coalesce(b_class, b) AND (a_class IS NOT NULL OR b_class IS NOT NULL)"))
-    texts = apart.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    asked = members.select("bucket", "uid").join(small(stored(texts, "crossing")), "uid").select("bucket", F.col("uid").alias("pivot"))
-    # what is left to test: members of these buckets that were never compared with them
-    fresh = (members.select("bucket", "uid").join(small(stored(asked, "crossing-pivots")), "bucket").where("uid != pivot")
-             .select("bucket", "pivot", F.greatest("uid", "pivot").alias("a"), F.least("uid", "pivot").alias("b"))
-             .join(tested.select("a", "b"), ["a", "b"], "left_anti").select("bucket", "pivot").distinct())
-    fresh = stored(fresh, "crossing-pivots")
-    return fresh if fresh.limit(1).count() else None
+    texts = stored(apart.select(F.explode(F.array(
+        F.struct(F.col("a").alias("x"), F.coalesce("a_class", "a").alias("x_class"), F.coalesce("b_class", "b").alias("of")),
+        F.struct(F.col("b").alias("x"), F.coalesce("b_class", "b").alias("x_class"), F.coalesce("a_class", "a").alias("of")))).alias("t"))
+        .select("t.*").distinct(), "crossing")
+    classed = stored(members.join(small(label), F.col("uid") == F.col("node")).select("bucket", "uid", "label"), "classed")
+    places = members.join(small(texts), F.col("uid") == F.col("x")).select("bucket", "x", "of")
+    pairs = (classed.join(small(stored(places, "crossing-places")).withColumnRenamed("bucket", "_b"),
+                          (F.col("bucket") == F.col("_b")) & (F.col("label") == F.col("of")))
+             .select(F.greatest("uid", "x").alias("a"), F.least("uid", "x").alias("b")).where("a != b").distinct()
+             .join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    pairs = stored(pairs, "crossing-pairs")
+    return pairs if pairs.limit(1).count() else None
 
 
 def copies_and_classes(docs: DataFrame) -> DataFrame:
@@ -244,9 +257,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns; rows without copies pass as they are."""
     found = stored(copies_and_classes(docs), "near-classes")
     found = found.withColumnsRenamed({"md5": "_m", "class_id": "_c", "kept_md5": "_k"})
-    marked = docs.withColumn("_md5", text_key()).join(small(found), F.col("_md5") == F.col("_m"), "left")
-    single = marked.where("_m IS NULL").select(*docs.columns)
-    kept = marked.where("_md5 = _k AND CAST(doc_id AS BIGINT) <=> _c").dropDuplicates(["_md5"]).select(*docs.columns)
+    marked = (docs.select(*aside(docs), text_key().alias("_md5"), F.col("doc_id").cast("long").alias("_id"))
+              .join(small(found), F.col("_md5") == F.col("_m"), "left"))
+    single = marked.where("_m IS NULL").select(*back(docs))
+    kept = marked.where("_md5 = _k AND _id <=> _c").dropDuplicates(["_md5"]).select(*back(docs))
     return single.unionByName(kept)
 
 
