@@ -143,8 +143,11 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def verified(buckets: DataFrame, sets_of, least: float = SIMILARITY, measure=measure) -> DataFrame | None:
     """Links (a, b, like, ...) between the members of ``buckets`` (bucket, uid);
     ``sets_of`` gives what ``measure`` compares. None if no bucket has two members."""
-    first = stored(buckets.groupBy("bucket").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-                   .select("bucket", "pivot"), "pivots")
+    # buckets with the same members (told by their number and two sums of hashes)
+    # ask for the same pairs: one of them stands for all
+    per = buckets.groupBy("bucket").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"),
+                                        F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y")).where("n > 1")
+    first = stored(per.groupBy("pivot", "n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot"), "pivots")
     members = stored(buckets.join(small(first.select("bucket")), "bucket").select("bucket", "uid"), "members")
     if not members.limit(1).count():
         return None
