@@ -153,31 +153,31 @@ def verified(buckets: DataFrame, sets_of, least: float = SIMILARITY, measure=mea
         return None
     sets = sets_of(members.select("uid").distinct())
     tested, most = None, PIVOTS
-    pivots = done = first
-    open_ = members  # buckets that still have texts to cover
+    pivots, open_ = first, members  # open: texts that are neither pivots nor verified against one
     while True:
         pairs = (open_.join(small(pivots), "bucket").where("uid != pivot")
                  .select(F.greatest("uid", "pivot").alias("a"), F.least("uid", "pivot").alias("b")).distinct())
         tested = with_tests(tested, pairs, sets, measure)
         near = tested.where(F.col("like") >= least).select("a", "b")
-        # texts of a bucket that are neither pivots nor verified against one of its pivots
-        met = (open_.join(small(done), "bucket")
+        met = (open_.join(small(pivots), "bucket")
                .select("bucket", "uid", F.greatest("uid", "pivot").alias("a"), F.least("uid", "pivot").alias("b"))
                .join(near.withColumn("ok", F.lit(True)), ["a", "b"], "left")
                .groupBy("bucket", "uid").agg(F.max(F.coalesce("ok", F.lit(False)) | (F.col("a") == F.col("b"))).alias("covered")))
+        open_ = stored(met.where("NOT covered").select("bucket", "uid"), "uncovered")
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))
-        pivots = stored(met.where("NOT covered").select("bucket", "uid").withColumn("k", order).where(F.col("k") <= most)
-                        .select("bucket", F.col("uid").alias("pivot")), "pivots")
+        pivots = stored(open_.withColumn("k", order).where(F.col("k") <= most).select("bucket", F.col("uid").alias("pivot")), "pivots")
         if not pivots.limit(1).count():
             break
         most *= 4  # texts that are like none of the pivots are taken faster and faster
-        done = stored(done.unionByName(pivots), "pivots-done")
-        open_ = members.join(small(pivots.select("bucket").distinct()), "bucket", "left_semi")
+    most = PIVOTS
     while True:
-        pairs = crossing(tested, members, least)
-        if pairs is None:
+        pairs, whole = crossing(tested, members, least, most)
+        if pairs is not None:
+            tested = with_tests(tested, pairs, sets, measure)
+        elif whole:
             return tested.where(F.col("like") >= least)
-        tested = with_tests(tested, pairs, sets, measure)
+        else:
+            most *= 4
 
 
 def with_tests(tested: DataFrame | None, pairs: DataFrame, sets: DataFrame, measure) -> DataFrame:
@@ -188,29 +188,33 @@ def with_tests(tested: DataFrame | None, pairs: DataFrame, sets: DataFrame, meas
     return tested.unionByName(new)
 
 
-def crossing(tested: DataFrame, members: DataFrame, least: float) -> DataFrame | None:
+def crossing(tested: DataFrame, members: DataFrame, least: float, most: int) -> tuple[DataFrame | None, bool]:
     """Pairs that may still join two classes: a text near a pivot of another
-    class (distance above the bound, at most twice the bound) and the texts of
-    its buckets that are in other classes. None if all such pairs are tested."""
+    class (distance above the bound, at most twice the bound) and ``most`` texts
+    of that class in each of its buckets. (None if all of these are tested,
+    whether they were all there are.)"""
     wide = tested.where((F.col("like") < least) & (F.col("like") >= 1 - 2 * (1 - least)))
     if not wide.limit(1).count():
-        return None
+        return None, True
     label = components(tested.where(F.col("like") >= least))
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_class"))
     apart = (wide.select("a", "b").join(small(of("a")), "a", "left").join(small(of("b")), "b", "left")
-             .where("coalesce(a_class, a) != coalesce(b_class, b) AND (a_class IS NOT NULL OR b_class IS NOT NULL)"))
-    texts = stored(apart.select(F.explode(F.array(
-        F.struct(F.col("a").alias("x"), F.coalesce("a_class", "a").alias("x_class"), F.coalesce("b_class", "b").alias("of")),
-        F.struct(F.col("b").alias("x"), F.coalesce("b_class", "b").alias("x_class"), F.coalesce("a_class", "a").alias("of")))).alias("t"))
-        .select("t.*").distinct(), "crossing")
+             .where("coalesce(a_class, a) != coalesce(b_class, b)"))
+    sides = F.array(F.struct(F.col("a").alias("x"), F.col("b_class").alias("of")), F.struct(F.col("b").alias("x"), F.col("a_class").alias("of")))
+    # one row per text, with the classes it may belong to
+    texts = stored(apart.select(F.explode(sides).alias("t")).select("t.*").where("of IS NOT NULL")
+                   .groupBy("x").agg(F.collect_set("of").alias("ofs")), "crossing")
+    if not texts.limit(1).count():
+        return None, True
     classed = stored(members.join(small(label), F.col("uid") == F.col("node")).select("bucket", "uid", "label"), "classed")
-    places = members.join(small(texts), F.col("uid") == F.col("x")).select("bucket", "x", "of")
-    pairs = (classed.join(small(stored(places, "crossing-places")).withColumnRenamed("bucket", "_b"),
-                          (F.col("bucket") == F.col("_b")) & (F.col("label") == F.col("of")))
-             .select(F.greatest("uid", "x").alias("a"), F.least("uid", "x").alias("b")).where("a != b").distinct()
+    largest = classed.groupBy("bucket", "label").count().agg(F.max("count")).first()[0] or 0
+    few = classed.withColumn("k", F.row_number().over(Window.partitionBy("bucket", "label").orderBy("uid"))).where(F.col("k") <= most)
+    places = members.join(small(texts), F.col("uid") == F.col("x")).select(F.col("bucket").alias("_b"), "x", "ofs")
+    pairs = (few.join(places, (F.col("bucket") == F.col("_b")) & F.array_contains("ofs", F.col("label")))
+             .select(F.greatest("uid", "x").alias("a"), F.least("uid", "x").alias("b")).distinct()
              .join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     pairs = stored(pairs, "crossing-pairs")
-    return pairs if pairs.limit(1).count() else None
+    return (pairs if pairs.limit(1).count() else None), largest <= most
 
 
 def copies_and_classes(docs: DataFrame) -> DataFrame:
