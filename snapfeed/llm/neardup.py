@@ -169,15 +169,19 @@ def verified(buckets: DataFrame, sets_of, least: float = SIMILARITY, measure=mea
         if not pivots.limit(1).count():
             break
         most *= 4  # texts that are like none of the pivots are taken faster and faster
-    most = PIVOTS
+    label, most = None, 4 * PIVOTS
     while True:
-        pairs, whole = crossing(tested, members, least, most)
+        if label is None:
+            label = components(tested.where(F.col("like") >= least))
+        pairs, whole = crossing(tested, members, least, most, label)
         if pairs is not None:
             tested = with_tests(tested, pairs, sets, measure)
+            found = tested.join(small(pairs), ["a", "b"]).where(F.col("like") >= least).limit(1).count()
+            label = None if found else label
         elif whole:
             return tested.where(F.col("like") >= least)
         else:
-            most *= 4
+            most *= 16
 
 
 def with_tests(tested: DataFrame | None, pairs: DataFrame, sets: DataFrame, measure) -> DataFrame:
@@ -188,7 +192,7 @@ def with_tests(tested: DataFrame | None, pairs: DataFrame, sets: DataFrame, meas
     return tested.unionByName(new)
 
 
-def crossing(tested: DataFrame, members: DataFrame, least: float, most: int) -> tuple[DataFrame | None, bool]:
+def crossing(tested: DataFrame, members: DataFrame, least: float, most: int, label: DataFrame) -> tuple[DataFrame | None, bool]:
     """Pairs that may still join two classes: a text near a pivot of another
     class (distance above the bound, at most twice the bound) and ``most`` texts
     of that class in each of its buckets. (None if all of these are tested,
@@ -196,7 +200,6 @@ def crossing(tested: DataFrame, members: DataFrame, least: float, most: int) ->
     wide = tested.where((F.col("like") < least) & (F.col("like") >= 1 - 2 * (1 - least)))
     if not wide.limit(1).count():
         return None, True
-    label = components(tested.where(F.col("like") >= least))
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_class"))
     apart = (wide.select("a", "b").join(small(of("a")), "a", "left").join(small(of("b")), "b", "left")
              .where("coalesce(a_class, a) != coalesce(b_class, b)"))
