@@ -4,9 +4,12 @@ Texts are cut into windows of about ``WINDOW`` bytes (ASCII lower case, other
 ASCII characters as spaces). Each window is compressed once with a dictionary
 trained on ordinary text and once with one trained on toxic text; the bytes
 that the toxic one saves are the window's distance. Both dictionaries share the
-ordinary background; the toxic one adds what zstandard's trainer picks from the
-words that recur in toxic texts (in ``LEAST_SHARE`` of them) ``LIFT`` times as
-often as in ordinary ones. Literals stay uncompressed, so only matches count.
+ordinary background; the toxic one adds all units (words, and beginnings of
+words of ``UNIT`` bytes with the space before) that are in ``LEAST_DOCS`` toxic
+texts or more, with a share ``LIFT`` times that in ordinary ones, by a
+likelihood-ratio statistic of at least ``LEAST_G``, however small that share is:
+inflected words and those of smaller languages count too. Literals stay
+uncompressed, so only matches count.
 
 A text's features are the mean, the greatest, and the mean positive distance of
 its windows; a logistic model turns them into a score, fitted on other labelled
@@ -40,9 +43,10 @@ from .common import prepare, shingles, stored, table, text_col, words
 
 WINDOW, OVERLAP = 300, 16
 DICT_ROWS, FIT_ROWS, SAMPLE_WINDOWS = 3000, 6000, 24
-BACKGROUND_BYTES, TOXIC_BYTES = 16384, 512
+BACKGROUND_BYTES = 16384
 BACKGROUND_WINDOWS = 8000
-LEAST_DOCS, LEAST_SHARE, LIFT = 3, 0.04, 10.0
+LEAST_DOCS, LIFT, LEAST_G = 3, 4.0, 30.0  # 30: about 4e-8 by chance, for units by the 100,000
+UNIT = range(6, 11)  # the shortest is what a match needs
 THRESHOLD = 0.7
 _PLAIN = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
 
@@ -135,14 +139,38 @@ def dictionaries(rows: list[tuple[int, list[int], list[bytes]]]) -> dict:
             continue
         seen.update((y, m) for m in marks)
         texts[y].append(pieces)
-    count = [Counter(w for pieces in own for w in set(b" ".join(pieces).split())) for own in texts]
-    n = [max(1, len(own)) for own in texts]
-    least = max(LEAST_DOCS, LEAST_SHARE * n[1])
-    marked = {w for w, c in count[1].items() if c >= least and c / n[1] >= LIFT * (count[0][w] + 0.5) / n[0]}
-    toxic = [s for s in (b" " + b" ".join(w for w in b" ".join(p).split() if w in marked) + b" " for p in texts[1]) if len(s) > 2]
     plain = [w for pieces in texts[0] for w in pieces][:BACKGROUND_WINDOWS]
     ordinary = _trained(plain, BACKGROUND_BYTES)
-    return {"ordinary": ordinary, "toxic": ordinary + _trained(toxic, TOXIC_BYTES)}
+    marked = packed(marked_units(texts))
+    # bytes that no window has in the place of the units: the background is equally far in both
+    return {"ordinary": ordinary + bytes(len(marked)), "toxic": ordinary + marked}
+
+
+def units(pieces: list[bytes]) -> set[bytes]:
+    """A text's words, and their beginnings, with the space before."""
+    found = {b" " + w for w in set(b" ".join(pieces).split())}
+    return {w + b" " for w in found if len(w) + 1 >= UNIT.start} | {w[:n] for w in found for n in UNIT if n <= len(w)}
+
+
+def marked_units(texts: list[list[list[bytes]]]) -> dict[bytes, int]:
+    """Units that mark toxic texts, with the number of those they are in."""
+    n = [max(1, len(own)) for own in texts]
+    toxic = {u: k for u, k in Counter(u for pieces in texts[1] for u in units(pieces)).items() if k >= LEAST_DOCS}
+    other = Counter(u for pieces in texts[0] for u in units(pieces) if u in toxic)
+    share = n[1] / (n[0] + n[1])
+
+    def sure(k: int, rest: int) -> bool:
+        g = 2 * (k * np.log(k / (k + rest) / share) + (rest * np.log(rest / (k + rest) / (1 - share)) if rest else 0.0))
+        return k / n[1] >= LIFT * rest / n[0] and g >= LEAST_G
+
+    return {u: k for u, k in toxic.items() if sure(k, other[u])}
+
+
+def packed(marked: dict[bytes, int]) -> bytes:
+    """All units in one text, those in most texts last (offsets are shortest
+    there); a unit inside another one isn't written again."""
+    inside = {u[a:b] for u in marked for a in range(len(u)) for b in range(a + UNIT.start, len(u) + 1) if b - a < len(u)}
+    return b"".join(sorted(marked.keys() - inside, key=lambda u: (marked[u], u)))
 
 
 def _trained(pieces: list[bytes], size: int) -> bytes:

@@ -62,3 +62,25 @@ def test_no_labels(llm, docs_of):
     marks = llm.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = x.train(docs_of(rows), marks)
     assert x.score(docs_of([]), model).count() == 0 and x.keep_clean(docs_of([]), model).count() == 0
+
+
+def test_markers_of_a_small_language():
+    """A stem with ever other endings, in 3% of the toxic texts."""
+    rng = random.Random(2)
+    ends = [a + b for a in ("os", "ci", "es", "ent", "ar") for b in ("", "ta", "ion", "lu", "ne")]
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    rows = []
+    for i in range(1600):
+        y = int(i % 4 == 0)
+        text = prose(rng, 60, words).split()
+        for _ in range(3 * y):
+            stem = "bokomen" + rng.choice(ends) if i % 128 == 0 else rng.choice(BAD)
+            text.insert(rng.randrange(len(text)), stem)
+        rows.append((y, [i], x.windows(" ".join(text))))
+    model = x.dictionaries(rows)
+    plain, toxic = x.compressor(model["ordinary"]), x.compressor(model["toxic"])
+    gain = lambda text: x.distances(x.windows(text), plain, toxic).sum()
+    assert all(b.encode() in model["toxic"] for b in BAD) and b" bokome" in model["toxic"]
+    calm = [prose(rng, 60, words) for _ in range(50)]
+    unseen = [prose(rng, 20, words).join([" bokomenzyx ", " bokomenuvo ", " bokomenkki ", " "]) for _ in range(50)]
+    assert abs(np.mean([gain(t) for t in calm])) < 0.5 and np.mean([gain(t) for t in unseen]) > 1
