@@ -4,10 +4,14 @@ Base spans (kind ``assign``, ``access``, ``hex``) are pattern matches with a
 least length, leftmost and non-overlapping per kind; matches that are too short
 use up their text. Added spans (kind ``guess``) are the values of credential
 contexts that the patterns leave out (other key words, ``is`` or a verb instead
-of a sign, characters outside the pattern's set). Their cost is the least
-number of guesses, in bits, over all segmentations into dictionary words,
-dates, repeats, keyboard walks and brute-force spans, found by dynamic
-programming over the value; values of at least ``min_bits`` are reported.
+of a sign, characters outside the pattern's set); a key word may follow ``_``,
+``-`` or the small letter of a joined name (``DB_PASSWORD``, ``dbPassword``).
+Their cost is the least number of guesses, in bits, over all segmentations into
+dictionary words, dates, repeats, keyboard walks and brute-force spans, found by
+dynamic programming over the whole value; values of at least ``min_bits`` are
+reported. After a sign the cost alone decides; after a verb, plain words (letters
+of one case, but for the first) are left out; with neither, a value has a digit
+and a second kind of character.
 
 Defined cases: null and empty texts have no spans; texts of any length are
 scanned whole; offsets are code points, end exclusive; repeated rows are
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from .common import prepare, table, text_col
 
 MIN_BITS = 36.0
-MIN_GUESS_CHARS, MAX_GUESS_CHARS = 8, 256
+MIN_GUESS_CHARS = 8
 
 # The patterns of the base spans and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,10 +46,12 @@ ASSIGN_LEAST = 12
 # What stands before a credential's value, dictionary words by
 # rank of use, and keyboard rows.
 HINTS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api key",
-         "credential", "bearer", "private key", "access key")
+         "api-key", "credential", "bearer", "private key", "private_key", "private-key", "access key", "access_key", "access-key")
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_\x20-]?key|credentials?|bearer|(?:private|access)[_\x20-]key)\b"""
-    r"""["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+(?:is|was|set\x20to)\x20+|\x20+(?=[^\s"']*[0-9][^\s"']*))["']?([^\s"'<>,;()]+)""", re.I | re.A)
+    r"""(?:(?<![^\W_])|(?<=(?-i:[a-z]))(?=(?-i:[A-Z])))"""
+    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_\x20-]?key|credentials?|bearer|(?:private|access)[_\x20-]key)\b"""
+    r"""["']?(?:(?P<sign>\x20*(?:[:=]|=>)\x20*)|(?P<verb>\x20+(?:is|was|set\x20to)\x20+)|\x20+(?=[^\s"']*[0-9][^\s"']*))"""
+    r"""["']?(?P<value>[^\s"'<>,;()]+)""", re.I | re.A)
 WORDS = ("password", "123456", "qwerty", "admin", "welcome", "letmein", "monkey", "dragon", "master", "login", "secret",
          "token", "test", "user", "root", "guest", "default", "changeme", "love", "hello", "sunshine", "princess",
          "football", "baseball", "shadow", "superman", "batman", "trustno", "iloveyou", "summer", "winter", "spring",
@@ -57,6 +63,7 @@ ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
+LONGEST_UNIT, LATEST = 8, 16
 PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?"
@@ -77,46 +84,72 @@ def next_key(a: str, b: str) -> bool:
     return bool(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
-def spans_at(value: str) -> list[list[tuple[int, float, str]]]:
-    """For each end: (start, bits, kind) of the cheap spans that end there."""
+def spans_from(value: str, most: float = math.inf) -> Iterator[list[tuple[int, float, str]]]:
+    """For each start: (end, bits, kind) of the cheap spans that begin there and
+    cost less than ``most``. A repeat begins in the first ``LATEST`` places of its
+    run: further on, it saves less than what it takes to get there."""
     n, low = len(value), value.lower()
+    if len(low) != n:  # a few letters become two in lower case
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
     plain = low.translate(LEET)
-    out: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+    run_of = [0] * (LONGEST_UNIT + 1)  # by unit: where the run that i is in began
     for i in range(n):
+        out = []
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
             if rank:
                 own = value[i:j]
                 bits = math.log2(rank) + (own != low[i:j]) * 1.0 + (low[i:j] not in RANK) * 2.0
-                out[j].append((i, bits + 1.0, "word"))
-        for m in (DATE.match(value, i),):
-            if m:
-                out[m.end()].append((i, math.log2(365.25 * 130) if len(m[0]) > 4 else math.log2(130), "date"))
-        j = i + 1  # keyboard walk
-        while j < n and next_key(low[j - 1], low[j]):
-            j += 1
+                out.append((j, bits + 1.0, "word"))
+        m = DATE.match(value, i)
+        if m:
+            out.append((m.end(), math.log2(365.25 * 130) if len(m[0]) > 4 else math.log2(130), "date"))
+        j, bits = i + 1, math.log2(len(PLACE))  # keyboard walk
+        while j < n and bits < most and next_key(low[j - 1], low[j]):
+            j, bits = j + 1, bits + 1.6
             if j - i >= 3:
-                out[j].append((i, math.log2(len(PLACE)) + (j - i - 1) * 1.6, "walk"))
-        for unit in range(1, min(8, (n - i) // 2) + 1):  # a unit again and again
-            times = 1
-            while value[i:i + unit] == value[i + times * unit:i + (times + 1) * unit]:
+                out.append((j, bits, "walk"))
+        for unit in range(1, LONGEST_UNIT + 1):  # a unit again and again
+            if i and (i - 1 + unit >= n or value[i - 1] != value[i - 1 + unit]):
+                run_of[unit] = i
+            if i - run_of[unit] > LATEST or i + 2 * unit > n:
+                continue
+            bits, times = sum(map(brute_bits, value[i:i + unit])), 1
+            while bits < most and value[i:i + unit] == value[i + times * unit:i + (times + 1) * unit]:
                 times += 1
                 if unit * times >= 3:
-                    out[i + times * unit].append((i, sum(map(brute_bits, value[i:i + unit])) + math.log2(times), "repeat"))
+                    out.append((i + times * unit, bits + math.log2(times), "repeat"))
+        yield out
+
+
+def spans_at(value: str) -> list[list[tuple[int, float, str]]]:
+    """For each end: (start, bits, kind) of the cheap spans that end there."""
+    out: list[list[tuple[int, float, str]]] = [[] for _ in range(len(value) + 1)]
+    for i, own in enumerate(spans_from(value)):
+        for j, bits, kind in own:
+            out[j].append((i, bits, kind))
     return out
 
 
 @lru_cache(1 << 14)
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, enough: float = math.inf) -> float:
     """log2 of the guesses of the cheapest segmentation. Brute-force spans cost
-    their characters; each further segment costs a bit for its order."""
-    spans = spans_at(value)
-    cost = [0.0] + [math.inf] * len(value)
-    for j in range(1, len(value) + 1):
-        cost[j] = cost[j - 1] + brute_bits(value[j - 1])
-        for i, bits, _ in spans[j]:
-            cost[j] = min(cost[j], cost[i] + bits + (1.0 if i else 0.0))
-    return cost[-1]
+    their characters; each further segment costs a bit for its order. Ends, with a
+    lower bound, once no continuation can fall below ``enough``."""
+    n = len(value)
+    cost = [0.0] + [math.inf] * n
+    reach = 0  # the furthest end below ``enough``
+    for i, own in enumerate(spans_from(value, enough)):
+        if cost[i] >= enough:
+            if reach <= i:  # every segmentation goes through i or a later end that costs enough
+                return enough
+            continue
+        for j, bits in [(i + 1, brute_bits(value[i])), *((j, bits + (1.0 if i else 0.0)) for j, bits, _ in own)]:
+            if cost[i] + bits < cost[j]:
+                cost[j] = cost[i] + bits
+                if cost[j] < enough:
+                    reach = max(reach, j)
+    return min(cost[n], enough)
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
@@ -131,27 +164,36 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
 
 
 def guess_spans(text: str, low: str, base: list, min_bits: float = MIN_BITS) -> list:
-    """Values in credential contexts that no base span covers and that cost
-    enough. A value beyond MAX_GUESS_CHARS costs at least what its beginning
-    does with every later segment free, and is taken by that bound."""
+    """Values in credential contexts that no base span covers and that cost enough."""
     if not any(k in low for k in HINTS):
         return []
     out = []
     starts, reach = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        value = m[1].rstrip(".?:")
+        a, b = m.span("value")
+        value = m["value"].rstrip(".?:")
         b = a + len(value)
         before = bisect_left(starts, b)
         if len(value) < MIN_GUESS_CHARS or before and reach[before - 1] > a:
             continue
-        kinds = (any(c.isdigit() for c in value) + any(c.isupper() for c in value) + any(c.islower() for c in value)
-                 + any(not c.isalnum() for c in value))
-        if kinds >= 2 and any(c.isdigit() or not c.isalnum() for c in value) and guess_bits(value[:MAX_GUESS_CHARS]) >= min_bits:
+        if m["sign"] is None and not (telling(value) if m["verb"] else mixed(value)):
+            continue
+        if guess_bits(value, min_bits) >= min_bits:
             out.append((a, 3, b, "guess"))
     return out
 
 
+def telling(value: str) -> bool:
+    """Whether a value is other than a plain word."""
+    return not (value.isalpha() and (value[1:].islower() or value.isupper()))
+
+
+def mixed(value: str) -> bool:
+    kinds = (any(c.isdigit() for c in value) + any(c.isupper() for c in value) + any(c.islower() for c in value)
+             + any(not c.isalnum() for c in value))
+    return kinds >= 2 and any(c.isdigit() or not c.isalnum() for c in value)
+
+
 def scan(text: str, min_bits: float = MIN_BITS) -> tuple[list, list]:
     low = text.lower()
     base = base_spans(text, low)

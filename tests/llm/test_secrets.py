@@ -75,3 +75,49 @@ def test_redacted(docs_of):
     got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.where("doc_id != 2").collect())
     assert got == [(1, "a [assign] b", 12), (3, "", 0), (4, "[access]", 8), (4, "plain", 5)]
     assert secrets.redacted_docs(docs_of([])).count() == 0
+
+
+def guesses(text):
+    return [text[a:b] for a, _, b, k in secrets.scan(text)[1] if k == "guess"]
+
+
+def test_prefixed_names():
+    for name in ("DB_PASSWORD=", "user_pwd=", "app-secret: ", "dbPassword: ", "MY_ACCESS_KEY=", "private-key = ", "api-key="):
+        assert guesses(f"x {name}p@ss!w0rd#99xK y") == ["p@ss!w0rd#99xK"], name
+    assert guesses("compassword=p@ss!w0rd#99xK") == [] and guesses("DB_PASSWORD=password") == []
+
+
+def test_cost_alone_decides_after_a_sign():
+    assert guesses("pwd: XqLmWzRtYbKdPq") == ["XqLmWzRtYbKdPq"] and guesses("pwd=836295174038264") == ["836295174038264"]
+    assert guesses("the passcode is XqLmWzRtYbKdPq") == ["XqLmWzRtYbKdPq"]
+    assert guesses("the passcode is unavailable") == [] and guesses("pwd: qwertyuiop") == []
+
+
+def test_whole_value_is_costed():
+    tail = "Xk9#vQ2!mZ7p"
+    for head in ("z" * 300, "xyz" * 90, "y!" * 2000):
+        assert guesses(f"pwd: {head}") == [] and guesses(f"pwd: {head}{tail}") == [head + tail]
+
+
+def test_early_end_and_repeats_are_exact():
+    rng = random.Random(3)
+    parts = ["a", "ab", "abc", "password", "qwerty", "1987-05-12", "X", "#", "zq", "aaaa", "abab", "1", "İ"]
+
+    def every(value):  # repeats from every place on
+        spans = secrets.spans_at(value)
+        cost = [0.0] + [float("inf")] * len(value)
+        for j in range(1, len(value) + 1):
+            own = [(i, bits) for i, bits, kind in spans[j] if kind != "repeat"] + [(j - 1, secrets.brute_bits(value[j - 1]) - (j > 1))]
+            for unit in range(1, 9):
+                times = 2
+                while unit * times <= j and value[j - unit * times:j] == value[j - unit:j] * times:
+                    if unit * times >= 3:
+                        own.append((j - unit * times, sum(map(secrets.brute_bits, value[j - unit:j])) + secrets.math.log2(times)))
+                    times += 1
+            cost[j] = min(cost[i] + bits + (1.0 if i else 0.0) for i, bits in own)
+        return cost[-1]
+
+    for _ in range(400):
+        value = "".join(rng.choice(parts) * rng.choice((1, 1, 2, 30)) for _ in range(rng.randint(1, 4)))
+        assert abs(secrets.guess_bits(value) - every(value)) < 1e-9, value
+        assert (secrets.guess_bits(value, 36.0) >= 36.0) == (every(value) >= 36.0)
