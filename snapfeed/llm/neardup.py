@@ -1,8 +1,9 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
 A document's elements are its distinct shingles of five words (lower case,
-split at ASCII white space; a shorter text is one shingle), weighted by
-their damped count. Each element is a Poisson process with its weight as rate: its
+split at ASCII white space; a shorter text is one shingle), all with one weight,
+however often they are repeated: verification is on sets, and so are the bands.
+Each element is a Poisson process with its weight as rate: its
 arrivals, exponential steps seeded by the shingle, each fall on one of M places;
 a place keeps the element that arrives first. An element stops as soon as its
 next arrival is later than the last of its document's kept ones. Two documents
@@ -39,7 +40,6 @@ from .links import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 PLACES, ROWS = 168, 6  # 28 bands of 6: at 0.8, 0.9998 of pairs share one; at 0.3, 0.02
-DAMPING = 0.25  # of counts: near one, so that the bands follow the sets that are verified
 PIVOTS = 4  # of a bucket in the first round; four times as many in each further one
 
 
@@ -84,8 +84,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batch, "text"):
             w, doc, _, _ = words(part.column("text"))
             s, begin, _ = shingles(w, doc, SHINGLE)
-            values, begin, count = distinct_sorted(s, begin)
-            bands = band_hashes(prob_minhash(values, count ** DAMPING, begin)).astype("<i8")
+            values, begin, _ = distinct_sorted(s, begin)
+            bands = band_hashes(prob_minhash(values, np.ones(len(values)), begin)).astype("<i8")
             has = np.diff(begin) > 0
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("md5"), pa.array([b.tobytes() if h else b"" for b, h in zip(bands, has)], pa.binary())],

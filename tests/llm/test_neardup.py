@@ -120,3 +120,17 @@ def test_components(llm):
         for a, b in edges:
             least[a] = least[b] = min(least[a], least[b])
     assert got == least
+
+
+def test_repeated_lines_share_a_band():
+    """Near copies that differ by lines repeated hundreds of times."""
+    import pyarrow as pa
+
+    texts = []
+    for i in range(12):
+        own = " ".join(f"w{i}x{k}" for k in range(204))
+        texts += [own, own + " " + " ".join([" ".join(f"r{i}x{k}" for k in range(45))] * 300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(24)), pa.array([str(i) for i in range(24)])], ["text", "doc_id", "md5"])
+    bands = [np.frombuffer(b, "<i8") for out in neardup._signatures(iter([batch])) for b in out.column("bands").to_pylist()]
+    assert len(bands) == 24
+    assert all((bands[i] == bands[i + 1]).any() for i in range(0, 24, 2))
