@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import archives, bitsliced, fingerprints, licenses, mixing, neardup, packing, passages, secrets, toxicity
+from . import archives, bitsliced, fingerprints, licenses, mixing, neardup, packing, passages, secrets, spelling, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_archives": archives.op8_archives,
     "op9_bitsliced": bitsliced.op9_bitsliced,
     "op10_secrets": secrets.op10_secrets,
+    "op13_spelling": spelling.op13_spelling,
 }
 
-ORACLE_SQL = {"op6_mixing": mixing.OP6_SQL, "op8_archives": archives.OP8_SQL, "op9_bitsliced": bitsliced.OP9_SQL}
+ORACLE_SQL = {"op6_mixing": mixing.OP6_SQL, "op8_archives": archives.OP8_SQL, "op9_bitsliced": bitsliced.OP9_SQL,
+              "op13_spelling": spelling.OP13_SQL}
