@@ -1,6 +1,7 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import archives, bitsliced, fingerprints, licenses, mixing, neardup, packing, passages, secrets, spelling, toxicity
+from . import (archives, bitsliced, fingerprints, licenses, mixing, neardup, negatives, packing, passages, quality, secrets, spelling,
+               toxicity)
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -13,8 +14,10 @@ QUERIES = {
     "op8_archives": archives.op8_archives,
     "op9_bitsliced": bitsliced.op9_bitsliced,
     "op10_secrets": secrets.op10_secrets,
+    "op11_quality": quality.op11_quality,
+    "op12_negatives": negatives.op12_negatives,
     "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL = {"op6_mixing": mixing.OP6_SQL, "op8_archives": archives.OP8_SQL, "op9_bitsliced": bitsliced.OP9_SQL,
-              "op13_spelling": spelling.OP13_SQL}
+              "op12_negatives": negatives.OP12_SQL, "op13_spelling": spelling.OP13_SQL}
