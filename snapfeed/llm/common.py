@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, shared_dir, ship_code
 
-# Rows of the narrow side that a broadcast may have (ids of 8 bytes: about 100 MB
-# as a hashed relation at most); larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+# Bytes of a stored table that may be broadcast; larger ones are shuffled. Stored
+# ids and hashes hardly shrink, so the hashed relation is a few times this.
+BROADCAST_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 KEPT_POWERS = (2 << 20) + (1 << 18)
 
@@ -56,10 +56,16 @@ def discard(df: DataFrame) -> None:
     hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a count of a stored, narrow table; beyond the
-    bound Spark shuffles it (and splits skewed partitions)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a stored table whose files are within
+    ``BROADCAST_BYTES``; of anything else Spark decides by its own statistics
+    (and splits skewed partitions where it shuffles)."""
+    path = getattr(df, "_stored_path", None)
+    if path is None:
+        return df
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    return F.broadcast(df) if files.getContentSummary(hadoop).getLength() <= BROADCAST_BYTES else df
 
 
 def aside(df: DataFrame) -> list[Column]:

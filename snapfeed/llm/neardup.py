@@ -1,23 +1,28 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
 A document's elements are its distinct shingles of five words (lower case,
-split at ASCII white space; a shorter text is one shingle), all with one weight,
-however often they are repeated: verification is on sets, and so are the bands.
-Each element is a Poisson process with its weight as rate: its
-arrivals, exponential steps seeded by the shingle, each fall on one of M places;
-a place keeps the element that arrives first. An element stops as soon as its
-next arrival is later than the last of its document's kept ones. Two documents
-agree at a place with the probability Jaccard similarity of their weights.
-
-M places are cut into bands; texts that share a band meet in its bucket. In a
-bucket a few texts at a time (pivots) are compared with the others, until every
-text is a pivot or verified against one, so a bucket never makes all pairs.
-Verification is exact: Jaccard similarity of the shingle sets of at least 0.8.
-Where a text of one class comes close to a pivot of another (0.6, which the
-triangle inequality of Jaccard distance asks for), it is compared with that
-class's texts in its buckets as well.
-Classes are the connected components of verified links. Texts that are equal
-byte by byte are one node throughout.
+split at ASCII white space; a shorter text is one shingle). A shingle weighs 1,
+and up to ``HEAVIEST`` as it is repeated, so that what a text keeps saying counts
+more, but not without bound. Each element is a Poisson process with its weight
+as rate: its arrivals, exponential steps seeded by the shingle, each fall on one
+of M places; a place keeps the element that arrives first. An element stops as
+soon as its next arrival is later than the last of its document's kept ones. Two
+documents agree at a place with the probability Jaccard similarity of their
+weights.
+
+M places are cut into bands; texts that share a band meet in its bucket. Buckets
+with the same members count once. A bucket's members are compared in one go, by
+their whole shingle sets, as rows of an incidence matrix times its transpose,
+and yield the links of a spanning forest, never pairs. A bucket of more than
+``BLOCK_ROWS`` members or ``BLOCK_BYTES`` of sets is dealt into blocks. What the
+blocks find makes classes first; then the members outside the bucket's largest
+class are compared with all of the bucket, block by block, so that no link
+between two classes is lost and the texts of one class are not compared again.
+(A large bucket of texts that are all unlike each other is compared in full.)
+
+Verification is exact: Jaccard similarity of the shingle sets of at least 0.8,
+whatever the weights. Classes are the connected components of verified links.
+Texts that are equal byte by byte are one node throughout.
 
 Defined cases: null texts are never alike; equal texts (empty ones too) are
 copies; texts without words are alike only if equal; repeated rows are copies;
@@ -40,6 +45,11 @@ from .links import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 PLACES, ROWS = 168, 6  # 28 bands of 6: at 0.8, 0.9998 of pairs share one; at 0.3, 0.02
+# With weights of 1 to 1.25, sets of Jaccard 0.8 have a probability Jaccard of 0.76 at least if shared shingles are
+# repeated equally (0.997 share a band), and of 0.69 if half of them are repeated in one text only and half in the other (0.96).
+HEAVIEST = 1.25
+BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20  # of a bucket in one comparison
+CELLS = 1 << 22  # of the incidence matrix at a time
 PIVOTS = 4  # of a bucket in the first round; four times as many in each further one
 
 
@@ -70,6 +80,11 @@ def prob_minhash(values: np.ndarray, weights: np.ndarray, begin: np.ndarray, pla
     return who.reshape(n, places)
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """1 for a shingle that occurs once, towards ``HEAVIEST`` for repeated ones."""
+    return HEAVIEST - (HEAVIEST - 1) / count
+
+
 def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     n, places = signature.shape
     bands = signature.reshape(n, places // rows, rows)
@@ -84,12 +99,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batch, "text"):
             w, doc, _, _ = words(part.column("text"))
             s, begin, _ = shingles(w, doc, SHINGLE)
-            values, begin, _ = distinct_sorted(s, begin)
-            bands = band_hashes(prob_minhash(values, np.ones(len(values)), begin)).astype("<i8")
-            has = np.diff(begin) > 0
+            values, begin, count = distinct_sorted(s, begin)
+            bands = band_hashes(prob_minhash(values, weights(count), begin)).astype("<i8")
+            n = np.diff(begin)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("md5"), pa.array([b.tobytes() if h else b"" for b, h in zip(bands, has)], pa.binary())],
-                ["doc_id", "md5", "bands"])
+                [part.column("doc_id"), part.column("md5"), pa.array([b.tobytes() if h else b"" for b, h in zip(bands, n)], pa.binary()),
+                 pa.array(n, pa.int64())], ["doc_id", "md5", "bands", "size"])
 
 
 def _band_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +113,8 @@ def _band_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [len(x) for x in lists]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(b.column("uid").to_numpy(zero_copy_only=False), n), pa.int64()),
-             pa.array(np.concatenate(lists) if lists else [], pa.int64())], ["uid", "bucket"])
+             pa.array(np.repeat(b.column("size").to_numpy(zero_copy_only=False), n), pa.int64()),
+             pa.array(np.concatenate(lists) if lists else [], pa.int64())], ["uid", "size", "bucket"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,22 +236,184 @@ def crossing(tested: DataFrame, members: DataFrame, least: float, most: int, lab
     return (pairs if pairs.limit(1).count() else None), largest <= most
 
 
+def shared(sets: list[np.ndarray], rows: int | None = None) -> np.ndarray:
+    """[rows, sets] numbers of elements that the first ``rows`` sets (all, if
+    not given) and every set have in common; the elements of a set are distinct."""
+    rows = len(sets) if rows is None else rows
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # elements of one set only are in no two
+    keep = times[element] > 1
+    own, element = own[keep], column[element[keep]]
+    order = np.argsort(element, kind="stable")
+    own, element = own[order], element[order]
+    out = np.zeros((rows, len(sets)))
+    wide = max(1, CELLS // len(sets))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(element, [first, first + wide])
+        matrix = np.zeros((len(sets), wide), np.float32)
+        matrix[own[a:b], element[a:b] - first] = 1
+        out += matrix[:rows] @ matrix.T
+    return out
+
+
+def alike(sets: list[np.ndarray], rows: int | None = None) -> np.ndarray:
+    """Jaccard similarities, as ``shared``."""
+    both, n = shared(sets, rows), np.array([len(x) for x in sets], float)
+    return both / np.maximum(1, n[:len(both), None] + n[None, :] - both)
+
+
+def forest(like: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """Links (i, j, similarity) of a spanning forest of those of ``least`` or more."""
+    out, new = [], np.ones(len(like), bool)
+    for start in range(len(like)):
+        if not new[start]:
+            continue
+        new[start], ahead = False, [start]
+        while ahead:
+            i = ahead.pop()
+            for j in np.flatnonzero((like[i] >= least) & new).tolist():
+                new[j] = False
+                out.append((i, j, float(like[i, j])))
+                ahead.append(j)
+    return out
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
+    """The rows of one combination of keys after the other (sorted input)."""
+    held: dict[str, list] = {}
+    key = None
+    for b in batches:
+        columns = {c: b.column(c).to_pylist() for c in b.schema.names}
+        own = list(zip(*(columns[c] for c in keys)))
+        at = 0
+        while at < len(own):
+            end = at
+            while end < len(own) and own[end] == own[at]:
+                end += 1
+            if own[at] != key:
+                if held:
+                    yield held
+                held, key = {c: [] for c in columns}, own[at]
+            for c, v in columns.items():
+                held[c] += v[at:end]
+            at = end
+    if held:
+        yield held
+
+
+LINKS = "a long, b long, like double"
+
+
+def _links(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    a, b, like = zip(*((max(x, y), min(x, y), v) for x, y, v in found))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], ["a", "b", "like"])
+
+
+def _block_links(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _stretches(batches, ["bucket", "part"]):
+            uid = block["uid"]
+            if len(uid) > 1:
+                found = forest(alike([np.frombuffer(x, U64) for x in block["set"]]), least)
+                if found:
+                    yield _links([(uid[i], uid[j], v) for i, j, v in found])
+
+    return run
+
+
+def _class_links(least: float):
+    """Links that join two classes: rows with ``side`` 0 (outside the largest
+    class) against all of the other block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _stretches(batches, ["bucket", "i", "j"]):
+            side, uid, label = np.array(block["side"]), block["uid"], np.array(block["label"])
+            few = int((side == 0).sum())
+            if not few or few == len(uid):
+                continue
+            like = alike([np.frombuffer(x, U64) for x in block["set"]], few)[:, few:]
+            like[label[:few, None] == label[None, few:]] = 0
+            # of the links between two classes one is enough
+            at = np.argwhere(like >= least)
+            seen, found = set(), []
+            for x, y in at.tolist():
+                pair = (min(label[x], label[few + y]), max(label[x], label[few + y]))
+                if pair not in seen:
+                    seen.add(pair)
+                    found.append((uid[x], uid[few + y], float(like[x, y])))
+            if found:
+                yield _links(found)
+
+    return run
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
+    """Links (a, b, like) that connect, in every bucket, all that is connected
+    by pairs of ``least`` or more. ``members``: bucket, uid, size (elements of
+    the set); ``sets``: uid, set. None if there are no links."""
+    spark = members.sparkSession
+    per = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    per = stored(per.select(F.col("bucket").alias("_b"), parts.alias("parts")), "bucket-parts")
+    dealt = (members.select("bucket", "uid").join(per, F.col("bucket") == F.col("_b"))
+             .select("bucket", "uid", "parts", F.pmod(F.xxhash64("uid"), "parts").alias("part")))
+    rows = dealt.join(sets, "uid").select("bucket", "part", "uid", "set")
+    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "uid")
+    links = stored(rows.mapInArrow(_block_links(least), LINKS).distinct(), "links")
+    wide = per.where("parts > 1")
+    if not wide.limit(1).count():
+        return links if links.limit(1).count() else None
+    label = components(links).withColumnRenamed("node", "_u") if links.limit(1).count() else None
+    inside = dealt.join(wide.select("_b"), F.col("bucket") == F.col("_b"), "left_semi")
+    if label is None:
+        inside = inside.withColumn("label", F.col("uid"))
+    else:
+        inside = inside.join(label, F.col("uid") == F.col("_u"), "left").withColumn("label", F.coalesce("label", "uid")).drop("_u")
+    inside = stored(inside, "wide-buckets")
+    largest = (inside.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("bucket").alias("_b"))
+               .agg(F.max(F.struct("n", "label"))["label"].alias("_largest"), F.sum("n").alias("_n")))
+    sized = inside.join(largest, F.col("bucket") == F.col("_b"))
+    few = (sized.where("label != _largest").select("bucket", "uid", "label", "parts")
+           .join(sized.where("label != _largest").groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_few")),
+                 F.col("bucket") == F.col("_b")))
+    blocks = F.ceil(F.col("_few") / BLOCK_ROWS).cast("int")
+    asked = few.select("bucket", "uid", "label", F.lit(0).alias("side"), F.pmod(F.xxhash64("uid", F.lit(1)), blocks).cast("int").alias("i"),
+                       F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    others = (inside.join(few.select(F.col("bucket").alias("_b"), blocks.alias("_blocks")).distinct(), F.col("bucket") == F.col("_b"))
+              .select("bucket", "uid", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("i"),
+                      F.col("part").cast("int").alias("j")))
+    rows = asked.unionByName(others).join(sets, "uid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "uid")
+    more = stored(rows.select("bucket", "i", "j", "side", "uid", "label", "set").mapInArrow(_class_links(least), LINKS).distinct(), "class-links")
+    links = links.unionByName(more)
+    return links if links.limit(1).count() else None
+
+
+def bucket_members(buckets: DataFrame) -> DataFrame | None:
+    """Rows of ``buckets`` (bucket, uid, ...) in buckets of two members or more;
+    of buckets with the same members (told by their number and two sums of
+    hashes) one. None if there are none."""
+    per = buckets.groupBy("bucket").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"),
+                                        F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y")).where("n > 1")
+    first = stored(per.groupBy("pivot", "n", "x", "y").agg(F.min("bucket").alias("_b")).select("_b"), "shared-buckets")
+    members = stored(buckets.join(first, F.col("bucket") == F.col("_b"), "left_semi"), "members")
+    return members if members.limit(1).count() else None
+
+
 def copies_and_classes(docs: DataFrame) -> DataFrame:
     """(md5, class_id, kept_md5) of every text that has a copy or near copy."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key().alias("md5"), F.lower("text").alias("text")).where("md5 IS NOT NULL")
-    rows = rows.mapInArrow(_signatures, "doc_id long, md5 string, bands binary")
+    rows = rows.mapInArrow(_signatures, "doc_id long, md5 string, bands binary, size long")
     rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "signatures")
     texts = stored(rows.groupBy("md5").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "texts")
     nodes = rows.join(texts.select("uid"), "uid")
-    buckets = nodes.select("uid", "bands").mapInArrow(_band_list, "uid long, bucket long")
-    buckets = stored(buckets, "buckets")
-
-    def sets_of(uids: DataFrame) -> DataFrame:
-        keys = stored(rows.select("uid", "doc_id", "md5").join(uids, "uid"), "set-keys")
+    buckets = stored(nodes.select("uid", "size", "bands").mapInArrow(_band_list, "uid long, size long, bucket long"), "buckets")
+    near = None
+    members = bucket_members(buckets)
+    if members is not None:
+        keys = stored(rows.select("uid", "doc_id", "md5").join(members.select("uid").distinct(), "uid"), "set-keys")
         found = restrict(docs.withColumn("doc_id", F.col("doc_id").cast("long")), keys).mapInArrow(_sets, "uid long, set binary")
-        return stored(found, "sets").dropDuplicates(["uid"]) if has_repeats(rows) else stored(found, "sets")
-
-    near = verified(buckets, sets_of)
+        sets = stored(found, "sets")
+        near = bucket_links(members, sets.dropDuplicates(["uid"]) if has_repeats(rows) else sets)
     grouped = texts.select("md5", "uid", "least", "n")
     if near is None:
         return grouped.where("n > 1").select("md5", F.col("least").alias("class_id"), F.col("md5").alias("kept_md5"))

@@ -134,3 +134,76 @@ def test_repeated_lines_share_a_band():
     bands = [np.frombuffer(b, "<i8") for out in neardup._signatures(iter([batch])) for b in out.column("bands").to_pylist()]
     assert len(bands) == 24
     assert all((bands[i] == bands[i + 1]).any() for i in range(0, 24, 2))
+
+
+def pair_likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_shared_counts_and_forest():
+    rng = random.Random(2)
+    sets = [set(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(25)]
+    arrays = [np.array(sorted(x), U64) for x in sets]
+    assert (neardup.shared(arrays) == [[len(a & b) for b in sets] for a in sets]).all()
+    assert (neardup.shared(arrays, 7) == [[len(a & b) for b in sets] for a in sets[:7]]).all()
+    like = neardup.alike(arrays)
+    assert np.allclose(like, [[pair_likeness(a, b) for b in sets] for a in sets])
+    found = neardup.forest(like, 0.4)
+    assert all(like[i, j] >= 0.4 for i, j, _ in found)
+    up = list(range(25))
+    for i, j, _ in found:
+        up = [up[i] if x == up[j] else x for x in up]
+    want = list(range(25))
+    for i in range(25):
+        for j in range(25):
+            if like[i, j] >= 0.4:
+                want = [want[i] if x == want[j] else x for x in want]
+    assert len(found) == 25 - len(set(want)) and len(set(up)) == len(set(want))
+
+
+def test_many_cells_at_a_time_are_the_same(monkeypatch):
+    rng = random.Random(3)
+    arrays = [np.array(sorted(rng.sample(range(500), 200)), U64) for _ in range(10)]
+    whole = neardup.shared(arrays)
+    monkeypatch.setattr(neardup, "CELLS", 70)
+    assert (neardup.shared(arrays) == whole).all()
+
+
+def test_wide_buckets_lose_no_link(llm, monkeypatch):
+    """Buckets of many blocks, with a large class, chains across blocks and texts unlike all others."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
+    rng = random.Random(6)
+    base = list(range(100))
+    sets = {u: set(base) - set(rng.sample(base, rng.randrange(0, 8))) for u in range(40)}
+    step = set(range(1000, 1100))
+    for k in range(30):  # a chain: each is like the next one only
+        sets[100 + k] = set(step)
+        step = step - {min(step), sorted(step)[1], sorted(step)[2], sorted(step)[3]} | {2000 + 4 * k + i for i in range(4)}
+    sets |= {200 + k: {3000 + 50 * k + i for i in range(50)} for k in range(15)}
+    buckets = [(1, u) for u in sets] + [(2, u) for u in sets if u % 2] + [(3, 200), (3, 201)]
+    members = llm.createDataFrame([(b, u, len(sets[u])) for b, u in buckets], "bucket long, uid long, size long")
+    table = llm.createDataFrame([(u, bytearray(np.array(sorted(x), U64).tobytes())) for u, x in sets.items()], "uid long, set binary")
+    near = neardup.bucket_links(members, table, 0.8)
+    rows = near.collect()
+    assert rows and all(abs(r["like"] - pair_likeness(sets[r["a"]], sets[r["b"]])) < 1e-9 and r["like"] >= 0.8 for r in rows)
+    got = {r["node"]: r["label"] for r in links.components(near).collect()}
+    want = {u: u for u in sets}
+    for _ in range(60):
+        for a in sets:
+            for b in sets:
+                if pair_likeness(sets[a], sets[b]) >= 0.8:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert {u: got.get(u, u) for u in sets} == want
+    lonely = members.where("uid >= 200")
+    assert neardup.bucket_links(lonely, table, 0.8) is None
+
+
+def test_buckets_with_equal_members_count_once(llm):
+    members = neardup.bucket_members(llm.createDataFrame([(1, 5), (1, 6), (2, 6), (2, 5), (3, 7), (4, 5), (4, 6), (4, 7)], "bucket long, uid long"))
+    assert sorted(r["n"] for r in members.groupBy("bucket").count().withColumnRenamed("count", "n").collect()) == [2, 3]
+    assert neardup.bucket_members(llm.createDataFrame([(1, 5), (2, 6)], "bucket long, uid long")) is None
+
+
+def test_weights_are_bounded():
+    w = neardup.weights(np.array([1, 2, 5, 1000000]))
+    assert w[0] == 1 and (np.diff(w) > 0).all() and w[-1] < neardup.HEAVIEST
