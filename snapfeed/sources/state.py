@@ -2,7 +2,7 @@
 
 Two layouts: whole snapshots (``publish`` / ``read_current``) and per-source
 versions (``publish_sources`` / ``read_sources``), where a version rewrites
-only the sources it touched — the one the change feed uses.
+only the sources it touched (``sources.commits``, which the change feed uses).
 
 ``publish`` writes ``<base>/v=<n>`` (parquet, partitioned by source_id so a
 scan for some sources prunes the rest) and Spark's committer marks it with
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import commits
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -68,96 +70,40 @@ def publish(df: DataFrame, base: str, version: int | None = None, partition_by:
 
 
 # ---------------------------------------------------------------------------
-# Per-source versions: a version rewrites only the sources it touched.
-#
-#   <base>/data/v=<n>/source_id=<s>/   rows of source s as of version n
-#   <base>/manifest/v=<n>/             (source_id, v) for every source; its
-#                                       _SUCCESS marker commits version n
-#
-# The manifest is metadata (one row per source). Reading the current state
-# reads exactly the partitions it lists, so a run over a few sources neither
-# reads nor rewrites the rest of a very large state.
-
-from pyspark.sql import functions as F  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
+# Per-source versions: the commit log of ``sources.commits`` under explicit
+# version numbers, for callers that are the only writer.
 
 
 def manifest_versions(spark: SparkSession, base: str) -> list[int]:
-    return committed_versions(spark, f"{base.rstrip('/')}/manifest")
+    return commits.versions(spark, base)
 
 
 def read_manifest(spark: SparkSession, base: str, version: int | None = None) -> DataFrame | None:
-    versions = manifest_versions(spark, base)
-    if version is not None:
-        versions = [v for v in versions if v <= version]
-    if not versions:
-        return None
-    return spark.read.parquet(f"{base.rstrip('/')}/manifest/v={versions[-1]}")
+    return commits.entries(spark, base, version) if commits.versions(spark, base) else None
 
 
 def read_sources(spark: SparkSession, base: str, sources: DataFrame | None = None, version: int | None = None,
                  schema=None) -> DataFrame | None:
     """Current rows of all sources, or of ``sources`` (DataFrame with source_id),
-    as of the newest committed version <= ``version``."""
-    root = f"{base.rstrip('/')}/data"
-    fs, path, _ = _fs(spark, root)
-    m = read_manifest(spark, base, version)
-    if m is None or not fs.exists(path):
-        return spark.createDataFrame([], schema) if schema is not None else None
-    if sources is not None:
-        m = m.join(sources.select("source_id").distinct(), "source_id", "left_semi")
-    # (source_id, v) are partition columns: the join with the manifest picks one
-    # version per source, and rows of versions never committed are left out
-    if schema is not None:
-        # declared types win over partition inference (source_id stays a string)
-        fields = [f for f in schema.fields if f.name != "v"]
-        rows = spark.read.schema(T.StructType(fields + [T.StructField("v", T.IntegerType())])).parquet(root)
-    else:
-        key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-        before = spark.conf.get(key, "true")
-        spark.conf.set(key, "false")  # partition values are read as strings
-        try:
-            rows = spark.read.parquet(root).withColumn("v", F.col("v").cast("int"))
-        finally:
-            spark.conf.set(key, before)
-    return rows.join(m.select("source_id", "v"), ["source_id", "v"], "left_semi").drop("v")
+    as of ``version`` (default: the newest)."""
+    return commits.read_sources(spark, base, sources, version, schema)
 
 
 def last_batch(spark: SparkSession, base: str) -> int | None:
-    """The stream's last applied micro-batch, which every later version carries on."""
-    m = read_manifest(spark, base)
-    return None if m is None or "last_batch" not in m.columns else m.agg(F.max("last_batch")).first()[0]
+    return commits.last_batch(spark, base)
 
 
 def publish_sources(rows: DataFrame, touched: DataFrame, base: str, version: int, batch_id: int | None = None) -> int:
     """Commit ``version``: ``rows`` are the complete new rows of the ``touched``
-    sources (source_id column); every other source keeps its earlier version.
-    ``batch_id`` is the micro-batch it applies (none for a compaction, which
-    takes a version number but no batch). Idempotent: an already committed
-    version is left as it is."""
-    spark = rows.sparkSession
-    base = base.rstrip("/")
-    if version in manifest_versions(spark, base):
+    sources, computed from the version before; every other source keeps its
+    rows. Idempotent: an already committed version is left as it is. With
+    several writers use ``commits.update``, which reads again after a conflict."""
+    if version in manifest_versions(rows.sparkSession, base):
         return version
-    rows.write.mode("overwrite").partitionBy("source_id").parquet(f"{base}/data/v={version}")
-    t = touched.select("source_id").distinct()
-    prev = read_manifest(spark, base, version - 1)
-    new = t.select("source_id", F.lit(version).alias("v"))
-    if prev is not None:
-        new = prev.select("source_id", "v").join(t, "source_id", "left_anti").unionByName(new)
-    mark = batch_id if batch_id is not None else last_batch(spark, base)
-    new.withColumn("last_batch", F.lit(mark).cast("long")).write.mode("overwrite").parquet(f"{base}/manifest/v={version}")
-    return version
+    return commits.publish(rows, touched, base, min(version - 1, max(manifest_versions(rows.sparkSession, base), default=0)), batch_id=batch_id)
 
 
 def compact(spark: SparkSession, base: str, version: int, schema=None) -> int:
-    """Rewrite every source's current rows as ``version`` so the new manifest
-    points only at it; older version folders are then unreferenced and can be
-    removed by retention. Idempotent like ``publish_sources``."""
-    if version in manifest_versions(spark, base):
-        return version
-    current = read_sources(spark, base, schema=schema)
-    m = read_manifest(spark, base)
-    if current is None or m is None:
-        return version
-    return publish_sources(current, m.select("source_id"), base, version)
+    """Rewrite every source's current rows as ``version``; older files are then
+    unreferenced (``commits.vacuum``). Idempotent like ``publish_sources``."""
+    return version if version in manifest_versions(spark, base) else commits.compact(spark, base)
