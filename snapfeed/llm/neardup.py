@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, aside, back, chunks, distinct_sorted, mix, prepare, shingles, small, stored, table, words
+from .common import U64, aside, back, chunks, distinct_sorted, mix, prepare, shingles, sifted, small, stored, table, words
 from .links import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -143,9 +143,9 @@ def text_key():
 def restrict(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(uid, text) of the texts named by ``keys`` (uid, md5), each once: one row
     of docs per (doc_id, md5) stands for it."""
+    rows = sifted(docs.select("doc_id", "text", text_key().alias("md5")), keys, ["doc_id", "md5"])
     keys = keys.withColumnsRenamed({"doc_id": "_d", "md5": "_m"})
-    return (docs.select("doc_id", F.lower("text").alias("text"), text_key().alias("md5"))
-            .join(small(keys), F.expr("doc_id <=> _d AND md5 = _m")).select("uid", "text"))
+    return rows.join(keys, F.expr("doc_id <=> _d AND md5 = _m")).select("uid", F.lower("text").alias("text"))
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
