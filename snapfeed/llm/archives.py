@@ -12,12 +12,15 @@ record is the line separator, so any store Spark can write to will do (gzip
 codec: whole-file members). Readers scan lines (or blank-line separated parts)
 in file order inside a task and put records together again by their declared
 length, so payloads may hold any line or blank line; memory is one record.
-A gzip file is not split; a plain one must not be either (see ``_lines``).
+A gzip file is not split; Spark would split a plain one of more than
+``spark.sql.files.maxPartitionBytes``, so such a file is refused with an error.
 
 Conversion: record ids are UUIDs made from MD5 of URL, date and payload
 digest; dates become ISO 8601; the record type is ``response``, or ``revisit``
 where a payload of at least ``min_bytes`` equals that of the record with the
-largest page id (which alone is kept whole). Digests are SHA-1 of the payload.
+largest page id (which alone is kept whole), or ``resource`` for a block that is
+no HTTP response. Digests are SHA-1 of the payload. Blocks are carried as bytes
+and written as they were: status, headers and any encoding stay.
 
 Defined cases: null html is an empty payload; a null URL becomes ``-``; white
 space in a URL is percent-encoded; a null page id stays null (and is smaller
@@ -81,9 +84,16 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, codec: str | None =
     out.write.text(path, lineSep=ARC_END, **({"compression": codec} if codec else {}))
 
 
+ARC_BLOCKS = ARC_SCHEMA.replace("payload string", "head_bytes int, block binary")
+
+
 def _lines(spark: SparkSession, path: str, end: str) -> DataFrame:
-    """A file's parts in order. Files are read whole by one task each, which gzip
-    files always are; plain ones need files of at most maxPartitionBytes."""
+    """A file's parts in order, each file read by one task."""
+    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    split = (spark.read.format("binaryFile").load(path).select("path", "length")
+             .where((F.col("length") > most) & ~F.lower("path").endswith(".gz")).limit(1).collect())
+    if split:
+        raise ValueError(f"{split[0]['path']} is not compressed and larger than spark.sql.files.maxPartitionBytes, so it would be split")
     return spark.read.text(path, lineSep=end).select("value", F.xxhash64(F.input_file_name()).alias("file"))
 
 
@@ -153,7 +163,7 @@ def arc_records(lines: Iterator[bytes]) -> Iterator[dict]:
             continue
         text = [f.decode("utf-8", "replace") for f in head]
         http, payload, status = _head(block)
-        yield {"version": version, "url": text[0], "ip": text[1], "date": text[2], "mime": text[3],
+        yield {"block": block, "head_bytes": len(block) - len(payload), "version": version, "url": text[0], "ip": text[1], "date": text[2], "mime": text[3],
                "status": text[4] if version == 2 else status, "page_id": _number(http.get("x-page-id")),
                "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "payload": payload}
 
@@ -173,7 +183,7 @@ def warc_records(parts: Iterator[bytes]) -> Iterator[dict]:
         http, payload, _ = _head(block)
         revisit = head.get("warc-type") == "revisit"
         declared = head.get("warc-payload-digest", "").removeprefix("sha1:")
-        size = _number(http.get("content-length")) if revisit else len(payload)
+        size = _number(head.get("x-payload-bytes") or http.get("content-length")) if revisit else len(payload)
         yield {"record_id": head.get("warc-record-id", "").strip("<>"), "record_type": head.get("warc-type"),
                "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "page_id": _number(http.get("x-page-id")),
                "payload_bytes": size, "payload_digest": declared if revisit else hashlib.sha1(payload).hexdigest(),
@@ -183,11 +193,13 @@ def warc_records(parts: Iterator[bytes]) -> Iterator[dict]:
 
 def _reader(records: Callable, schema: str, with_payload: bool) -> Callable:
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+    carried = names[-1]
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
         cols = [[r[n] for r in rows] for n in names]
-        cols[-1] = [p.decode("utf-8", "replace") if with_payload else None for p in cols[-1]]
+        if carried == "payload":
+            cols[-1] = [p.decode("utf-8", "replace") if with_payload else None for p in cols[-1]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +208,7 @@ def _reader(records: Callable, schema: str, with_payload: bool) -> Callable:
         for _, own in groupby(parts, key=lambda p: p[0]):  # one file after the other
             for r in records(v for _, v in own):
                 rows.append(r)
-                size += len(r["payload"]) if with_payload else 0
+                size += len(r[carried]) if with_payload else 0
                 if len(rows) >= 1000 or size > 4 << 20:
                     yield batch(rows)
                     rows, size = [], 0
@@ -210,6 +222,11 @@ def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataF
     return _lines(spark, path, ARC_END).mapInArrow(_reader(arc_records, ARC_SCHEMA, with_payload), ARC_SCHEMA)
 
 
+def read_arc_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_arc``, with each record's whole block as bytes and where its payload begins."""
+    return _lines(spark, path, ARC_END).mapInArrow(_reader(arc_records, ARC_BLOCKS, True), ARC_BLOCKS)
+
+
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     return _lines(spark, path, WARC_END).mapInArrow(_reader(warc_records, WARC_SCHEMA, with_payload), WARC_SCHEMA)
 
@@ -242,32 +259,35 @@ def iso_date(date: Column) -> Column:
 
 
 def arc_to_warc(records: DataFrame, again: DataFrame) -> DataFrame:
-    """WARC records (column ``value``) of ARC records; ``again`` from ``revisits``."""
+    """WARC records (column ``value``) of ARC records with their blocks; ``again``
+    from ``revisits``. Bytes that are no UTF-8 pass through as they are."""
     again = again.withColumnsRenamed({"page_id": "_p", "payload_digest": "_d"})
     r = records.join(small(again), F.expr("page_id <=> _p AND payload_digest = _d"), "left")
     revisit = F.col("_d").isNotNull()
     iso = F.coalesce(iso_date(F.col("date")), F.lit("1970-01-01T00:00:00Z"))
-    http = http_block(F.col("page_id"), F.col("payload"))
-    block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
+    block = F.when(revisit, F.substring("block", F.lit(1), F.col("head_bytes"))).otherwise(F.col("block"))
+    web = F.col("head_bytes") > 0
+    kind = F.when(revisit, F.lit("revisit")).when(web, F.lit("response")).otherwise(F.lit("resource"))
     line = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
     refers = F.concat(line("WARC-Refers-To", F.concat(F.lit("<"), F.col("refers_to_id"), F.lit(">"))),
                       line("WARC-Refers-To-Target-URI", F.col("refers_url")), line("WARC-Refers-To-Date", F.col("refers_iso")),
                       F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                      line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))
+                      line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")), line("X-Payload-Bytes", F.col("payload_bytes").cast("string")))
     return r.select(F.concat(
-        F.lit("WARC/1.1"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
+        F.lit("WARC/1.1"), line("WARC-Type", kind),
         line("WARC-Record-ID", F.concat(F.lit("<"), record_id(F.col("url"), iso, F.col("payload_digest"), F.col("page_id")), F.lit(">"))),
         line("WARC-Date", iso), line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("ip")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, refers).otherwise(F.lit("")), F.lit("\r\nContent-Type: application/http; msgtype=response"),
-        line("Content-Length", F.octet_length(block).cast("string")), F.lit(WARC_END), block).alias("value"))
+        F.when(revisit, refers).otherwise(F.lit("")),
+        line("Content-Type", F.when(revisit | web, F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))),
+        line("Content-Length", F.octet_length(block).cast("string")), F.lit(WARC_END), block.cast("string")).alias("value"))
 
 
 def convert(spark: SparkSession, arc: str, warc: str, min_bytes: int = MIN_BYTES, codec: str | None = "gzip") -> None:
     """The ARC files under ``arc`` written as WARC files under ``warc``."""
     heads = stored(read_arc(spark, arc, with_payload=False).select("url", "date", "page_id", "payload_bytes", "payload_digest"), "arc-heads")
     again = stored(revisits(heads, min_bytes), "arc-revisits")
-    (arc_to_warc(read_arc(spark, arc), again)
+    (arc_to_warc(read_arc_blocks(spark, arc), again)
      .write.text(warc, lineSep=WARC_END, **({"compression": codec} if codec else {})))
 
 
@@ -280,7 +300,7 @@ def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_arc(pages.where(odd), f"{arc}/v2", 2)
     convert(spark, f"{arc}/*", warc)
     return read_warc(spark, warc, with_payload=False).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = """

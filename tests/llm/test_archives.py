@@ -82,3 +82,49 @@ def test_empty_table(llm, scratch):
     archives.write_arc(pages(llm, []), f"{scratch}/arc", 1)
     archives.convert(llm, f"{scratch}/arc", f"{scratch}/warc")
     assert archives.read_warc(llm, f"{scratch}/warc").count() == 0
+
+
+def test_conversion_keeps_every_byte(llm, scratch):
+    """Status, headers and payloads of any encoding come out as they went in."""
+    blocks = [b"HTTP/1.0 404 Not Found\r\nServer: x\r\n\r\ncaf\xe9", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\n\r\n" + b"\xe9\xff\x00" * 500,
+              b"20200101 a.example A 1.2.3.4\n", b"HTTP/1.1 301 Moved\r\nLocation: /x\r\n\r\n", b"HTTP/1.0 200 OK\r\n\r\n" + "\u6f22".encode("utf-16")]
+    about = b"1 0 old\nURL IP-address Archive-date Content-type Archive-length\n"
+    data = b"filedesc://o.arc 0.0.0.0 19990101000000 text/plain %d\n%s\n" % (len(about), about)
+    for i, b in enumerate(blocks):
+        data += b"http://a.example/%d 1.2.3.4 1999010203040%d %s %d\n%s\n" % (i, i, b"text/dns" if i == 2 else b"text/html", len(b), b)
+    Path(scratch, "arc").mkdir()
+    Path(scratch, "arc", "old.arc.gz").write_bytes(gzip.compress(data))
+    archives.convert(llm, f"{scratch}/arc", f"{scratch}/warc")
+    found = {}
+    for p in Path(scratch, "warc").glob("part-*.gz"):
+        left = gzip.decompress(p.read_bytes())
+        while left:
+            head, _, left = left.partition(b"\r\n\r\n")
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            n = int(fields[b"Content-Length"])
+            found[fields[b"WARC-Target-URI"][-1:]] = (left[:n], fields)
+            left = left[n + 4:]
+    assert {k: v[0] for k, v in found.items()} == {b"%d" % i: b for i, b in enumerate(blocks)}
+    for i, b in enumerate(blocks):
+        payload = b.partition(b"\r\n\r\n")[2] if b.startswith(b"HTTP") else b
+        fields = found[b"%d" % i][1]
+        assert fields[b"WARC-Payload-Digest"] == b"sha1:" + hashlib.sha1(payload).hexdigest().encode()
+        assert fields[b"WARC-Type"] == (b"resource" if i == 2 else b"response") and fields[b"WARC-Date"] == b"1999-01-02T03:04:0%dZ" % i
+    assert found[b"2"][1][b"Content-Type"] == b"text/dns"
+    back = {r["url"][-1]: r for r in archives.read_warc(llm, f"{scratch}/warc").collect()}
+    assert all(r["declared_digest"] == r["payload_digest"] for r in back.values())
+
+
+def test_a_plain_file_that_would_be_split_is_refused(llm, scratch):
+    own = [(i, "u", "x" * 5000) for i in range(60)]
+    archives.write_arc(pages(llm, own).coalesce(1), f"{scratch}/arc", 1, codec=None)
+    assert archives.read_arc(llm, f"{scratch}/arc").count() == 60
+    before = llm.conf.get("spark.sql.files.maxPartitionBytes")
+    llm.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        with pytest.raises(ValueError, match="would be split"):
+            archives.read_arc(llm, f"{scratch}/arc")
+        archives.write_arc(pages(llm, own).coalesce(1), f"{scratch}/gz", 1)
+        assert archives.read_arc(llm, f"{scratch}/gz").count() == 60
+    finally:
+        llm.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -18,6 +18,7 @@ def test_query_equals_its_sql(llm, name):
     want = con.execute(registry.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
     got = registry.QUERIES[name](llm, SF)
+    assert sorted(got.columns) == sorted(columns)
     assert sorted((tuple(map(plain, r)) for r in got.select(*columns).collect()), key=repr) == sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)
 
 
