@@ -16,8 +16,9 @@ Queries come in blocks of ``QUERY_BLOCK`` rows; every query block meets every
 index block in a task of its own pair, so work is spread and memory is one pair.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components
-take no part, neither as query nor as candidate; quantised components are held
-to +-2**28 so that a score always fits a long; a vector shorter than another is
+take no part, neither as query nor as candidate; sums of slices are as wide as
+they need to be, and a quantised component or a returned score that does not fit
+a long stops the job with an error (none is clamped); a vector shorter than another is
 taken as zero in the missing components; a query's own row is no candidate of
 it, but other rows with its id are; rows without an id are candidates that lose
 every tie; fewer than k candidates give fewer rows; an empty table gives none;
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stored, table
 
-SCALE, HELD, TOP = 256, 1 << 28, 5
+SCALE, TOP = 256, 5
 BLOCK, QUERY_BLOCK = 1 << 15, 256
 QUERY_EVERY = 50
 
@@ -44,7 +45,9 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of every component; null for vectors that take no part."""
     ok = vector.isNotNull() & (F.size(vector) > 0) & F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    q = F.transform(vector, lambda x: F.greatest(F.lit(-float(HELD)), F.least(F.lit(float(HELD)), F.floor(x.cast("double") * scale).cast("double"))).cast("int"))
+    scaled = F.transform(vector, lambda x: x.cast("double") * scale)
+    fits = F.forall(scaled, lambda x: (x >= -(2.0 ** 63)) & (x < 2.0 ** 63))
+    q = F.when(fits, F.transform(scaled, lambda x: F.floor(x))).otherwise(F.raise_error(F.lit("a quantised component is beyond a long")))
     return F.when(ok, q)
 
 
@@ -59,7 +62,7 @@ def slices(values: np.ndarray) -> np.ndarray:
     """[dims, bits, bytes] of two's complement slices of values [rows, dims]."""
     n, dims = values.shape
     top = max(int(values.max(initial=0)), -int(values.min(initial=0)) - 1, 0)
-    bits = top.bit_length() + 1
+    bits = top.bit_length() + 1  # 64 at most
     padded = np.zeros((-(-n // 64) * 64, dims), values.dtype)
     padded[:n] = values
     out = np.empty((dims, bits, len(padded) // 8), np.uint8)
@@ -73,7 +76,7 @@ def scores(index: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
     the inner product of every row with ``query``."""
     dims, bits, words = index.shape
     # |q| split into powers of two; a negative factor negates: -x = ~x + 1
-    width = bits + int(np.abs(query).sum()).bit_length() + 1
+    width = bits + sum(abs(int(q)) for q in query).bit_length() + 1
     columns: list[list[np.ndarray]] = [[] for _ in range(width)]
     constant = 0
     for d in np.flatnonzero(query[:dims]):
@@ -140,11 +143,14 @@ def rows_of(bitmap: np.ndarray) -> np.ndarray:
 
 
 def score_at(score: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.int64)
-    for i, s in enumerate(score):
-        bit = (s[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64)
-        out += (-bit if i == len(score) - 1 else bit) << i
-    return out
+    bits = [(s[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(bool) for s in score]
+    wide = bits[63:] or bits[-1:]  # all equal to the sign in a score that fits
+    if any((b != wide[-1]).any() for b in wide):
+        raise OverflowError("a score is beyond a long")
+    out = np.zeros(len(rows), np.uint64)
+    for i in range(64):
+        out |= bits[min(i, len(bits) - 1)].astype(np.uint64) << np.uint64(i)
+    return out.view(np.int64)
 
 
 INDEX_SCHEMA = "block long, n int, dims int, bits int, vec_ids binary, uids binary, slices binary"
@@ -186,7 +192,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, rows in _grouped(batches, "block", QUERY_BLOCK):
-        values = _matrix([r[3] for r in rows]).astype(np.int32)
+        values = _matrix([r[3] for r in rows])
         yield pa.RecordBatch.from_pylist([{"query_block": block, "dims": values.shape[1],
                                            "query_ids": np.array([r[1] for r in rows], np.int64).tobytes(),
                                            "query_uids": np.array([r[2] for r in rows], np.int64).tobytes(),
@@ -205,7 +211,7 @@ def _search(k: int):
                 words = -(-r["n"] // 64)
                 index = np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], r["bits"], words)
                 ids, uids = np.frombuffer(r["vec_ids"], np.int64), np.frombuffer(r["uids"], np.int64)
-                vectors = np.frombuffer(r["vectors"], np.int32).reshape(-1, r["query_dims"])
+                vectors = np.frombuffer(r["vectors"], np.int64).reshape(-1, r["query_dims"])
                 real = np.zeros(words * 64, np.uint8)
                 real[:r["n"]] = 1
                 real = np.packbits(real, bitorder="little").view(np.uint64)

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from snapfeed.llm import bitsliced as b
@@ -11,7 +12,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 def test_slices_and_scores():
     rng = np.random.default_rng(1)
-    for dims, high in ((1, 1), (3, 5), (17, 256), (64, 300), (8, b.HELD)):
+    for dims, high in ((1, 1), (3, 5), (17, 256), (64, 300), (8, 1 << 28), (3, 1 << 30), (2, (1 << 31) - 1)):
         x = rng.integers(-high, high + 1, (150, dims))
         x[0] = -high
         index = b.slices(x).view(np.uint64).reshape(dims, -1, 3)
@@ -51,5 +52,16 @@ def test_repeated_rows_and_few(llm):
     got = sorted(map(tuple, b.top_k(llm.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()))
     assert got == sorted([(0, 1, 0, 65536), (0, 2, 3, 32768)] * 2)
     assert b.top_k(llm.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
-    huge = llm.createDataFrame([(0, [3e38, 1.0], 1), (1, [3e38, 0.0], 1), (2, [-3e38, 0.0], 1)], SCHEMA)
-    assert [r["vec_id"] for r in b.top_k(huge, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [1, 2]
+
+
+def test_great_components_are_exact_and_a_score_beyond_a_long_is_an_error(llm):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(1e6, 2e6) * rng.choice([1, -1]) for _ in range(16)], 1) for i in range(120)]
+    wide = [(250, [0.25, 0.0], 1), (251, [2.0 ** 48, 1.0], 1), (252, [-(2.0 ** 48), 1.0], 1)]
+    for own in (rows, wide):
+        got = sorted(map(tuple, b.top_k(llm.createDataFrame(own, SCHEMA), F.col("vec_id") % 50 == 0).collect()), key=repr)
+        assert got == brute(own, 50, 5)
+    assert {r[3] for r in got} == {64 * 2 ** 56, -64 * 2 ** 56}
+    for bad in ([(0, [3e38, 1.0], 1), (1, [3e38, 0.0], 1)], [(0, [4e9] * 100, 1), (1, [4e9] * 100, 1)]):
+        with pytest.raises(Exception, match="beyond a long"):
+            b.top_k(llm.createDataFrame(bad, SCHEMA), F.col("vec_id") % 50 == 0).collect()
