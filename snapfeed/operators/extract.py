@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.urls import resolve_next_url, url_host
 from . import dom
 from ..session import shared_dir
-from .common import with_defaults
+from .common import kept, with_defaults
 
 RAW_ITEM_SCHEMA = T.StructType([
     T.StructField("source_id", T.StringType()),
@@ -148,41 +148,36 @@ def match_pages(pages: DataFrame, configs: DataFrame) -> DataFrame:
         .join(cfg, "_host").drop("_host")
 
 
-def paginate(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None,
-             materialize: bool = True) -> DataFrame:
+def paginate(seeds: DataFrame, links: DataFrame, max_pages: int | None = None) -> DataFrame:
     """EXT8: follow next links from each seed until none, page missing or
     ``max_pages`` pages read.
 
     ``seeds``: source_id, url, max_pages.  ``links``: source_id, url, next_url
-    (narrow; computed once for all pages).  Output: source_id, url, page_no.
-    A page with several next links is followed to the least one. The loop runs
-    max(max_pages) rounds; each round joins the frontier (one row per live
-    source) with the link table, which is
-    materialised once (reliable checkpoint) so rounds never re-derive it — when
-    it comes from ``page_links`` that would mean re-parsing every page per round.
-    """
-    shared_dir(seeds.sparkSession)
-    if max_rounds is None:
-        max_rounds = int(seeds.agg(F.max("max_pages")).first()[0] or 1)
-    edges = links.groupBy("source_id", "url").agg(F.min("next_url").alias("next_url"))
-    if materialize:
-        edges = edges.checkpoint(eager=True)
-    frontier = seeds.select("source_id", "url", F.col("max_pages").cast("int").alias("max_pages"),
-                            F.lit(1).alias("page_no"))
-    visited = [frontier]
-    for _ in range(1, max_rounds):
-        step = edges.join(frontier, ["source_id", "url"]) \
-            .where(F.col("next_url").isNotNull() & (F.col("page_no") < F.col("max_pages"))) \
-            .select("source_id", F.col("next_url").alias("url"), "max_pages",
-                    (F.col("page_no") + 1).alias("page_no"))
-        frontier = step.checkpoint(eager=True)  # tiny; cuts the per-round lineage
-        if frontier.limit(1).count() == 0:
+    (narrow).  Output: source_id, url, page_no.  A page with several next links
+    is followed to the least one; a cycle is followed round until ``max_pages``.
+
+    By pointer doubling: round k has every page's link 2**k pages ahead and the
+    first 2**k pages of each seed, and makes twice of both, so chains of n pages
+    take log2(n) rounds of two joins each. Rounds are written, so links (which
+    may come from parsing every page) are derived once and a lost executor
+    costs one round."""
+    if max_pages is None:
+        max_pages = int(seeds.agg(F.max("max_pages")).first()[0] or 1)
+    ahead = links.where("next_url IS NOT NULL").groupBy("source_id", "url").agg(F.min("next_url").alias("next_url"))
+    visited = seeds.select("source_id", "url", F.lit(1).alias("page_no"), F.col("max_pages").cast("int").alias("_most"))
+    step = 1
+    while step < max_pages:
+        ahead = kept(ahead, "links-ahead")
+        further = (visited.where(F.col("page_no") + step <= F.col("_most")).join(ahead, ["source_id", "url"])
+                   .select("source_id", F.col("next_url").alias("url"), (F.col("page_no") + step).alias("page_no"), "_most"))
+        visited = kept(visited.unionByName(further), "pages-visited")
+        if not visited.where(F.col("page_no") > step).limit(1).count():
             break
-        visited.append(frontier)
-    out = visited[0]
-    for v in visited[1:]:
-        out = out.unionByName(v)
-    return out.select("source_id", "url", "page_no")
+        step *= 2
+        if step < max_pages:
+            jump = ahead.select("source_id", F.col("url").alias("next_url"), F.col("next_url").alias("_far"))
+            ahead = ahead.join(jump, ["source_id", "next_url"]).select("source_id", "url", F.col("_far").alias("next_url"))
+    return visited.select("source_id", "url", "page_no")
 
 
 def _match_batches(batches):

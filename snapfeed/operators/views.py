@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.items import VIEW_EXCLUDE, content_text, pick_url
 from ..functions.urls import resolve_url
+from . import ordering
+from .ordering import numbered
 
 
 def live_counts(items: DataFrame) -> DataFrame:
@@ -115,14 +117,13 @@ def items_of_runs(items: DataFrame, runs: DataFrame, as_of, limit: int = 50, off
     return page(run_items(items, runs, as_of), [F.desc("last_seen_at"), F.asc("dedupe_key")], limit, offset)
 
 
-def run_item_counts(items: DataFrame, runs: DataFrame, as_of, bin_seconds: int = 60) -> DataFrame:
-    """JOIN4 counted: (run_id, source_id, n_items), the live items of the run's
-    source last seen inside its closed window, without pairing items and runs.
+def _run_ends(items: DataFrame, runs: DataFrame, as_of, bin_seconds: int) -> DataFrame:
+    """(run_id, source_id, before, upto): numbers of the live items of the run's
+    source last seen before the run's start and up to its end.
 
-    Items and the runs' two ends lie on one time line per source; the count of a
-    run is the number of items up to its end less those before its start. Time
-    lines are cut into bins: the items before a bin are a prefix sum over bins,
-    those inside it a window within the bin, so no task holds a whole source."""
+    Items and the runs' two ends lie on one time line per source. Time lines are
+    cut into bins: the items before a bin are a prefix sum over bins, those inside
+    it a window within the bin, so no task holds a whole source."""
     as_of = F.lit(as_of).cast("timestamp") if not isinstance(as_of, F.Column) else as_of
     upper = F.coalesce(F.col("ended_at"), as_of)
     ends = runs.select("run_id", "source_id", F.explode(F.array(
@@ -133,12 +134,45 @@ def run_item_counts(items: DataFrame, runs: DataFrame, as_of, bin_seconds: int =
     line = line.withColumn("bin", F.floor(F.unix_seconds("at") / bin_seconds).cast("long"))
     earlier = Window.partitionBy("source_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = line.groupBy("source_id", "bin").agg(F.sum("n").alias("in_bin")) \
-        .select("source_id", "bin", F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)).alias("before"))
+        .select("source_id", "bin", F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)).alias("earlier"))
     inside = Window.partitionBy("source_id", "bin").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    count = line.withColumn("upto", F.sum("n").over(inside)).where("kind != 1").join(bins, ["source_id", "bin"])
-    total = F.col("before") + F.col("upto")
-    return count.groupBy("run_id", "source_id").agg(
-        F.greatest(F.lit(0), F.max(F.when(F.col("kind") == 2, total)) - F.max(F.when(F.col("kind") == 0, total))).cast("long").alias("n_items"))
+    count = line.withColumn("so_far", F.sum("n").over(inside)).where("kind != 1").join(bins, ["source_id", "bin"])
+    total = F.col("earlier") + F.col("so_far")
+    return count.groupBy("run_id", "source_id").agg(F.max(F.when(F.col("kind") == 0, total)).alias("before"),
+                                                    F.max(F.when(F.col("kind") == 2, total)).alias("upto"))
+
+
+def run_item_counts(items: DataFrame, runs: DataFrame, as_of, bin_seconds: int = 60) -> DataFrame:
+    """JOIN4 counted: (run_id, source_id, n_items), the live items of the run's
+    source last seen inside its closed window, without pairing items and runs."""
+    ends = _run_ends(items, runs, as_of, bin_seconds)
+    return ends.select("run_id", "source_id", F.greatest(F.lit(0), F.col("upto") - F.col("before")).cast("long").alias("n_items"))
+
+
+def run_first_pages(items: DataFrame, runs: DataFrame, as_of, limit: int = 50, offset: int = 0, bin_seconds: int = 60) -> DataFrame:
+    """JOIN4 + SORT2 for all runs at once: of every run the page of its live
+    items newest first (run_id, source_id, rank from 1 of the page's first row,
+    dedupe_key, last_seen_at).
+
+    A run's window is a stretch of its source's items in time order, so with the
+    items numbered along that order its page is a few consecutive numbers: an
+    equality join on (source, number). Items and runs are never paired; output and
+    work grow with items, runs and pages."""
+    ends = _run_ends(items, runs, as_of, bin_seconds)
+    first = F.col("upto") - offset
+    last = F.greatest(F.col("before") + 1, first - (limit - 1))
+    wanted = (ends.where(first >= last).withColumn("_n", F.explode(F.sequence(first.cast("long"), last.cast("long"), F.lit(-1).cast("long"))))
+              .select("run_id", "source_id", "_n", (F.col("upto") - F.col("_n") + 1).cast("long").alias("rank")))
+    placed = numbered(items.where(~F.col("removed")).select("source_id", "dedupe_key", "last_seen_at"), ["source_id"],
+                      [F.asc("last_seen_at"), F.desc("dedupe_key")], "_n")
+    return wanted.join(placed, ["source_id", "_n"]).select("run_id", "source_id", "rank", "dedupe_key", "last_seen_at")
+
+
+def deep_page(df: DataFrame, order_cols, limit: int, offset: int) -> DataFrame:
+    """SORT1-SORT3 far down the order: only the ranges that hold the page are
+    sorted, and nothing before it is merged on the driver. ``df`` should be
+    narrow (what is shown besides can be joined to the page's rows)."""
+    return ordering.page(df, list(order_cols), offset, limit)
 
 
 def heals_page(heals: DataFrame, sources: DataFrame, source_name: str | None = None,

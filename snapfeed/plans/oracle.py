@@ -471,6 +471,42 @@ WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.
 r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn FROM p)
 SELECT host AS source_id, url, rn AS page_no FROM r WHERE rn <= 1 + length(host) % 4"""
 
+    q["paginate_chains"] = q["paginate_links"].replace("1 + length(host) % 4", "1000")
+
+    q["run_first_pages"] = _with(RUNS, STATE) + f"""
+SELECT run_id, source_id, rank, dedupe_key, last_seen_at FROM (
+  SELECT r.run_id, r.source_id, s.dedupe_key, s.last_seen_at,
+         row_number() OVER (PARTITION BY r.run_id ORDER BY s.last_seen_at DESC, s.dedupe_key) AS rank
+  FROM runs r JOIN state s ON s.source_id = r.source_id AND NOT s.removed
+       AND s.last_seen_at BETWEEN r.started_at AND coalesce(r.ended_at, {AS_OF}))
+WHERE rank BETWEEN 2 AND 4"""
+
+    q["items_deep_page"] = _with(STATE) + """
+SELECT source_id, dedupe_key, last_seen_at FROM (
+  SELECT *, row_number() OVER (ORDER BY last_seen_at DESC, dedupe_key, source_id) AS rn, count(*) OVER () AS n FROM state WHERE NOT removed)
+WHERE rn > n // 2 AND rn <= n // 2 + 20"""
+
+    q["runs_deep_page"] = _with(RUNS) + """
+SELECT run_id, source_id, status, item_count FROM (
+  SELECT *, row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS rn, count(*) OVER () AS n FROM runs)
+WHERE rn > n // 3 AND rn <= n // 3 + 25"""
+
+    q["deletion_log_counts"] = _with(SOURCES, RUNS, STATE, HEALS, """gone AS (SELECT id FROM sources WHERE n % 5 = 0),
+kept AS (SELECT * FROM runs WHERE status <> 'error' AND source_id NOT IN (SELECT id FROM gone)),
+hk AS (SELECT h.id, h.id AS run_id FROM heals h WHERE source_id NOT IN (SELECT id FROM gone))""") + """
+SELECT 'sources' AS table_name, count(*) AS n_rows, CAST(NULL AS BIGINT) AS with_run FROM sources WHERE n % 5 <> 0
+UNION ALL SELECT 'runs', count(*), NULL FROM kept
+UNION ALL SELECT 'items', count(*), NULL FROM state WHERE source_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'heals', count(*), count(*) FILTER (WHERE run_id NOT IN (SELECT run_id FROM runs WHERE run_id NOT IN (SELECT run_id FROM kept)))
+FROM hk"""
+
+    q["state_two_writers"] = _with(SOURCES, STATE) + """
+SELECT source_id, dedupe_key, h AS content_hash, n % 2 = 0 OR removed AS removed
+FROM state JOIN sources ON source_id = id WHERE n % 2 = 0 OR NOT removed"""
+
+    q["state_of_one_source"] = _with(STATE) + """
+SELECT source_id, dedupe_key, h AS content_hash, removed FROM state WHERE source_id = 'src3'"""
+
     q["apply_proposals"] = _with(SOURCES, _proposals()) + """
 SELECT source_id, 'summary' AS field_name, selector AS new_selector,
        CASE WHEN origin = 'file' THEN 'pr' ELSE 'db_patch' END AS mode,

@@ -14,10 +14,10 @@ from ..functions.hashing import content_hash, item_hash
 from ..functions.items import VIEW_EXCLUDE, content_text
 from ..functions.misc import percent_text
 from ..functions.urls import url_host
-from ..operators import config_checks, dedupe, diff, extract, repair, runs as runs_op, sources as src_op, views
+from ..operators import config_checks, dedupe, diff, extract, ordering, repair, runs as runs_op, sources as src_op, views
 from ..operators.common import as_ntz
 from ..session import scratch_path
-from ..sources import logs
+from ..sources import commits, deletions, logs
 from ..sources import tables as T
 
 
@@ -168,7 +168,7 @@ def runs_page(spark, sf_dir):
 
 def items_page(spark, sf_dir):
     """SORT2 FLT3: live items of src3, newest first, offset 5, limit 10."""
-    p = views.items_page(T.state_items(spark, sf_dir), "src3", limit=10, offset=5)
+    p = views.items_page(T.state_items(spark, sf_dir, "src3"), "src3", limit=10, offset=5)
     return p.select("source_id", "dedupe_key", "content_hash", as_ntz("last_seen_at").alias("last_seen_at"))
 
 
@@ -226,6 +226,74 @@ def latest_run_of_source(spark, sf_dir):
     return _run_out(views.latest_run(T.runs(spark, sf_dir), "src5"))
 
 
+def run_first_pages(spark, sf_dir):
+    """JOIN4 SORT2: every run's newest three items after the first, for all runs at once."""
+    pages = views.run_first_pages(T.state_items(spark, sf_dir), T.runs(spark, sf_dir), T.AS_OF, limit=3, offset=1)
+    return pages.withColumn("last_seen_at", as_ntz("last_seen_at"))
+
+
+def items_deep_page(spark, sf_dir):
+    """SORT2 far down: twenty live items from the middle of all, newest first."""
+    items = T.state_items(spark, sf_dir).where(~F.col("removed")).select("source_id", "dedupe_key", "last_seen_at")
+    half = items.count() // 2
+    return views.deep_page(items, [F.desc("last_seen_at"), F.asc("dedupe_key"), F.asc("source_id")], 20, half) \
+        .withColumn("last_seen_at", as_ntz("last_seen_at"))
+
+
+def runs_deep_page(spark, sf_dir):
+    """SORT1 far down: the runs a third into the list, with what is shown of them joined to the page."""
+    runs = T.runs(spark, sf_dir)
+    ids = runs.select("started_at", "run_id")
+    at = views.deep_page(ids, [F.desc("started_at"), F.desc("run_id")], 25, ids.count() // 3).select("run_id")
+    return runs.join(at, "run_id").select("run_id", "source_id", "status", "item_count")
+
+
+def deletion_log_counts(spark, sf_dir):
+    """JOIN10 UPS4: every fifth source and the failed runs deleted through the
+    log; what readers see of the four tables."""
+    path = scratch_path(spark, "deletions")
+    sources, runs = T.sources(spark, sf_dir), T.runs(spark, sf_dir)
+    gone = sources.where(T.source_number(F.col("id")) % 5 == 0).select("id")
+    deletions.append(spark, path, gone, "source", T.ts_lit(T.AS_OF))
+    deletions.append(spark, path, runs.where("status = 'error'").select(F.col("run_id").alias("id")), "run", T.ts_lit(T.AS_OF))
+    log = deletions.read(spark, path)
+    heals = T.heals(spark, sf_dir)
+    seen = deletions.live_tables(sources.withColumn("created_at", T.ts_lit(T.T0)), runs, T.state_items(spark, sf_dir), heals, log)
+    counts = None
+    for name, rows in seen.items():
+        linked = F.count("run_id") if name == "heals" else F.lit(None).cast("long")
+        own = rows.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), linked.alias("with_run"))
+        counts = own if counts is None else counts.unionByName(own)
+    return counts
+
+
+def _narrow_state(spark, sf_dir):
+    return T.state_items(spark, sf_dir).select("source_id", "dedupe_key", "content_hash", "removed")
+
+
+def state_two_writers(spark, sf_dir):
+    """SNK1: two writers read one version and commit one after the other: one
+    marks the items of even sources removed, one drops the removed items of odd ones."""
+    base = scratch_path(spark, "two-writers")
+    sources = T.sources(spark, sf_dir).select(F.col("id").alias("source_id"))
+    commits.publish(_narrow_state(spark, sf_dir), sources, base, 0)
+    even = T.source_number(F.col("source_id")) % 2 == 0
+    now = commits.read_sources(spark, base, version=1)
+    one = commits.Transaction(now.where(even).withColumn("removed", F.lit(True)), sources.where(even), base, 1)
+    two = commits.Transaction(now.where(~even).where("NOT removed"), sources.where(~even), base, 1)
+    two.commit()
+    one.commit()
+    return commits.read_sources(spark, base)
+
+
+def state_of_one_source(spark, sf_dir):
+    """SRC4: one source's stored rows (only its files are read), newest version."""
+    base = scratch_path(spark, "one-source")
+    sources = T.sources(spark, sf_dir).select(F.col("id").alias("source_id"))
+    commits.publish(_narrow_state(spark, sf_dir), sources, base, 0)
+    return commits.read_sources(spark, base, sources.where("source_id = 'src3'"))
+
+
 def heals_of_deleted_runs(spark, sf_dir):
     """JOIN10: heals whose run was deleted (failed runs here) keep their row without a run."""
     runs = T.runs(spark, sf_dir).where(F.col("status") == "error").select("run_id")
@@ -413,17 +481,27 @@ def public_hosts(spark, sf_dir):
 # pagination
 
 
+def _page_chains(spark, sf_dir):
+    """Each host's pages chained by page_id: (links with a next-link column, first pages)."""
+    p = T.read(spark, sf_dir, "pages").select("page_id", "url", url_host(F.col("url")).alias("source_id"))
+    placed = ordering.numbered(p, ["source_id"], [F.col("page_id")], "_rn")
+    after = placed.select("source_id", (F.col("_rn") - 1).alias("_rn"), F.col("url").alias("next_url"))
+    links = placed.join(after, ["source_id", "_rn"], "left").select("source_id", "url", "next_url", "_rn")
+    return links, links.where("_rn = 1")
+
+
 def paginate_links(spark, sf_dir):
     """EXT8 FN9: per host, pages chained by page_id (a derived next-link
     column), followed from the first page for 1 + len(host) % 4 pages."""
-    from pyspark.sql import Window
-    p = T.read(spark, sf_dir, "pages").select("page_id", "url", url_host(F.col("url")).alias("source_id"))
-    w = Window.partitionBy("source_id").orderBy("page_id")
-    links = p.select("source_id", "url", F.lead("url").over(w).alias("next_url"),
-                     F.row_number().over(w).alias("_rn"))
-    seeds = links.where(F.col("_rn") == 1).select(
-        "source_id", "url", (F.lit(1) + F.length("source_id") % 4).alias("max_pages"))
-    visited = extract.paginate(seeds, links)
+    links, first = _page_chains(spark, sf_dir)
+    visited = extract.paginate(first.select("source_id", "url", (F.lit(1) + F.length("source_id") % 4).alias("max_pages")), links)
+    return visited.select("source_id", "url", F.col("page_no").cast("long").alias("page_no"))
+
+
+def paginate_chains(spark, sf_dir):
+    """EXT8: the same chains followed for up to 1000 pages, in ten doublings."""
+    links, first = _page_chains(spark, sf_dir)
+    visited = extract.paginate(first.select("source_id", "url", F.lit(1000).alias("max_pages")), links)
     return visited.select("source_id", "url", F.col("page_no").cast("long").alias("page_no"))
 
 

@@ -139,10 +139,13 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # items: stored state, the next batch, a history of runs
 
 
-def state_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored state: every document; the key has an ``old-`` before it when
-    doc_id % 7 = 3 (the next run doesn't know it); removed when doc_id % 11 = 0."""
+def state_items(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
+    """Stored state: every document (of one source, if given: the hash made here
+    would keep a later filter from the scan); the key has an ``old-`` before it
+    when doc_id % 7 = 3 (the next run doesn't know it); removed when doc_id % 11 = 0."""
     d = read(spark, sf_dir, "documents")
+    if source is not None:
+        d = d.where(F.col("source") == source)
     key = F.concat(F.when(F.col("doc_id") % 7 == 3, "old-").otherwise(""), F.col("doc_id").cast("string"))
     data = F.create_map(F.lit("id"), key, F.lit("title"), F.col("text"),
                         F.lit("url"), F.concat(F.lit("/d/"), key), F.lit("lang"), F.col("lang"))
