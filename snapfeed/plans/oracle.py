@@ -542,6 +542,25 @@ UNION ALL
 SELECT run_id, 'error', true FROM runs, mxt
 WHERE status = 'running' AND started_at + INTERVAL 1 SECOND + INTERVAL 1800 SECOND < wm"""
 
+    late = "CASE WHEN run_id % 7 = 0 THEN 2400000 ELSE 0 END"
+    q["stream_run_lifecycle"] = _with(RUNS, f"""mxt AS (
+  SELECT max(ts) AS wm FROM (
+    SELECT started_at + INTERVAL 1 SECOND AS ts FROM runs WHERE status <> 'queued'
+    UNION ALL SELECT started_at FROM runs
+    UNION ALL SELECT started_at + to_milliseconds(CAST(duration_ms + 1000 + {late} AS BIGINT)) FROM runs
+    WHERE status IN ('ok', 'error')))""") + """
+SELECT run_id, source_id, status, false AS timed_out FROM runs WHERE status IN ('ok', 'error')
+UNION ALL
+SELECT run_id, source_id, 'error', true FROM runs, mxt
+WHERE status = 'running' AND started_at + INTERVAL 1 SECOND + INTERVAL 1800 SECOND < wm"""
+
+    q["stream_first_wins_ordered"] = """
+SELECT source_id, run_id, dedupe_key, page_no, item_idx, doc_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_id, run_id, dedupe_key ORDER BY page_no, item_idx, doc_id) AS rn FROM (
+    SELECT source AS source_id, 'r' || CAST(doc_id % 3 AS VARCHAR) AS run_id, CAST((doc_id * 31) % 7 AS INTEGER) AS page_no,
+           (doc_id * 17) % 1009 AS item_idx, CAST(doc_id % 50 AS VARCHAR) AS dedupe_key, doc_id FROM documents))
+WHERE rn = 1"""
+
     q["scrape_items"] = _with(VIEW_ITEMS, f"ct AS (SELECT *, {_content_text(False)} AS content_text FROM vi)") + """
 SELECT source_id, dedupe_key AS stable_id, coalesce(nullif(url, ''), '') AS url, coalesce(nullif(title, ''), '') AS title,
        content_text, sha256(nfc_normalize(content_text)) AS content_hash
