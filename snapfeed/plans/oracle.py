@@ -481,6 +481,15 @@ SELECT run_id, source_id, rank, dedupe_key, last_seen_at FROM (
        AND s.last_seen_at BETWEEN r.started_at AND coalesce(r.ended_at, {AS_OF}))
 WHERE rank BETWEEN 2 AND 4"""
 
+    q["rolled_up_sources"] = _with(HISTORY) + """
+SELECT r.source_id, coalesce(n_new - n_removed, 0) AS live, coalesce(n_new, 0) AS n_new, coalesce(n_updated, 0) AS n_updated,
+       coalesce(n_removed, 0) AS n_removed, r.runs, r.last_run_id, r.last_status
+FROM (SELECT source_id, count(*) AS runs, arg_max(run_id, (started_at, run_id)) AS last_run_id,
+             arg_max(status, (started_at, run_id)) AS last_status FROM hruns GROUP BY source_id) r
+LEFT JOIN (SELECT source_id, count(*) FILTER (WHERE change IN ('new', 'reappeared')) AS n_new,
+                  count(*) FILTER (WHERE change = 'updated') AS n_updated, count(*) FILTER (WHERE change = 'removed') AS n_removed
+           FROM hchg GROUP BY source_id) c ON c.source_id = r.source_id"""
+
     q["items_deep_page"] = _with(STATE) + """
 SELECT source_id, dedupe_key, last_seen_at FROM (
   SELECT *, row_number() OVER (ORDER BY last_seen_at DESC, dedupe_key, source_id) AS rn, count(*) OVER () AS n FROM state WHERE NOT removed)

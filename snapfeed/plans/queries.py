@@ -15,9 +15,9 @@ from ..functions.items import VIEW_EXCLUDE, content_text
 from ..functions.misc import percent_text
 from ..functions.urls import url_host
 from ..operators import config_checks, dedupe, diff, extract, ordering, repair, runs as runs_op, sources as src_op, views
-from ..operators.common import as_ntz
+from ..operators.common import as_ntz, kept
 from ..session import scratch_path
-from ..sources import commits, deletions, logs
+from ..sources import commits, deletions, logs, rollups
 from ..sources import tables as T
 
 
@@ -226,6 +226,22 @@ def latest_run_of_source(spark, sf_dir):
     return _run_out(views.latest_run(T.runs(spark, sf_dir), "src5"))
 
 
+def rolled_up_sources(spark, sf_dir):
+    """AGG1 AGG3 AGG6 kept from the change feed: the history's runs applied as
+    three batches, the second one twice and folded in between."""
+    base = scratch_path(spark, "rollups")
+    runs = T.history_runs(spark, sf_dir)
+    changes = kept(diff.history(T.history_items(spark, sf_dir), runs).select("source_id", "run_id", "change"), "changes")
+    for batch_id, own in enumerate((["h0", "h1"], ["h2"], ["h2"], ["h3", "h4"])):
+        batch_id -= batch_id > 1
+        rollups.apply(changes.where(F.col("run_id").isin(own)), runs.where(F.col("run_id").isin(own)), base, batch_id)
+        if own == ["h2"]:
+            rollups.fold(spark, base)
+    out = rollups.read(spark, base)
+    return out.select("source_id", "live", "n_new", "n_updated", "n_removed", "runs", F.col("last.run_id").alias("last_run_id"),
+                      F.col("last.status").alias("last_status"))
+
+
 def run_first_pages(spark, sf_dir):
     """JOIN4 SORT2: every run's newest three items after the first, for all runs at once."""
     pages = views.run_first_pages(T.state_items(spark, sf_dir), T.runs(spark, sf_dir), T.AS_OF, limit=3, offset=1)
