@@ -3,6 +3,14 @@
 Five stages, each calling one operator of ``snapfeed.llm``; every stage's result
 is written as Parquet in the shared folder and reread as the next one's
 ``docs``. All but the last return the columns of ``documents``.
+
+Defined cases: a row with a null text passes the first three stages as it is
+(nothing to score, no copy of it, nothing to redact), has no words for the mix to
+take, and so ends there; an empty text likewise, but equal ones are copies;
+repeated rows are copies of each other; null ids, sources and languages are
+values like others; very long texts are read whole; further columns, whatever
+their names, are carried up to the packing; an empty table gives an empty table
+at every stage, and without labels nothing is called toxic.
 """
 
 from __future__ import annotations
