@@ -55,3 +55,35 @@ def test_run_equals_its_stages(llm, steps):
 
     pieces = lambda df: sorted(map(tuple, df.select("doc_id", "doc_tokens").where("start = 0").collect()))
     assert pieces(p.run(llm, SF)) == pieces(steps[-1])
+
+
+def test_stages_on_odd_rows(llm, docs_of, scratch):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; then nothing at all."""
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    long_, other = prose(120_000), prose(80)
+    rows = [(1, None), (2, ""), (3, ""), (4, long_, None), (5, other), (5, other), (None, prose(60)), (7, other + " end"), (8, " \n"),
+            (9, prose(50) + " password: Xq9!LmWz#Rt7pQ"), (None, None, None)]
+    docs = docs_of(rows, extra=True)
+    llm.createDataFrame([(5, 1, 0), (9, 0, 1), (None, 1, 1), (77, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{scratch}/labels.parquet")
+    texts = {}
+    now = docs
+    for name, stage in p.STAGES[:-1]:
+        now = stage(llm, now, scratch)
+        assert now.columns == docs.columns, name
+        texts[name] = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=repr)
+    assert texts["toxicity"] == sorted(((r[0], r[1]) for r in rows), key=repr)
+    kept = texts["near_duplicates"]
+    assert sum(t == "" for _, t in kept) == 1 and sum(t is None for _, t in kept) == 2 and (4, long_) in kept
+    assert [i for i, t in kept if t and t.startswith(other)] == [5]
+    assert "Xq9!LmWz#Rt7pQ" not in dict(texts["secrets"])[9]
+    assert all(t for _, t in texts["mixing"]) and len({t for _, t in texts["mixing"]}) <= 4
+    packed = p.STAGES[-1][1](llm, now, scratch)
+    assert packed.count() > 0
+    empty = docs.limit(0)
+    for name, stage in p.STAGES:
+        assert stage(llm, empty, scratch).count() == 0, name
