@@ -189,12 +189,17 @@ def _host_case() -> str:
        ELSE lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^:/?#]*)', 1)) END"""
 
 
+PAGE_SOURCES = """psrc AS (
+  SELECT 'page-' || CAST(page_id AS VARCHAR) AS id, 'page-' || CAST(page_id AS VARCHAR) AS name, page_id AS n,
+         CASE WHEN page_id % 2 = 0 THEN 'file' ELSE 'api' END AS origin, html, regexp_matches(html, '<h1[ >]') AS h1 FROM pages)"""
+
+
 def _proposals() -> str:
     return """props AS (
   SELECT id AS source_id, name, n, origin,
          CASE WHEN n % 3 = 0 THEN 'h1::text' WHEN n % 3 = 1 THEN 'h9.none::text' END AS selector,
-         n / 20.0 AS confidence, 'reason ' || CAST(n AS VARCHAR) AS reasoning
-  FROM sources)"""
+         (n % 20) / 20.0 AS confidence, 'reason ' || CAST(n AS VARCHAR) AS reasoning, h1
+  FROM psrc)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -516,21 +521,21 @@ FROM state JOIN sources ON source_id = id WHERE n % 2 = 0 OR NOT removed"""
     q["state_of_one_source"] = _with(STATE) + """
 SELECT source_id, dedupe_key, h AS content_hash, removed FROM state WHERE source_id = 'src3'"""
 
-    q["apply_proposals"] = _with(SOURCES, _proposals()) + """
+    q["apply_proposals"] = _with(PAGE_SOURCES, _proposals()) + """
 SELECT source_id, 'summary' AS field_name, selector AS new_selector,
        CASE WHEN origin = 'file' THEN 'pr' ELSE 'db_patch' END AS mode,
-       selector = 'h1::text' AND origin <> 'file' AS applied, confidence
+       selector = 'h1::text' AND h1 AND origin <> 'file' AS applied, confidence
 FROM props WHERE selector IS NOT NULL"""
 
-    q["patch_records"] = _with(SOURCES, _proposals()) + """
+    q["patch_records"] = _with(PAGE_SOURCES, _proposals()) + """
 SELECT name AS source_name, 'heal/' || name AS branch, 'New selector for summary of ' || name AS title,
        concat_ws(chr(10), 'replaces: p.summary::text', 'with: ' || selector,
                  'sure to: ' || CAST(CAST(round_even(confidence * 100, 0) AS BIGINT) AS VARCHAR) || '%',
                  'because: ' || reasoning, 'finds: sample') AS body
-FROM props WHERE selector = 'h1::text' AND origin = 'file'"""
+FROM props WHERE selector = 'h1::text' AND h1 AND origin = 'file'"""
 
-    q["patched_configs"] = _with(SOURCES, _proposals()) + """
-SELECT name, origin, CASE WHEN selector = 'h1::text' AND origin = 'api' THEN 'h1::text' ELSE 'p.summary::text' END
+    q["patched_configs"] = _with(PAGE_SOURCES, _proposals()) + """
+SELECT name, origin, CASE WHEN selector = 'h1::text' AND h1 AND origin = 'api' THEN 'h1::text' ELSE 'p.summary::text' END
        AS summary_selector
 FROM props"""
 
@@ -637,13 +642,11 @@ SELECT event_id // 8 AS request_id, count(*) AS n_sources, count(*) BETWEEN 1 AN
        min(CAST(floor(value) AS BIGINT) % 120) >= 1 AND max(CAST(floor(value) AS BIGINT) % 120) <= 100 AS max_items_ok
 FROM events GROUP BY event_id // 8"""
 
-    q["repair_inputs"] = _with(SOURCES, """cur AS (SELECT 'src' || CAST(page_id % 20 AS VARCHAR) AS source_id,
-                                         arg_max(html, page_id) AS html FROM pages GROUP BY 1)""") + """
-SELECT s.id AS source_id, t.target, CAST(length(p.html) AS BIGINT) AS page_chars
-FROM sources s
+    q["repair_inputs"] = _with(PAGE_SOURCES) + """
+SELECT s.id AS source_id, t.target, CAST(length(s.html) AS BIGINT) AS page_chars
+FROM psrc s
 JOIN (SELECT 'summary' AS target, 0 AS m UNION ALL SELECT 'url', 1) t
-  ON (t.m = 0 AND s.n % 2 = 0) OR (t.m = 1 AND s.n % 3 = 0)
-JOIN cur p ON p.source_id = s.id"""
+  ON (t.m = 0 AND s.n % 2 = 0) OR (t.m = 1 AND s.n % 3 = 0)"""
 
     q["source_summaries"] = _with(SOURCES, RUNS, """lr AS (
   SELECT source_id, run_id, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS rn

@@ -526,10 +526,11 @@ def paginate_chains(spark, sf_dir):
 
 
 def _proposals(spark, sf_dir):
-    s = T.sources(spark, sf_dir)
+    """A proposal for every page's source: one that matches, one that doesn't, or none."""
+    s = T.page_sources(spark, sf_dir)
     n = T.source_number(F.col("id"))
     selector = F.when(n % 3 == 0, F.lit("h1::text")).when(n % 3 == 1, F.lit("h9.none::text"))
-    raw = F.to_json(F.struct(selector.alias("selector"), (n / 20.0).alias("confidence"),
+    raw = F.to_json(F.struct(selector.alias("selector"), (n % 20 / 20.0).alias("confidence"),
                              F.concat(F.lit("reason "), n.cast("string")).alias("reasoning"),
                              F.array(F.lit("sample")).alias("sample_values")),
                     {"ignoreNullFields": "false"})
@@ -545,29 +546,24 @@ def _all_source_pages(spark, sf_dir):
     return p.select(F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("source_id"), "page_id", "html")
 
 
-def _source_pages(spark, sf_dir):
-    """Each source's current page: its newest snapshot (highest page id)."""
-    return _all_source_pages(spark, sf_dir).groupBy("source_id").agg(F.max_by("html", "page_id").alias("html"))
-
-
 def apply_proposals(spark, sf_dir):
     """FN13 RPR1-RPR3: proposals scored on each source's page, then applied."""
-    scored = repair.score(_proposals(spark, sf_dir), _source_pages(spark, sf_dir))
-    _, heals, _ = repair.apply(scored, T.sources(spark, sf_dir))
+    scored = repair.score(_proposals(spark, sf_dir), T.source_pages(spark, sf_dir))
+    _, heals, _ = repair.apply(scored, T.page_sources(spark, sf_dir))
     return heals.select("source_id", "field_name", "new_selector", "mode", "applied", "confidence")
 
 
 def patch_records(spark, sf_dir):
     """SNK5 FN14: reviewable change records for valid file-origin proposals."""
-    scored = repair.score(_proposals(spark, sf_dir), _source_pages(spark, sf_dir))
-    _, _, patches = repair.apply(scored, T.sources(spark, sf_dir))
+    scored = repair.score(_proposals(spark, sf_dir), T.source_pages(spark, sf_dir))
+    _, _, patches = repair.apply(scored, T.page_sources(spark, sf_dir))
     return patches.select("source_name", "branch", "title", "body")
 
 
 def patched_configs(spark, sf_dir):
     """RPR3: api-origin sources after valid patches (new config hash + selector)."""
-    scored = repair.score(_proposals(spark, sf_dir), _source_pages(spark, sf_dir))
-    nxt, _, _ = repair.apply(scored, T.sources(spark, sf_dir))
+    scored = repair.score(_proposals(spark, sf_dir), T.source_pages(spark, sf_dir))
+    nxt, _, _ = repair.apply(scored, T.page_sources(spark, sf_dir))
     sel = F.filter(F.col("config.item.fields"), lambda f: f["name"] == "summary")[0]["selector"]
     return nxt.select("name", "origin", sel.alias("summary_selector"))
 
@@ -701,8 +697,8 @@ def request_checks(spark, sf_dir):
 
 def repair_inputs(spark, sf_dir):
     """FN12 HLT2: repair targets with the source's whole current page."""
-    t = repair.targets(T.field_items(spark, sf_dir), T.sources(spark, sf_dir))
-    r = repair.repair_inputs(t, _source_pages(spark, sf_dir))
+    t = repair.targets(T.page_field_items(spark, sf_dir), T.page_sources(spark, sf_dir))
+    r = repair.repair_inputs(t, T.source_pages(spark, sf_dir))
     return r.select("source_id", "target", F.length("page_html").cast("long").alias("page_chars"))
 
 

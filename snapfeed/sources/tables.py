@@ -76,14 +76,13 @@ def config_for(source: Column) -> Column:
         .alias("health"))
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    s = docs.select("source").distinct()
+def sources_named(names: DataFrame) -> DataFrame:
+    """Source rows for a column ``source`` of distinct names."""
     n = source_number(F.col("source"))
     cfg = config_for(F.col("source"))
     yaml_text = F.concat(F.lit("name: "), F.col("source"), F.lit("\nurl: https://"), F.col("source"),
                          F.lit(".example.com/feed/\nschedule: '0 */6 * * *'\n"))
-    return s.select(
+    return names.select(
         F.col("source").alias("id"), F.col("source").alias("name"), F.lit("").alias("description"),
         F.when(n % 2 == 0, "file").otherwise("api").alias("origin"),
         yaml_text.alias("config_yaml"), F.substring(F.sha2(yaml_text, 256), 1, 12).alias("config_sha"),
@@ -91,6 +90,36 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         cfg["url"].alias("base_url"))
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources_named(read(spark, sf_dir, "documents").select("source").distinct())
+
+
+def _page_source() -> Column:
+    return F.concat(F.lit("page-"), F.col("page_id").cast("string"))
+
+
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source per page, so that repair grows with the pages."""
+    return sources_named(read(spark, sf_dir, "pages").select(_page_source().alias("source")))
+
+
+def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current page of each page source."""
+    return read(spark, sf_dir, "pages").select(_page_source().alias("source_id"), "html")
+
+
+def page_field_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One extracted item per page source: summary not found where the page
+    number is even, url not where it is a multiple of 3."""
+    pid = F.col("page_id")
+    data = F.create_map(
+        F.lit("id"), pid.cast("string"), F.lit("title"), F.col("url"),
+        F.lit("summary"), F.when(pid % 2 == 1, F.col("url")), F.lit("url"), F.when(pid % 3 != 0, F.col("url")))
+    return read(spark, sf_dir, "pages").select(
+        _page_source().alias("source_id"), F.lit("r1").alias("run_id"), F.lit(1).alias("page_no"), "page_id",
+        F.lit(0).alias("item_idx"), data.alias("data"), F.lit(None).cast("string").alias("error"))
+
+
 # ---------------------------------------------------------------------------
 # runs
 
