@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import prepare, stored, table, text_col
 
 WINDOW = 600
-DICT_ROWS, DICT_WINDOWS, FIT_ROWS = 3000, 16_000, 6000
+DICT_ROWS, DICT_WINDOWS, FIT_ROWS = 6000, 16_000, 3000
 DICT_BYTES, LEVEL = 32_768, 1
 RIDGE = 0.01
 HELD_OUT_EVERY = 5  # the query's contract
