@@ -71,18 +71,24 @@ def small(df: DataFrame) -> DataFrame:
 SIFT_BITS = 1 << 26  # 8 MB, whatever the number of keys
 
 
-def sifted(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows whose ``columns`` may be those of a row of ``keys``: a bitmap of
-    ``SIFT_BITS`` hashed places, broadcast as 4 KB pieces, keeps the others out
-    of the shuffle of the exact join that has to follow."""
+def sieve(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with a column ``_hit``: whether their ``columns`` may be those of
+    a row of ``keys``. A bitmap of ``SIFT_BITS`` hashed places, broadcast as 4 KB
+    pieces, so that rows without a hit need not take part in the shuffle of the
+    exact join that has to follow."""
     place = F.pmod(F.xxhash64(*columns), F.lit(SIFT_BITS))
     piece, bit = F.shiftright(place, 15).alias("_piece"), place.bitwiseAND(32767).alias("_bit")
     pieces = stored(keys.select(piece, bit).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
                     .withColumnRenamed("_piece", "_p"), "sieve")
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     here = F.expr("_bit & 7").cast("int")
-    return (rows.select("*", piece, bit).join(F.broadcast(pieces), F.col("_piece") == F.col("_p"))
-            .where(F.getbit(byte, here) == 1).select(*rows.columns))
+    return (rows.select("*", piece, bit).join(F.broadcast(pieces), F.col("_piece") == F.col("_p"), "left")
+            .select(*rows.columns, F.coalesce(F.getbit(byte, here) == 1, F.lit(False)).alias("_hit")))
+
+
+def sifted(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that ``sieve`` lets through."""
+    return sieve(rows, keys, columns).where("_hit").drop("_hit")
 
 
 def aside(df: DataFrame) -> list[Column]:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, aside, back, chunks, distinct_sorted, mix, prepare, shingles, sifted, small, stored, table, words
+from .common import U64, aside, back, chunks, distinct_sorted, mix, prepare, shingles, sieve, sifted, small, stored, table, words
 from .links import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -442,14 +442,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, with all columns; rows without copies pass as they are."""
-    found = stored(copies_and_classes(docs), "near-classes")
-    found = found.withColumnsRenamed({"md5": "_m", "class_id": "_c", "kept_md5": "_k"})
-    marked = (docs.select(*aside(docs), text_key().alias("_md5"), F.col("doc_id").cast("long").alias("_id"))
-              .join(small(found), F.col("_md5") == F.col("_m"), "left"))
-    single = marked.where("_m IS NULL").select(*back(docs))
-    kept = marked.where("_md5 = _k AND _id <=> _c").dropDuplicates(["_md5"]).select(*back(docs))
-    return single.unionByName(kept)
+    """One row of each class, with all columns; rows without copies pass as they are.
+
+    What goes is decided on ids and text keys; of the rows themselves only those
+    that may go, or that are repeated, are shuffled."""
+    found = stored(copies_and_classes(docs), "near-classes").withColumnsRenamed({"md5": "_m", "class_id": "_c", "kept_md5": "_k"})
+    narrow = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_md5")).where("_md5 IS NOT NULL")
+    narrow = narrow.groupBy("_id", "_md5").agg(F.count(F.lit(1)).alias("_n")).join(small(found), F.col("_md5") == F.col("_m"))
+    special = narrow.select("_id", "_md5", F.expr("_md5 = _k AND _id <=> _c").alias("_stays"), "_n").where("NOT _stays OR _n > 1")
+    special = stored(special.select(F.col("_id").alias("_d"), F.col("_md5").alias("_t"), "_stays"), "near-special")
+    rows = docs.select(*aside(docs), text_key().alias("_md5"), F.col("doc_id").cast("long").alias("_id"))
+    marked = sieve(rows, special.select(F.col("_d").alias("_id"), F.col("_t").alias("_md5")), ["_id", "_md5"])
+    hit = marked.where("_hit").join(special, F.expr("_id <=> _d AND _md5 = _t"), "left")
+    passing = marked.where("NOT _hit").select(*back(docs)).unionByName(hit.where("_t IS NULL").select(*back(docs)))
+    return passing.unionByName(hit.where("_stays").dropDuplicates(["_id", "_md5"]).select(*back(docs)))
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:
