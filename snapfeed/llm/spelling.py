@@ -18,8 +18,9 @@ an index of variable grams:
   it looks up the two with the shortest lists.
 - Merging: lists are kept by gram, place and word length, so that a word of n
   code points reads those of length n at the gram's own place and those of
-  n + 1 at its place and the next. The join of lists tells by the exact distance
-  which words are near, before it makes a row.
+  n + 1 at its place and the next. The join of lists tells which words are near
+  before it makes a row: hashes of the words' halves, one of which an edit leaves
+  as it is, then the exact distance.
 
 List lengths are estimated in ``COUNTERS`` hashed counters; they only decide
 which of the complete pairs of grams is taken. A word's form is its near word
@@ -52,7 +53,7 @@ DAMAGE = 97  # one run in so many loses a code point, as the query's contract as
 SHORTEST, LONGEST = 2, 6
 LIST, DICTIONARY = 256, 1 << 16
 COUNTERS = 1 << 20
-HELD_WORDS = 400_000  # distinct words a task counts before it passes them on
+HELD_WORDS = 200_000  # distinct words a task counts before it passes them on
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _PLAIN = re.compile(rb"[a-z]{%d,}" % MIN_LENGTH)
@@ -142,22 +143,41 @@ def _key(gram: str, place: int, length: int) -> int:
     return zlib.crc32(gram.encode()) << 24 | (length & 0xFFF) << 12 | place & 0xFFF
 
 
+def _half(text: str) -> int:
+    return zlib.crc32(text.encode()) & 0x7FFFFFFF
+
+
+def halves(word: str, length: int) -> tuple[int, int]:
+    """Hashes of the parts of ``word`` that a near word of ``length`` code points,
+    the shorter of the two, has as its left and its right half; an edit leaves
+    one of them as it is."""
+    middle = length // 2
+    return _half(word[:middle]), _half(word[len(word) - (length - middle):])
+
+
+LISTS = "key long, word string, n long, same_left int, same_right int, more_left int, more_right int"
+LOOKUPS = "key long, word string, n long, longer int, own_left int, own_right int"
+
+
 def _lists(split: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, at = [], [0]
-            for w in b.column("word").to_pylist():
-                keys += [_key(w[p:e], p, len(w)) for p, e in grams(w, _most(len(w)), split)]
-                at.append(len(keys))
-            yield _spread(b, keys, at)
+            rows = []
+            for i, w in enumerate(b.column("word").to_pylist()):
+                parts = halves(w, len(w)) + halves(w, len(w) - 1)
+                rows += [(_key(w[p:e], p, len(w)), i, *parts) for p, e in grams(w, _most(len(w)), split)]
+            yield _spread(b, rows, LISTS)
 
     return run
 
 
-def _spread(b: pa.RecordBatch, keys: list[int], at: list[int]) -> pa.RecordBatch:
-    place = np.repeat(np.arange(b.num_rows), np.diff(at))
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("word").take(pa.array(place)), b.column("n").take(pa.array(place))],
-                                      ["key", "word", "n"])
+def _spread(b: pa.RecordBatch, rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """``rows`` (key, row of b, ints) with that row's word and count."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * (len(names) - 1)
+    place = pa.array(columns[1], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), b.column("word").take(place), b.column("n").take(place),
+                                       *(pa.array(c, pa.int32()) for c in columns[2:])], names)
 
 
 def two_grams(found: list[tuple[int, int]], cost: list[int]) -> tuple[int, int]:
@@ -174,27 +194,27 @@ def two_grams(found: list[tuple[int, int]], cost: list[int]) -> tuple[int, int]:
     return pair
 
 
-def lookups(word: str, split: frozenset[str], size: np.ndarray) -> list[int]:
-    """Keys of the lists that hold every near word of the same length or one
-    code point more."""
+def lookups(word: str, split: frozenset[str], size: np.ndarray) -> list[tuple[int, int]]:
+    """(key, longer) of the lists that hold every near word of the same length
+    (longer 0) or one code point more (1)."""
     out = []
     for longer in (0, 1):
         length = len(word) + longer
         found = list(grams(word, _most(length), split))
         keys = [[_key(word[p:e], p + s, length) for s in range(longer + 1)] for p, e in found]
         cost = [sum(int(size[k % COUNTERS]) for k in own) for own in keys]
-        out += [k for i in two_grams(found, cost) for k in keys[i]]
+        out += [(k, longer) for i in two_grams(found, cost) for k in keys[i]]
     return out
 
 
 def _lookups(split: frozenset[str], size: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, at = [], [0]
-            for w in b.column("word").to_pylist():
-                keys += lookups(w, split, size)
-                at.append(len(keys))
-            yield _spread(b, keys, at)
+            rows = []
+            for i, w in enumerate(b.column("word").to_pylist()):
+                parts = halves(w, len(w))
+                rows += [(k, i, longer, *parts) for k, longer in lookups(w, split, size)]
+            yield _spread(b, rows, LOOKUPS)
 
     return run
 
@@ -203,13 +223,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n), each pair of near words once, from (word, n)
     rows with distinct words of ``MIN_LENGTH`` code points or more."""
     split = split_grams(words)
-    lists = stored(words.mapInArrow(_lists(split), "key long, word string, n long"), "gram-lists")
+    lists = stored(words.mapInArrow(_lists(split), LISTS), "gram-lists")
     size = np.zeros(COUNTERS, np.int32)
     for r in lists.groupBy(F.pmod("key", F.lit(COUNTERS)).alias("at")).count().toLocalIterator():  # COUNTERS rows at most
         size[r["at"]] = min(r["count"], 1 << 30)
-    asked = words.mapInArrow(_lookups(split, size), "key long, word string, n long")
+    asked = words.mapInArrow(_lookups(split, size), LOOKUPS)
     lists = lists.withColumnsRenamed({"word": "near", "n": "near_n"})
-    near = ((F.char_length("word") < F.char_length("near")) | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1)
+    same = (F.col("longer") == 0) & ((F.col("own_left") == F.col("same_left")) | (F.col("own_right") == F.col("same_right")))
+    more = (F.col("longer") == 1) & ((F.col("own_left") == F.col("more_left")) | (F.col("own_right") == F.col("more_right")))
+    near = (same & (F.col("word") < F.col("near")) | more) & (F.levenshtein("word", "near", 1) == 1)
     return asked.join(lists, "key").where(near).select("word", "n", "near", "near_n").distinct()
 
 
