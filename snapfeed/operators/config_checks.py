@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hosts import host_is_public
+from ..functions.misc import slug_ok
 from ..functions.urls import url_host
 from . import dom
 from .schemas import ACTION_TYPES, ALLOWED_KEYS, CONFIG, SELECTOR_TYPES
@@ -227,16 +228,23 @@ MAX_ITEMS_RANGE = (1, 100)
 SOURCES_PER_REQUEST = (1, 10)
 
 
+NAME_LENGTH = 64  # of a request's name
+
+
 def request_violations(requests: DataFrame, key: str = "request_id") -> DataFrame:
     """CFG8: batch requests as rows (request_id, source, max_items) checked with
-    aggregates: 1..10 sources, no repeated source, max_items within 1..100."""
+    aggregates: 1..10 sources, no repeated source, max_items within 1..100, and
+    FLT8, where requests have a ``name``: lower-case letters, digits and hyphens,
+    64 at most."""
     lo, hi = MAX_ITEMS_RANGE
     slo, shi = SOURCES_PER_REQUEST
+    named = "name" in requests.columns
     agg = requests.groupBy(key).agg(
+        *([F.bool_and(F.coalesce(slug_ok("name", NAME_LENGTH), F.lit(False))).alias("name_ok")] if named else []),
         F.count(F.lit(1)).alias("n_sources"), F.count_distinct("source").alias("n_distinct"),
         F.min("max_items").alias("_min_items"), F.max("max_items").alias("_max_items"))
     return agg.select(
         key, "n_sources",
         F.col("n_sources").between(slo, shi).alias("count_ok"),
         (F.col("n_sources") == F.col("n_distinct")).alias("unique_ok"),
-        ((F.col("_min_items") >= lo) & (F.col("_max_items") <= hi)).alias("max_items_ok"))
+        ((F.col("_min_items") >= lo) & (F.col("_max_items") <= hi)).alias("max_items_ok"), *(["name_ok"] if named else []))

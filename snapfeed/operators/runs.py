@@ -105,14 +105,15 @@ def latest_failed(runs: DataFrame) -> DataFrame:
 
 
 def batch_outcome(requests: DataFrame, sources: DataFrame, configs_valid: DataFrame | None = None) -> DataFrame:
-    """JOIN9 + AGG10: requested source names -> ``run`` when registered (and
-    with a valid config), else ``failed`` with the reference's message."""
-    known = sources.select(F.col("name").alias("source"))
+    """JOIN9 + AGG10: requested source names -> ``run`` when registered (and, if
+    ``configs_valid`` is given, with a valid config), else ``failed`` with the reason."""
+    known = sources.select(F.col("name").alias("source")).distinct().withColumn("_known", F.lit(True))
+    j = requests.join(known, "source", "left")
+    registered, valid = F.col("_known").isNotNull(), F.lit(True)
     if configs_valid is not None:
-        known = known.join(configs_valid.select(F.col("name").alias("source")), "source", "left_semi")
-    known = known.distinct()
-    ok = requests.join(known, "source", "left_semi").select("source", F.lit("run").alias("outcome"),
-                                                             F.lit(None).cast("string").alias("error"))
-    bad = requests.join(known, "source", "left_anti").select(
-        "source", F.lit("failed").alias("outcome"), F.concat(F.lit("Unknown source: "), F.col("source")).alias("error"))
-    return ok.unionByName(bad)
+        good = configs_valid.select(F.col("name").alias("source")).distinct().withColumn("_valid", F.lit(True))
+        j = j.join(good, "source", "left")
+        valid = F.col("_valid").isNotNull()
+    error = (F.when(~registered, F.concat(F.lit("not registered: "), F.col("source")))
+             .when(~valid, F.concat(F.lit("config not valid: "), F.col("source"))))
+    return j.select("source", F.when(registered & valid, "run").otherwise("failed").alias("outcome"), error.alias("error"))

@@ -397,9 +397,29 @@ UNION ALL SELECT source_id, 'title', 'h1::text' FROM fi WHERE title_null"""
 
     q["batch_outcome"] = _with(SOURCES, """req AS (SELECT DISTINCT 'src' || CAST(user_id % 25 AS VARCHAR) AS source FROM events)""") + """
 SELECT source, CASE WHEN source IN (SELECT name FROM sources) THEN 'run' ELSE 'failed' END AS outcome,
-       CASE WHEN source IN (SELECT name FROM sources) THEN NULL ELSE 'Unknown source: ' || source END AS error
+       CASE WHEN source IN (SELECT name FROM sources) THEN NULL ELSE 'not registered: ' || source END AS error
 FROM req"""
 
+    q["batch_outcome_checked"] = _with(PAGE_SOURCES, """req AS (SELECT DISTINCT 'page-' || CAST(event_id % 5000 AS VARCHAR) AS source FROM events)""") + """
+SELECT source, CASE WHEN n % 4 <> 0 THEN 'run' ELSE 'failed' END AS outcome,
+       CASE WHEN id IS NULL THEN 'not registered: ' || source WHEN n % 4 = 0 THEN 'config not valid: ' || source END AS error
+FROM req LEFT JOIN psrc ON name = source"""
+
+    q["sync_page_sources"] = """
+SELECT 'page-' || CAST(page_id AS VARCHAR) AS name,
+       CASE WHEN page_id % 5 = 0 THEN 'skipped_invalid' WHEN page_id % 2 = 1 THEN 'inserted'
+            WHEN page_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS outcome
+FROM pages"""
+
+    q["request_names"] = """
+SELECT doc_id AS request_id, 1 AS n_sources, true AS count_ok, true AS unique_ok, true AS max_items_ok,
+       doc_id % 9 <> 0 AND doc_id % 70 + 4 <= 64 AS name_ok FROM documents"""
+
+    q["page_repair_targets"] = _with(PAGE_SOURCES) + """
+SELECT id AS source_id, 'container' AS target, 'article' AS old_selector FROM psrc WHERE n % 4 = 1
+UNION ALL SELECT id, 'summary', 'p.summary::text' FROM psrc WHERE n % 4 <> 1 AND n % 2 = 0
+UNION ALL SELECT id, 'url', 'a::attr(href)' FROM psrc WHERE n % 4 <> 1 AND n % 3 = 0"""
+
     q["sync_sources"] = _with(SOURCES, """fc AS (
   SELECT name, CASE WHEN n % 3 = 0 THEN config_yaml || '# v2' || chr(10) ELSE config_yaml END AS config_yaml
   FROM sources

@@ -370,6 +370,22 @@ def batch_outcome(spark, sf_dir):
     return runs_op.batch_outcome(req, T.sources(spark, sf_dir))
 
 
+def batch_outcome_checked(spark, sf_dir):
+    """JOIN9 with valid configs: requested page sources against the registered
+    ones, every fourth of which has no valid config."""
+    req = T.read(spark, sf_dir, "events").select(F.concat(F.lit("page-"), (F.col("event_id") % 5000).cast("string")).alias("source")).distinct()
+    sources = T.page_sources(spark, sf_dir)
+    return runs_op.batch_outcome(req, sources, sources.where(T.source_number(F.col("name")) % 4 != 0))
+
+
+def request_names(spark, sf_dir):
+    """FLT8 CFG8: one request per document, with a name that may be too long or hold capitals."""
+    d = T.read(spark, sf_dir, "documents")
+    name = F.concat(F.when(F.col("doc_id") % 9 == 0, "Run-").otherwise("run-"), F.repeat(F.lit("x"), (F.col("doc_id") % 70).cast("int")))
+    req = d.select(F.col("doc_id").alias("request_id"), F.col("source"), F.lit(5).alias("max_items"), name.alias("name"))
+    return config_checks.request_violations(req).withColumn("n_sources", F.col("n_sources").cast("int"))
+
+
 # ---------------------------------------------------------------------------
 # sources
 
@@ -392,6 +408,17 @@ def sync_sources(spark, sf_dir):
         "name", "origin", "config_sha", as_ntz("updated_at").alias("updated_at"), "outcome")
 
 
+def sync_page_sources(spark, sf_dir):
+    """UPS2 SNK4 per page: even pages are stored; every file config mirrored,
+    every third with a new text, every fifth with violations."""
+    files = T.page_sources(spark, sf_dir)
+    n = T.source_number(F.col("name"))
+    text = F.when(n % 3 == 0, F.concat("config_yaml", F.lit("# v2\n"))).otherwise(F.col("config_yaml"))
+    bad = F.when(n % 5 == 0, F.array(F.lit("item.fields: none"))).otherwise(F.array().cast("array<string>"))
+    _, outcomes = src_op.sync(files.where(n % 2 == 0), files.select("name", text.alias("config_yaml"), "config", bad.alias("violations")), T.AS_OF)
+    return outcomes
+
+
 def update_sources(spark, sf_dir):
     """UPS3: outcome per update request and the resulting config_sha."""
     s = T.sources(spark, sf_dir)
@@ -702,6 +729,13 @@ def repair_inputs(spark, sf_dir):
     return r.select("source_id", "target", F.length("page_html").cast("long").alias("page_chars"))
 
 
+def page_repair_targets(spark, sf_dir):
+    """HLT2 AGG7: what to repair on every page source; every fourth has no items
+    at all, so its container."""
+    items = T.page_field_items(spark, sf_dir).where("page_id % 4 != 1")
+    return repair.targets(items, T.page_sources(spark, sf_dir)).select("source_id", "target", "old_selector")
+
+
 def source_summaries(spark, sf_dir):
     """PRJ4 WIN4: source list rows plus each source's newest run."""
     s = views.source_summary(T.sources(spark, sf_dir))

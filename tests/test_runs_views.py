@@ -110,7 +110,7 @@ def test_batch_outcome(spark):
     req = spark.createDataFrame([("a",), ("ghost",)], "source string")
     src = spark.createDataFrame([("a",)], "name string")
     got = {r.source: (r.outcome, r.error) for r in R.batch_outcome(req, src).collect()}
-    assert got == {"a": ("run", None), "ghost": ("failed", "Unknown source: ghost")}
+    assert got == {"a": ("run", None), "ghost": ("failed", "not registered: ghost")}
 
 
 def test_heals_by_source_with_names(spark):
