@@ -6,7 +6,7 @@ producer — people, a model, or ``mine_candidates`` — writes proposal rows).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import config_sha
@@ -185,6 +185,25 @@ def mine_candidates(pages: DataFrame, sources: DataFrame, min_pages: int = 1) ->
                 F.concat(F.lower("tag"), F.lit("."), F.col("cls")).alias("selector"), "per_page")
 
 
+def rank_candidates(candidates: DataFrame, runs: DataFrame) -> DataFrame:
+    """RPR5: candidates (source_id, selector, per_page, ...) in the order in which
+    their counts fit what the source's earlier good runs found (runs: source_id,
+    status, item_count): a repeated element that is there as often as items used
+    to be is the likelier container than a menu or a footer.
+
+    Fit is the Poisson deviance of the count per page from the mean number of
+    items, 0 for an exact fit. Adds ``expected``, ``misfit`` and ``place`` (from
+    1; ties by selector). Sources without a good run that found anything rank by
+    count alone (``misfit`` null)."""
+    expected = (runs.where((F.col("status") == "ok") & (F.col("item_count") > 0)).groupBy(F.col("source_id").alias("_s"))
+                .agg(F.avg("item_count").alias("expected")))
+    j = candidates.join(expected, F.col("source_id") == F.col("_s"), "left").drop("_s")
+    c, e = F.col("per_page"), F.col("expected")
+    j = j.withColumn("misfit", F.round(2 * (c * F.log(c / e) - (c - e)), 6))
+    order = Window.partitionBy("source_id").orderBy(F.col("misfit").asc_nulls_last(), F.desc("per_page"), F.asc("selector"))
+    return j.withColumn("place", F.row_number().over(order))
+
+
 def repair_inputs(targets_df: DataFrame, pages: DataFrame) -> DataFrame:
     """FN12: what a proposal producer sees per target — the old selector and
     the source's whole current page."""

@@ -650,6 +650,13 @@ s AS (SELECT source_id, page_id,
 pp AS (SELECT source_id, selector, page_id, count(*) AS c FROM s GROUP BY source_id, selector, page_id)
 SELECT source_id, selector, avg(c) AS per_page FROM pp GROUP BY source_id, selector"""
 
+    q["ranked_candidates"] = _with(RUNS) + ", cand AS (" + q["mined_candidates"] + """),
+e AS (SELECT source_id, avg(item_count) AS expected FROM runs WHERE status = 'ok' AND item_count > 0 GROUP BY source_id),
+f AS (SELECT cand.*, expected, round(2 * (per_page * ln(per_page / expected) - (per_page - expected)), 6) AS misfit
+      FROM cand LEFT JOIN e ON e.source_id = cand.source_id)
+SELECT source_id, selector, per_page, round(expected, 6) AS expected, misfit,
+       row_number() OVER (PARTITION BY source_id ORDER BY misfit ASC NULLS LAST, per_page DESC, selector)::INTEGER AS place FROM f"""
+
     q["submit_sources"] = """
 SELECT 'page-' || CAST(page_id AS VARCHAR) AS name,
        CASE WHEN page_id % 7 = 0 OR page_id % 9 IN (0, 3) THEN 'rejected' ELSE 'inserted' END AS outcome,

@@ -691,6 +691,13 @@ def mined_candidates(spark, sf_dir):
     return m.select("source_id", "selector", "per_page")
 
 
+def ranked_candidates(spark, sf_dir):
+    """RPR5: the mined candidates ranked against the items of each source's good runs."""
+    found = repair.mine_candidates(_all_source_pages(spark, sf_dir), T.sources(spark, sf_dir))
+    return repair.rank_candidates(found, T.runs(spark, sf_dir)).select(
+        "source_id", "selector", "per_page", F.round("expected", 6).alias("expected"), "misfit", "place")
+
+
 def submit_sources(spark, sf_dir):
     """UPS5: submitted configs (from every page) checked for rule violations and
     a public host, then registered or rejected."""
