@@ -15,9 +15,11 @@ stream, and a timeout goes out that much later.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -56,7 +58,7 @@ class RunLifecycle(StatefulProcessor):
         self.run = handle.getValueState("run", STATE)
 
     def _now(self) -> tuple:
-        return tuple(self.run.get()) if self.run.exists() else (None, None, None, None, 0, None)
+        return tuple(self.run.get() or (None, None, None, None, 0, None))
 
     def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
@@ -100,6 +102,9 @@ def run_lifecycle(events: DataFrame, seconds: int = 1800, delay: str = "0 second
     if keep_seconds <= seconds:
         raise ValueError("keep_seconds must be greater than seconds")
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # the worker that prepares a stateful stream doesn't see files added to the
+    # session, so this module's code goes with the processor
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = (events.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
             .select("run_id", "source_id", "kind", "ts", "ms", "seq"))
     return rows.groupBy("run_id").transformWithStateInPandas(
