@@ -13,21 +13,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, nfc, nfc_values, pystrip
+from .text import _col, icu_available, nfc, nfc_values, pystrip
 
 # Python json short escapes for control characters.
 _SHORT_ESCAPES = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+_USUAL = (9, 10, 13)
+_LINES_RE = "\\A[\\]-\\x{2FF}#-\\[ !\\n]*\\z"  # the same without quotes, backslashes, tabs and returns
+_PLAIN_RE = "\\A[\\x{20}-\\x{2FF}\\t\\n\\r]*\\z"  # nothing that NFC changes, no control character but the usual
+_RARE_RE = "[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}]"
 
 
 def json_escape(c) -> Column:
     """Escape a string for a JSON string literal the way Python's json does."""
     c = _col(c)
-    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(out, F.lit('"'), F.lit('\\"'))
-    for code in range(32):
-        rep = _SHORT_ESCAPES.get(code, "\\u%04x" % code)
-        out = F.replace(out, F.lit(chr(code)), F.lit(rep))
-    return F.when(c.rlike('[\\x{00}-\\x{1F}"\\\\]'), out).otherwise(c)
+    usual = _usual_escapes(c)
+    out = usual
+    for code in set(range(32)).difference(_USUAL):
+        out = F.replace(out, F.lit(chr(code)), F.lit(_SHORT_ESCAPES.get(code, "\\u%04x" % code)))
+    # every replacement reads the whole value: the rare ones only where one is needed
+    return F.when(c.rlike(_RARE_RE), out).otherwise(usual)
+
+
+def _usual_escapes(c: Column) -> Column:
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for code in _USUAL:
+        out = F.replace(out, F.lit(chr(code)), F.lit(_SHORT_ESCAPES[code]))
+    return out
 
 
 def json_text(c) -> Column:
@@ -43,11 +54,22 @@ def sorted_map_json(m) -> Column:
     return _entries_json(entries)
 
 
-def _entries_json(entries: Column) -> Column:
-    parts = F.transform(entries, lambda e: F.concat(json_text(e["k"]), F.lit(":"), json_text(e["v"])))
+def _entries_json(entries: Column, value=json_text) -> Column:
+    parts = F.transform(entries, lambda e: F.concat(json_text(e["k"]), F.lit(":"), value(e["v"])))
     return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
 
 
+def _normal_text(v: Column) -> Column:
+    """A stripped value as a JSON value of its NFC form. One look tells whether a
+    value is its own NFC form and has nothing to escape but line feeds, a second
+    one whether the usual escapes do; the others are composed once (the array
+    binds the result)."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    composed = F.element_at(F.transform(F.array(nfc(v)), json_text), 1)
+    return (F.when(v.rlike(_LINES_RE), quoted(F.replace(v, F.lit("\n"), F.lit("\\n"))))
+            .when(v.rlike(_PLAIN_RE), quoted(_usual_escapes(v))).otherwise(composed))
+
+
 def normalized_entries(m) -> Column:
     """Sorted (key, value) pairs with values stripped then NFC-normalised."""
     m = _col(m)
@@ -58,6 +80,11 @@ def normalized_entries(m) -> Column:
 
 def item_hash(m) -> Column:
     """Content hash of an item map (drives new / updated / unchanged)."""
+    if icu_available():
+        m = _col(m)
+        stripped = F.transform(F.map_values(m), lambda v: pystrip(v))
+        entries = F.array_sort(F.arrays_zip(F.map_keys(m).alias("k"), stripped.alias("v")))
+        return F.sha2(_entries_json(entries, _normal_text), 256)
     return F.sha2(_entries_json(normalized_entries(m)), 256)
 
 

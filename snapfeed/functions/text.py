@@ -10,13 +10,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The characters Python's str.strip() removes (str.isspace()),
-# written as a Java regex class. Spark's trim() removes only U+0020.
-PY_WHITESPACE_CLASS = (
-    "[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-)
-_STRIP_RE = f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+\\z"
+# The characters Python's str.strip() removes (str.isspace()).
+# Spark's trim() without them removes only U+0020.
+PY_WHITESPACE = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                  0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Characters below U+0300 never change under NFC and never compose with a
 # preceding character, so only values holding a code point >= U+0300 need the
@@ -30,7 +27,7 @@ def _col(c) -> Column:
 
 def pystrip(c) -> Column:
     """``str.strip()`` semantics for a string column (null stays null)."""
-    return F.regexp_replace(_col(c), _STRIP_RE, "")
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def is_blank(c) -> Column:
