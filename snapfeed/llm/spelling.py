@@ -225,7 +225,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     split = split_grams(words)
     lists = stored(words.mapInArrow(_lists(split), LISTS), "gram-lists")
     size = np.zeros(COUNTERS, np.int32)
-    for r in lists.groupBy(F.pmod("key", F.lit(COUNTERS)).alias("at")).count().toLocalIterator():  # COUNTERS rows at most
+    for r in lists.groupBy(F.pmod("key", F.lit(COUNTERS)).alias("at")).count().collect():  # COUNTERS rows at most
         size[r["at"]] = min(r["count"], 1 << 30)
     asked = words.mapInArrow(_lookups(split, size), LOOKUPS)
     lists = lists.withColumnsRenamed({"word": "near", "n": "near_n"})
