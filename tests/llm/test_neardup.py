@@ -99,6 +99,48 @@ def test_chains_in_one_bucket(llm):
     assert {1, 3} <= set(label) and label[1] == label[3] == label[2] == label[4] and label[5] == label[6] and 7 not in label
 
 
+def test_buckets_lose_no_class_and_no_place(llm):
+    """Texts with places in buckets; passages of random pairs, at random places, cover some of them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    spans = {}
+    for _ in range(75):
+        a, b = sorted(rng.sample(range(1, 41), 2), reverse=True)
+        spans[a, b] = tuple(x for _ in "ab" for f in [rng.randrange(90)] for x in (f, f + rng.randrange(5, 40)))
+    # 1 is the first pivot: 3 hangs on 2 only, and 2 and 4 share what 1 hasn't got
+    spans = {k: v for k, v in spans.items() if not set(k) & {1, 2, 3, 4}} | {(2, 1): (0, 9, 0, 9), (3, 2): (20, 29, 20, 29), (4, 1): (0, 9, 0, 9), (4, 2): (50, 59, 50, 59)}
+    members = {(bucket, u, rng.randrange(120)) for bucket in range(10, 22) for u in rng.sample(range(5, 41), 30) for _ in range(rng.choice((1, 1, 2)))}
+    members |= {(1, u, 25) for u in (1, 2, 3)} | {(2, u, 55) for u in (1, 2, 4)} | {(3, 5, 7), (3, 5, 8)}
+    asked = []
+
+    def measure(pairs, sets):
+        own = [(r["a"], r["b"]) for r in pairs.collect()]
+        asked.extend(own)
+        return llm.createDataFrame([(a, b, 1.0 if (a, b) in spans else 0.0, list(spans.get((a, b), ()))) for a, b in own],
+                                   "a long, b long, like double, spans array<long>")
+
+    def stretches(near):
+        of_a, of_b = (near.select(F.col(c).alias("uid"), F.col("spans")[i].alias("first"), F.col("spans")[i + 1].alias("last")) for c, i in (("a", 0), ("b", 2)))
+        return of_a.union(of_b)
+
+    near = neardup.verified(llm.createDataFrame(sorted(members), "bucket long, uid long, at int"), lambda uids: uids, 0.8, measure, stretches)
+    rows = [(r["a"], r["b"]) for r in near.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) <= set(spans) and len(asked) == len(set(asked))
+
+    def outcome(own):
+        up = {u: u for u in range(1, 41)}
+        for _ in up:
+            for a, b in own:
+                up[a] = up[b] = min(up[a], up[b])
+        lie = {(u, p) for a, b in own for u, (f, t) in ((a, spans[a, b][:2]), (b, spans[a, b][2:])) for p in range(f, t + 1)}
+        return up, {(b, u, p) for b, u, p in members if (u, p) in lie}
+
+    whole = {(max(u, v), min(u, v)) for b, u, _ in members for c, v, _ in members if b == c and u != v} & set(spans)
+    assert outcome(rows) == outcome(whole)
+    assert {(3, 2), (4, 2)} <= set(rows)
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     for _ in range(5):
