@@ -20,7 +20,8 @@ an index of variable grams:
   code points reads those of length n at the gram's own place and those of
   n + 1 at its place and the next. The join of lists tells which words are near
   before it makes a row: hashes of the words' halves, one of which an edit leaves
-  as it is, then the exact distance.
+  as it is, then the exact distance. No table that grows with the vocabulary is
+  broadcast, whatever Spark takes its size for.
 
 List lengths are estimated in ``COUNTERS`` hashed counters; they only decide
 which of the complete pairs of grams is taken. A word's form is its near word
@@ -119,7 +120,7 @@ def split_grams(words: DataFrame) -> frozenset[str]:
     counts = stored(words.select("word").mapInArrow(_gram_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
                     .where(F.col("n") > 1).withColumn("size", F.char_length("gram")), "grams")
     places = words.select(F.sum(F.char_length("word"))).first()[0] or 0
-    return frozenset(r["gram"] for r in counts.where(F.col("n") > max(LIST, places // DICTIONARY)).select("gram").collect())
+    return frozenset(counts.where(F.col("n") > max(LIST, places // DICTIONARY)).select("gram").toArrow().column("gram").to_pylist())
 
 
 def _most(length: int) -> int:
@@ -225,14 +226,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
     split = split_grams(words)
     lists = stored(words.mapInArrow(_lists(split), LISTS), "gram-lists")
     size = np.zeros(COUNTERS, np.int32)
-    for r in lists.groupBy(F.pmod("key", F.lit(COUNTERS)).alias("at")).count().collect():  # COUNTERS rows at most
-        size[r["at"]] = min(r["count"], 1 << 30)
+    counts = lists.groupBy(F.pmod("key", F.lit(COUNTERS)).alias("at")).count().toArrow()  # COUNTERS rows at most, as columns
+    size[counts.column("at").to_numpy()] = np.minimum(counts.column("count").to_numpy(), 1 << 30)
     asked = words.mapInArrow(_lookups(split, size), LOOKUPS)
     lists = lists.withColumnsRenamed({"word": "near", "n": "near_n"})
     same = (F.col("longer") == 0) & ((F.col("own_left") == F.col("same_left")) | (F.col("own_right") == F.col("same_right")))
     more = (F.col("longer") == 1) & ((F.col("own_left") == F.col("more_left")) | (F.col("own_right") == F.col("more_right")))
     near = (same & (F.col("word") < F.col("near")) | more) & (F.levenshtein("word", "near", 1) == 1)
-    return asked.join(lists, "key").where(near).select("word", "n", "near", "near_n").distinct()
+    # sized by the words they come from, the lookups would seem small enough to be broadcast
+    return asked.hint("merge").join(lists.hint("merge"), "key").where(near).select("word", "n", "near", "near_n").distinct()
 
 
 def variants(words: DataFrame) -> DataFrame:
@@ -244,9 +246,9 @@ def variants(words: DataFrame) -> DataFrame:
             .select(F.col("word").alias("_w"), "n_near", F.when(F.col("ok"), F.col("b.near")).alias("form"),
                     F.when(F.col("ok"), -F.col("b.m")).alias("form_n")))
     best = stored(best, "near-words")
-    out = words.join(best, F.col("word") == F.col("_w"), "left").drop("_w")
+    out = words.join(best.hint("merge"), F.col("word") == F.col("_w"), "left").drop("_w")
     last = roots(best.where("form IS NOT NULL").select(F.col("_w").alias("_r"), F.col("form").alias("root")))
-    return (out.join(last, F.col("word") == F.col("_r"), "left")
+    return (out.join(last.hint("merge"), F.col("word") == F.col("_r"), "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n"))
 
 
@@ -255,7 +257,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = stored(forms, "forms")
     while True:
         ahead = now.select(F.col("_r").alias("_a"), F.col("root").alias("_far"))
-        new = now.join(ahead, F.col("root") == F.col("_a"), "left")
+        new = now.join(ahead.hint("merge"), F.col("root") == F.col("_a"), "left")
         new = stored(new.select("_r", F.coalesce("_far", "root").alias("root"), F.col("_far").isNotNull().alias("moved")), "forms")
         now = new.select("_r", "root")
         if not new.where("moved").limit(1).count():

@@ -103,6 +103,22 @@ def test_forms_chains_and_ties(llm):
     assert (got["alone"]["n_near"], got["alone"]["form_n"], got["alone"]["root"]) == (0, None, "alone")
 
 
+def test_nothing_of_the_vocabulary_is_broadcast(llm, monkeypatch):
+    """Spark takes the lookups for as small as the words they come from."""
+    from pyspark.sql import functions as F
+
+    plans, whole = [], spelling.stored
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(spelling, "stored", lambda df, name: whole(plan(df), name))
+    words = llm.range(300).select(F.concat(F.lit("wordsof"), "id").alias("word"), (F.col("id") + 3).alias("n"))
+    assert plan(spelling.variants(words)).count() == 300
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_empty_table(llm, docs_of):
     assert spelling.variants(spelling.word_counts(docs_of([(1, None), (2, "")]))).collect() == []
     assert spelling.variants(spelling.word_counts(docs_of([]))).collect() == []
