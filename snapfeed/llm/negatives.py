@@ -16,8 +16,8 @@ Once few rows are left only their entries of a column are read. After the last
 dimension the rest have exact scores, and order and windows are resolved on
 those. Each positive of score p opens the window from ``LOW`` to ``HIGH`` percent
 of p. Positives come first, for they give the windows; both scans meet every
-anchor block with every index block by an equality join, and blocks' winners are
-merged by rank.
+anchor block with every index block by an equality join without a broadcast, and
+blocks' winners are merged by rank.
 
 Arithmetic is exact: where a bound of a block leaves 64 bits, integers of any
 size take over. A quantised component or a returned score that does not fit a
@@ -46,6 +46,7 @@ SCALE, POSITIVES, NEGATIVES = 256, 5, 3
 LOW, HIGH = 50, 95  # percent of the positive's score
 BLOCK, ANCHOR_BLOCK, STEP = 1 << 13, 1 << 10, 8
 PAIRS_AT_ONCE = 16  # block pairs in one Arrow batch
+GROUP, GROUP_BYTES = 8, 32 << 20  # of index blocks that one copy of an anchor block meets, at most
 ANCHOR_EVERY, MOVED_EVERY, CLASSES = 50, 7, 10
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, after every other
 SAFE = 1 << 55  # a bound within this leaves room for the windows' factor of 100
@@ -235,18 +236,25 @@ def _search(k: int):
 
 
 def _scan(index: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """The ``k`` first of each anchor and window over all blocks, ranked. Block
-    numbers are dense, so that every anchor block meets every index block in an
-    equality join; with few index blocks each is joined in several parts."""
+    """The ``k`` first of each anchor and window over all blocks, ranked. Every
+    anchor block meets every index block in an equality join on groups of index
+    blocks; with few groups each is joined in several parts. The join is a merge:
+    of a key only the ``GROUP`` index blocks are held, anchors pass by, and neither
+    side is broadcast (Spark takes an exploded table for as small as it was)."""
     spark = index.sparkSession
-    blocks = stored(index.select(F.col("block").alias("_b")).withColumn("number", F.row_number().over(Window.orderBy("_b"))), "block-numbers")
-    n, asked = blocks.count(), anchors.count()
-    parts = min(max(1, asked), max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n))))
-    left = (index.join(F.broadcast(blocks), F.col("block") == F.col("_b"))  # one row of two numbers per BLOCK vectors
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    right = (anchors.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(max(1, n)))))
-             .withColumn("part", F.pmod(F.xxhash64("anchor_block"), F.lit(parts)).cast("int")))
-    pairs = left.join(right, ["number", "part"]).select(*[c for c in INDEX if c != "block"], *[c for c in ANCHORS if c != "anchor_block"])
+    size = F.expr("CAST(n AS LONG) * dims * width").alias("bytes")
+    blocks = stored(index.select(F.col("block").alias("_b"), size).withColumn("number", F.row_number().over(Window.orderBy("_b"))), "block-numbers")
+    n, largest = blocks.agg(F.count(F.lit(1)), F.max("bytes")).first()
+    asked = anchors.count()
+    own = max(1, min(GROUP, GROUP_BYTES // max(1, largest or 0)))
+    groups = max(1, -(-n // own), min(n, 2 * spark.sparkContext.defaultParallelism))
+    parts = min(max(1, asked), -(-2 * spark.sparkContext.defaultParallelism // groups))
+    held = (index.join(F.broadcast(blocks.select("_b", "number")), F.col("block") == F.col("_b"))  # one row of two numbers per BLOCK vectors
+            .withColumn("group", F.pmod("number", F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+    passing = (anchors.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+               .withColumn("part", F.pmod(F.xxhash64("anchor_block"), F.lit(parts)).cast("int")))
+    pairs = (passing.join(held.hint("merge"), ["group", "part"])
+             .select(*[c for c in INDEX if c != "block"], *[c for c in ANCHORS if c != "anchor_block"]))
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS_AT_ONCE))  # rows carry a block each
     hits = stored(pairs.mapInArrow(_search(k), _ddl(HITS)), "hits")
@@ -274,11 +282,11 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = POSIT
     first = _scan(index, blocks_of(asked.select("*", no_windows)), positives)
     own = stored(first.groupBy("anchor_uid").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "vec_id"))).alias("own")), "positives")
     scores = F.transform("own", lambda p: p["score"])
-    second = asked.join(own.select(F.col("anchor_uid").alias("uid"), scores.alias("positive_scores")), "uid")
+    second = asked.join(own.select(F.col("anchor_uid").alias("uid"), scores.alias("positive_scores")).hint("merge"), "uid")
     found = _scan(index, blocks_of(second.select("vec_id", "label", "values", "uid", "positive_scores")), negatives)
     positive = F.element_at("own", F.col("window") + 1)
     named = lambda c: F.nullif(c, F.lit(NO_ID))
-    return (found.join(own, "anchor_uid")
+    return (found.join(own.hint("merge"), "anchor_uid")
             .select("anchor_id", named(positive["vec_id"]).alias("positive_id"), "rank", named(F.col("vec_id")).alias("negative_id"),
                     positive["score"].alias("positive_score"), F.col("score").alias("negative_score")))
 

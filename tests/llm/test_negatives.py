@@ -45,6 +45,24 @@ def test_equals_brute_force_over_many_blocks(llm, monkeypatch):
     assert found(llm, rows, 10) == brute(rows, 10)
 
 
+def test_blocks_are_not_broadcast(llm, monkeypatch):
+    """Spark takes the anchors, exploded to every group of index blocks, for as small as they are once."""
+    plans, whole = [], negatives.stored
+
+    def stored(df, name):
+        if name in ("hits", "anchors"):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return whole(df, name)
+
+    monkeypatch.setattr(negatives, "stored", stored)
+    monkeypatch.setattr(negatives, "BLOCK", 4)
+    monkeypatch.setattr(negatives, "GROUP", 3)
+    rows = vectors(random.Random(10), 200)
+    assert found(llm, rows, 10) == brute(rows, 10)
+    # but for the numbers of the index blocks
+    assert [(name, plan.count("BroadcastExchange")) for name, plan in plans] == [("anchors", 0), ("hits", 1), ("anchors", 0), ("hits", 1)]
+
+
 def test_nulls_repeats_and_odd_vectors(llm):
     rng = random.Random(8)
     rows = vectors(rng, 60, 4)
