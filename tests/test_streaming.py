@@ -51,6 +51,15 @@ def test_change_feed_incremental_equals_batch_and_replay_is_idempotent(spark, sc
     assert manifest_versions(spark, f"{scratch}/state") == versions
 
 
+def test_copies_of_an_applied_run_hold_nothing_back(spark, scratch):
+    rows = snapshot_rows()
+    r1, r2 = ([r for r in rows if r[1] == run] for run in ("r1", "r2"))
+    for batch_id, own in enumerate((r1, r1[1:2], r2)):  # a copy of an item of r1 after r1 was applied
+        apply_batch(spark.createDataFrame(own, ITEM_STREAM_SCHEMA), batch_id, f"{scratch}/state", f"{scratch}/changes")
+    got = sorted((r.run_id, r.dedupe_key, r.change) for r in spark.read.parquet(f"{scratch}/changes").collect())
+    assert got == [("r1", "1", "new"), ("r1", "2", "new"), ("r2", "1", "updated"), ("r2", "2", "removed")]
+
+
 def test_split_runs_and_compaction_lose_nothing(spark, scratch):
     from snapfeed.sources.state import compact
     rows = snapshot_rows()
